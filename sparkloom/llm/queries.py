@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, mixing, url_filter
+from sparkloom.llm import exact_dedup, mixing, pieces, sstable, url_filter
 
 QUERIES = {
+    "op2_sstable": sstable.op2_sstable,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op8_pieces": pieces.op8_pieces,
     "op10_mixing": mixing.op10_mixing,
 }
 
