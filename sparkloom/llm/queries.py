@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, mixing, pieces, sstable, url_filter
+from sparkloom.llm import exact_dedup, mixing, pieces, spotsigs, sstable, url_filter
 
 QUERIES = {
     "op2_sstable": sstable.op2_sstable,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_pieces": pieces.op8_pieces,
     "op10_mixing": mixing.op10_mixing,
 }
@@ -15,5 +16,6 @@ QUERIES = {
 ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op5_url_filter": url_filter.SQL,
+    "op7_spotsigs": spotsigs.SQL,
     "op10_mixing": mixing.SQL,
 }
