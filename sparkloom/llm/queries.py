@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, jaccard_join, mixing, pieces, spotsigs, sstable, url_filter
+from sparkloom.llm import exact_dedup, jaccard_join, langid, mixing, pieces, quality_knn, spotsigs, sstable, url_filter
 
 QUERIES = {
+    "op1_quality_knn": quality_knn.op1_quality_knn,
     "op2_sstable": sstable.op2_sstable,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_langid": langid.op4_langid,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_spotsigs": spotsigs.op7_spotsigs,
