@@ -98,3 +98,17 @@ def range_prefix_sum(df: DataFrame, order: dict[str, Column], schema: T.StructTy
         F.coalesce(F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
     )
     return b.withColumn("__own", F.sum(value).over(w)).join(F.broadcast(before), F.col("__b") == F.col("__tb")).withColumn(out, F.col("__own") + F.col("__before")).drop("__b", "__tb", "__own", "__before")
+
+
+def slices(batch, size: int, column: int = 1):
+    """Slices of an Arrow batch with at most ``size`` bytes in a column of strings or bytes, one row at least."""
+    import pyarrow.compute as pc
+
+    at, sizes = 0, pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    while at < len(sizes):
+        end, now = at + 1, sizes[at]
+        while end < len(sizes) and now + sizes[end] <= size:
+            now += sizes[end]
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end

@@ -8,9 +8,9 @@ WORDS = 5
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE[_IS_SPACE] = 0
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE[IS_SPACE] = 0
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _GRAM = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 _SHORT = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64)
@@ -32,22 +32,28 @@ def _places(n: int) -> np.ndarray:
     return _PLACE
 
 
+def hash_pieces(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the ascending pieces [start, end) of ``joined``; A-Z count as a-z."""
+    origin = starts[0]
+    place = np.arange(ends[-1] - origin, dtype=np.int32)
+    place -= np.repeat((starts - origin).astype(np.int32), np.diff(np.append(starts, ends[-1])))
+    longest = int((ends - starts).max())
+    np.minimum(place, longest, out=place)  # white space counts as zero, wherever it stands
+    values = _BYTE[joined[origin : ends[-1]]]
+    values *= _places(longest + 1)[place]
+    return mix(np.add.reduceat(values, starts - origin))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, number of the text) of each word of ``texts``, in order; A-Z count as a-z."""
     joined = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    space = _IS_SPACE[joined]
+    space = IS_SPACE[joined]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    end = len(joined)
-    segment = np.diff(np.append(starts, end))
-    body = joined[starts[0] :]
-    inside = np.arange(starts[0], end, dtype=np.int64) - np.repeat(starts, segment)
-    inside[space[starts[0] :]] = 0
-    weights = _places(int(inside.max()) + 1)
-    h = np.add.reduceat(_BYTE[body] * weights[inside], starts - starts[0])
+    h = hash_pieces(joined, starts, np.flatnonzero(~space[:-1] & space[1:]) + 1)
     begins = np.cumsum([1] + [len(t) + 1 for t in texts[:-1]])
-    return mix(h), np.searchsorted(begins, starts, "right") - 1
+    return h, np.searchsorted(begins, starts, "right") - 1
 
 
 class Sets:
@@ -88,7 +94,10 @@ class Sets:
         full = np.flatnonzero(self.sizes)
         if len(full):
             sums[full] = np.add.reduceat(mix(g ^ np.uint64(0xA5A5A5A55A5A5A5A)), self.bounds[full])
-        self.sid = mix(sums + self.sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        #: So many shingles of its prefix a set must share with another to be compared (1 to 64), also in the name's last six bits.
+        self.share = np.minimum(1 + self.sizes // 16, 64)
+        name = mix(sums + self.sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.sid = ((name & ~np.uint64(63)) | (self.share - 1).astype(np.uint64)).view(np.int64)
 
     def __getitem__(self, d: int) -> np.ndarray:
         return self.values[self.bounds[d] : self.bounds[d + 1]]

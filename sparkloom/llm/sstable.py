@@ -22,17 +22,19 @@ empty table writes no shard and reads back empty; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import shared_dir, shuffle_partitions
+from sparkloom.llm.common import shared_dir, shuffle_partitions, slices
 
 MAGIC = b"LOOMSST1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
@@ -40,35 +42,130 @@ ENTRY = struct.Struct("<BBI")
 PLACE = struct.Struct("<QIIQB")
 BLOCK_BYTES = 1 << 17
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-MAX_WORDS = 700_000
-SLICE = 256
+MAX_WORDS = 1_000_000
+SLICE_BYTES = 4 << 20
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of whole texts (UTF-8) as little-endian 32-bit integers, a distinct word at a time."""
+    """Ids of whole texts (UTF-8) as little-endian 32-bit integers.
+
+    A model with a word-end suffix never joins words, and its pre-tokenizer parts the punctuation at a
+    word's end from a letter or digit before it. So texts are cut into such pieces, each distinct piece
+    (by a 64-bit hash, A-Z as a-z) is encoded once by the library, and the ids are put together by
+    position, all in arrays. Models without a suffix get whole texts. The tests hold this against
+    whole texts.
+    """
 
     def __init__(self, path: str):
+        import numpy as np
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
+        suffix = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix")
+        self.ends = {i for k, i in self.tok.get_vocab().items() if suffix and k.endswith(suffix)}
+        self.tail = np.zeros(256, bool)
+        self.tail[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True  # without ' < > |, which contractions and special tokens need
+        self.firm = np.zeros(256, bool)
+        self.firm[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+        self.clear()
+
+    def clear(self) -> None:
+        import numpy as np
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        from array import array
+        self.slot: dict[int, int] = {}
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _each(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _encoded(self, words: list[bytes]) -> Iterator[list[int]]:
+        """Plain lower-case words go many to a call, cut at the word ends."""
+        for at in range(0, len(words), 64):
+            part, out, now = words[at : at + 64], [], []
+            if all(map(bytes.isalpha, part)):
+                for i in self.tok.encode(b" ".join(part).decode(), add_special_tokens=False).ids:
+                    now.append(i)
+                    if i in self.ends:
+                        out.append(now)
+                        now = []
+            yield from out if len(out) == len(part) and not now else self._each(part)
+
+    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+        import numpy as np
 
-        words = [t.split() for t in texts]  # bytes.split: ASCII white space only
-        if len(self.ids) > MAX_WORDS:
-            self.ids.clear()
-        ids = self.ids
-        new = list(set().union(*words).difference(ids)) if words else []
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                ids[w] = array("I", e.ids).tobytes()
-        get = ids.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        order = sorted(range(len(words)), key=lambda i: words[i].isalpha())
+        for i, ids in zip(order, self._encoded([words[i] for i in order])):
+            k = len(self.slot)
+            if k == len(self.at):
+                self.at, self.n = np.resize(self.at, 2 * k), np.resize(self.n, 2 * k)
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.resize(self.pool, 2 * len(self.pool))
+            self.slot[hashes[i]], self.at[k], self.n[k] = k, self.used, len(ids)
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+
+    def _pieces(self, joined):
+        """(start, end) of each piece, ascending."""
+        import numpy as np
+
+        from sparkloom.llm.shingles import IS_SPACE
+
+        space = IS_SPACE[joined]
+        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        cut = ends.copy()  # where the punctuation at the word's end begins
+        todo = np.flatnonzero(self.tail[joined[ends - 1]])
+        while len(todo):
+            cut[todo] -= 1
+            todo = todo[cut[todo] > starts[todo]]
+            todo = todo[self.tail[joined[cut[todo] - 1]]]
+        last, before = joined[cut - 1], joined[cut - 2]
+        letter = self.firm[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+        two = (cut > starts) & (cut < ends) & letter
+        cut = cut[two]
+        return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        import numpy as np
+        import xxhash
+
+        from sparkloom.llm.shingles import hash_pieces
+
+        if not self.ends:
+            return [array("I", ids).tobytes() for ids in self._each(texts)]
+        whole = b" " + b" ".join(texts) + b" "
+        joined = np.frombuffer(whole, np.uint8)
+        starts, ends = self._pieces(joined)
+        if not len(starts):
+            return [b""] * len(texts)
+        h = hash_pieces(joined, starts, ends)
+        for i in np.flatnonzero(np.add.reduceat(joined == 60, starts)):  # special tokens keep their case
+            h[i] = xxhash.xxh64_intdigest(whole[starts[i] : ends[i]], 9)
+        order = np.argsort(h)
+        ranked = h[order]
+        head = np.append(True, ranked[1:] != ranked[:-1])
+        first, u = order[head], ranked[head]
+        inverse = np.empty(len(h), np.int32)
+        inverse[order] = np.cumsum(head, dtype=np.int32) - 1
+        if len(self.slot) > MAX_WORDS:
+            self.clear()
+        names, slot = u.tolist(), self.slot
+        new = [k for k, x in enumerate(names) if x not in slot]
+        f = first[new]
+        words = [whole[a:b] for a, b in zip(starts[f].tolist(), ends[f].tolist())]
+        self._learn([names[k] for k in new], [w if b"<" in w else w.lower() for w in words])
+        s = np.fromiter(map(slot.__getitem__, names), np.int64, len(names))[inverse]
+        n = self.n[s]
+        total = np.cumsum(n)
+        ids = self.pool[np.repeat(self.at[s] - (total - n), n) + np.arange(total[-1])]
+        stops = np.cumsum([len(t) + 1 for t in texts])
+        bounds = np.append(0, total)[np.searchsorted(starts, stops + 1, "left")] * 4
+        raw = ids.astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *bounds[:-1].tolist()], bounds.tolist())]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -225,8 +322,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
         writer, lo, hi = None, None, None
         e = encoder(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
+            for batch in slices(whole, SLICE_BYTES):
                 ids = batch.column(0).to_pylist()
                 if writer is None:
                     system, path = filesystem(folder)
