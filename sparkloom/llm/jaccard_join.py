@@ -1,7 +1,7 @@
 """Exact Jaccard join of word-shingle sets in the Jaccard metric space.
 
 Distance is 1 - Jaccard likeness, a metric; a link is a distance of at most ``EPS`` = 1/4. Each
-different set is a point, named by a 63-bit digest of its content, so copies never meet.
+different set is a point, named by a digest of its content (57 bits, and six of its size), so copies never meet.
 
 1. *Pivots.* Where many points share their two smallest hashes, some of them become pivots. A point within
    EPS of a pivot lies in that pivot's Voronoi region and is linked to it. By the triangle
@@ -9,10 +9,11 @@ different set is a point, named by a 63-bit digest of its content, so copies nev
    are replicated to the region, unless they belong to the pivots' component already. This is done
    again for the points left over, while they still crowd.
 2. *Points far from every pivot.* Metric windows say nothing where distances are 1, as they are between
-   most documents, so these points are dealt to regions by their own shingles: a point of n
-   shingles goes to those of its n - ceil(3n/4) + 1 first shingles, in an order that puts shingles
-   frequent in the corpus last. Two linked sets share at least one of these (their distance to such a
-   one-shingle pivot tells nothing, but its membership does), so no link is lost.
+   most documents, so these points are dealt to regions by their own shingles: a point of n shingles
+   goes to those of its first n - ceil(3n/4) + s shingles, in an order that puts shingles frequent in
+   the corpus last, with s = min(1 + n // 16, 64). Linked sets share at least the smaller s of such
+   shingles, so no link is lost; pairs that share fewer, such as documents with a passage in common,
+   are not compared.
 3. *Regions* are joined exactly in blocks: overlaps of all sets of a block pair are counted through an
    inverted index; links leave a block as a forest, not as pairs.
 4. *Components* of all links are found by minimum labels and pointer jumping over a table of links.
@@ -50,7 +51,7 @@ FLUSH = 1 << 20
 BROADCAST_ROWS = 1_000_000
 
 
-def _batches(batches, columns=2):
+def _batches(batches):
     """(ids, texts) slices of bounded size."""
     for whole in batches:
         ids, texts = whole.column(0), whole.column(1).to_pylist()
@@ -89,9 +90,10 @@ class _Crowds:
         for key, sid, own in self.keys:
             groups.setdefault(key, []).append((sid, own))
         for key, members in groups.items():
-            yield 1, key, len(members), members[0][0], members[0][1].tobytes()
-            if len(members) > 1:
-                yield 1, key, 0, members[1][0], members[1][1].tobytes()
+            some = members[:2] if len(members) > 1 else []
+            yield 1, key, len(members) - len(some), 0, None
+            for sid, own in some:
+                yield 1, key, 1, sid, own.tobytes()
         self.values, self.keys, self.n = [], [], 0
 
 
@@ -197,7 +199,7 @@ def _crowded(stats: DataFrame, used: set[int]) -> list[tuple[int, bytes]]:
     crowds = stats.where("kind = 1").groupBy("key").agg(F.sum("n").alias("c")).where(F.col("c") >= CROWD).orderBy(F.desc("c"), "key").limit(MAX_PIVOTS // EACH).cache()
     try:
         w = Window.partitionBy("key").orderBy("sid")
-        some = stats.where("kind = 1").select("key", "sid", "set").join(F.broadcast(crowds), "key")
+        some = stats.where("kind = 1 and set is not null").select("key", "sid", "set").join(F.broadcast(crowds), "key")
         some = some.withColumn("r", F.row_number().over(w)).where(F.col("r") <= EACH).orderBy(F.desc("c"), "key", "r")
         out, size = [], 0
         for r in some.select("sid", "set").toLocalIterator():
@@ -258,7 +260,7 @@ def _postings(docs: DataFrame, pivots, frequent, buckets: int) -> DataFrame:
                 rank[m[hit]] = counts[at[hit]]
             order = np.lexsort((sets.values, rank, sets.doc))  # sets are contiguous: order keeps documents in place
             place = np.arange(len(order)) - np.repeat(sets.bounds[:-1], sets.sizes)
-            first = sets.sizes - -(-NUM * sets.sizes // DEN) + 1
+            first = sets.sizes - -(-NUM * sets.sizes // DEN) + sets.share
             use = (place < first[sets.doc]) & ~skip[sets.doc]
             keys.append(sets.values[order[use]])
             sids.append(sets.sid[sets.doc[use]])
@@ -273,10 +275,10 @@ def _postings(docs: DataFrame, pivots, frequent, buckets: int) -> DataFrame:
 
 
 def _candidates(postings: DataFrame, partitions: int) -> DataFrame:
-    """(a, b, region, side): region null: the pair a < b shares a first shingle; else point a takes part in that region's block pair."""
+    """(a, b, c, region, side): region null: the pair a < b shares c first shingles of a bucket; else point a takes part in that region's block pair."""
     import pyarrow as pa
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.int64()), ("side", pa.int32())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32()), ("region", pa.int64()), ("side", pa.int32())])
 
     def joined(blobs: list[bytes]):
         import numpy as np
@@ -304,12 +306,16 @@ def _candidates(postings: DataFrame, partitions: int) -> DataFrame:
             if name not in told:
                 told.add(name)
                 regions += _blocks(name, members.tolist(), members.tolist(), same=True)
-        found = np.unique(np.concatenate(pairs), axis=0)
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int32())], schema=schema)
+        found = np.concatenate(pairs)
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        head = np.flatnonzero(np.append(True, (found[1:] != found[:-1]).any(1)))[: len(found)]
+        times = np.diff(np.append(head, len(found))).astype(np.int32)
+        for at in range(0, len(head), 100_000):
+            some = found[head[at : at + 100_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(times[at : at + 100_000]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int32())], schema=schema)
         if regions:
             r, a, side = zip(*regions)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(r, pa.int64()), pa.array(side, pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.array(r, pa.int64()), pa.array(side, pa.int32())], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -324,7 +330,7 @@ def _candidates(postings: DataFrame, partitions: int) -> DataFrame:
             yield from joined(held)
 
     dealt = postings.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(work, "a bigint, b bigint, region bigint, side int")
+    return dealt.mapInArrow(work, "a bigint, b bigint, c int, region bigint, side int")
 
 
 def _blocks(name: int, left: list[int], right: list[int], same: bool = False):
@@ -448,10 +454,11 @@ def _pair_regions(pairs: DataFrame) -> DataFrame:
 def _windows(ball: DataFrame, shell: DataFrame) -> DataFrame:
     """(region, sid, side): each block of a pivot's region with each block of its window."""
     size = ball.groupBy("key").agg(F.count(F.lit(1)).alias("nb")).join(shell.groupBy("key").agg(F.count(F.lit(1)).alias("ns")), "key")
-    size = size.select("key", F.ceil(F.col("nb") / BLOCK).cast("int").alias("kb"), F.ceil(F.col("ns") / BLOCK).cast("int").alias("ks"))
+    size = size.select("key", F.ceil(F.col("nb") / BLOCK).alias("kb"), F.ceil(F.col("ns") / BLOCK).alias("ks"))
     region = lambda i, j: F.xxhash64("key", i, j, F.lit("w"))
-    b = ball.join(F.broadcast(size), "key").withColumn("i", F.pmod(F.xxhash64("sid"), F.col("kb"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ks") - 1)))
-    s = shell.join(F.broadcast(size), "key").withColumn("j", F.pmod(F.xxhash64("sid"), F.col("ks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).cast("bigint"))
+    upto = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    b = ball.join(F.broadcast(size), "key").withColumn("i", F.pmod(F.xxhash64("sid"), F.col("kb"))).withColumn("j", upto("ks"))
+    s = shell.join(F.broadcast(size), "key").withColumn("j", F.pmod(F.xxhash64("sid"), F.col("ks"))).withColumn("i", upto("kb"))
     return b.select(region(F.col("i"), F.col("j")).alias("region"), "sid", F.lit(1).alias("side")).union(s.select(region(F.col("i"), F.col("j")), "sid", F.lit(2)))
 
 
@@ -504,7 +511,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         stats = found
     shared = spark.sparkContext.broadcast([s for _, s in pivots])
 
-    members = _spread = None
+    members = None
     if found is not None:
         names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(pivots)], "key bigint, pivot bigint")
         ball = cut(found.where("kind = 3").select("key", "sid").distinct())
@@ -523,10 +530,13 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         shell = cut(shell)
         members = _windows(ball, shell)
 
-    candidates = cut(_candidates(_postings(src, shared, frequent, parts * 4), parts))
-    pairs = candidates.where("region is null").select("a", "b").distinct()
+    met = _candidates(_postings(src, shared, frequent, parts * 4), parts)
+    met = met.groupBy("a", "b", "region", "side").agg(F.sum("c").alias("c"))
+    enough = F.least(F.col("a").bitwiseAND(63), F.col("b").bitwiseAND(63)) + 1
+    candidates = cut(met.where(F.col("region").isNotNull() | (F.col("c") >= enough)))
+    pairs = candidates.where("region is null").select("a", "b")
     regions = candidates.where("region is not null").select("region", F.col("a").alias("sid"), "side")
-    every = _pair_regions(cut(pairs)).union(regions)
+    every = _pair_regions(pairs).union(regions)
     every = cut(every.union(members) if members is not None else every)
     sets = _sets_of(src, every.select("sid").distinct())
     links.append(_linked(every, sets, parts))
