@@ -53,12 +53,11 @@ def sampled_splitters(df: DataFrame, keys: dict[str, Column], buckets: int, per_
     if n > want:
         rows = rows.sample(False, min(1.0, want / n), seed)
     rows = sorted_rows(rows, list(keys))
-    step = max(1, len(rows) // buckets)
     out: list = []
-    for r in rows[step::step]:
+    for r in (rows[j * len(rows) // buckets] for j in range(1, buckets) if rows):
         if not out or tuple(out[-1]) != tuple(r):
             out.append(r)
-    return out[: buckets - 1]
+    return out
 
 
 def sorted_rows(rows: DataFrame, keys: list[str]) -> list:
