@@ -1,24 +1,54 @@
-"""The corpus pipeline: stages over documents, in order."""
+"""The corpus pipeline: quality, exact and near copies, the mix of sources, tokens.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the
+last return the columns of documents. The mix repeats rows that it takes twice, so the last stage has as many
+rows as the mix has documents. Cases are those of the operators' own docstrings.
+"""
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, mixing
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm import exact_dedup, jaccard_join, mixing, pieces, quality_knn
 
+#: Nearest neighbours, component search and tokens cannot be put in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def dedup(spark, docs, sf_dir):
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest-neighbour vote does not reject, learnt from rows of ``labels`` whose crc32 mod 3 is not 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_knn.fit(docs, labels, quality_knn.remainder(F.col("doc_id"), 3) != 1)
+    return quality_knn.accepted(docs, model)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal normalised texts, the one with the smallest doc_id."""
     return exact_dedup.keep_first(docs)
 
 
-def mix(spark, docs, sf_dir):
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a likeness of 0.75 or more, the one with the smallest doc_id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: not at all, once or twice."""
     return mixing.mixed(docs)
 
 
-STAGES = [("exact dedup", dedup), ("mixing", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
+    import public_tokenizers
+
+    return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing sources", mix), ("SentencePiece tokens", tokens)]
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

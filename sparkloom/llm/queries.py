@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, jaccard_join, langid, mixing, pieces, quality_knn, spotsigs, sstable, url_filter
+from sparkloom.llm import chat, exact_dedup, jaccard_join, langid, mixing, pieces, quality_knn, spotsigs, sstable, url_filter
 
 QUERIES = {
     "op1_quality_knn": quality_knn.op1_quality_knn,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_pieces": pieces.op8_pieces,
+    "op9_chat": chat.op9_chat,
     "op10_mixing": mixing.op10_mixing,
 }
 
@@ -20,5 +21,6 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op5_url_filter": url_filter.SQL,
     "op7_spotsigs": spotsigs.SQL,
+    "op9_chat": chat.SQL,
     "op10_mixing": mixing.SQL,
 }
