@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, shuffle_partitions
+from sparkloom.llm.common import cut, packed, shuffle_partitions
 
 NUM, DEN = 75, 100
 MAX_FREQUENT = 200_000
@@ -558,10 +558,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = components_of(docs.select(id_col, text_col), id_col, text_col)
     stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__i"), F.col("n_shingles").alias("__k")).distinct()
     stay = stay.groupBy("__i").agg(F.max("__k").alias("__k"))
-    rows = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__i")))
+    rows = packed(docs, i=F.col(id_col))
+    rows = rows.join(stay, rows.i.eqNullSafe(stay["__i"]))
     once = Window.partitionBy("__i").orderBy(F.lit(0))
-    rows = rows.withColumn("__n", F.when(F.col("__k") > 0, F.row_number().over(once)).otherwise(1))
-    return rows.where("__n = 1").select(*docs.columns)
+    rows = rows.withColumn("nth", F.when(F.col("__k") > 0, F.row_number().over(once)).otherwise(1))
+    return rows.where("nth = 1").select("row.*")
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

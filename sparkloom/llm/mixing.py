@@ -17,11 +17,13 @@ an empty result; other columns are ignored, or carried by :func:`mixed`, whateve
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import WORD, cut, range_prefix_sum, shuffle_partitions
+from sparkloom.llm.common import WORD, cut, packed, range_prefix_sum, shuffle_partitions
 
 WEIGHTS = (3, 1, 2)
 #: Hexadecimal digits of the shuffle digest that name a slice of a source.
@@ -41,9 +43,7 @@ def targets(sizes: DataFrame, budget: tuple[int, int], most: int) -> DataFrame:
     rank = F.row_number().over(Window.orderBy(F.col("s").asc_nulls_last()))
     w = F.element_at(F.array(*[F.lit(x) for x in WEIGHTS]), (rank - 1) % len(WEIGHTS) + 1).cast("long")
     t = sizes.select("s", "n", rank.alias("r"), w.alias("w"))
-    lcm = 1
-    for x in WEIGHTS:
-        lcm = lcm * x // __import__("math").gcd(lcm, x)
+    lcm = math.lcm(*WEIGHTS)
     order = Window.orderBy(F.col("n") * F.floor(F.lit(lcm) / F.col("w")), "r")
     every = Window.partitionBy(F.lit(0))
     t = t.withColumns({
@@ -109,9 +109,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     how = weighted_mix(docs.select(id_col, text_col, source_col), id_col, text_col, source_col).where("times > 0")
     how = how.groupBy(F.col(id_col).alias("__i"), F.col(source_col).alias("__s"), F.col("size").alias("__n")).agg(F.max("times").alias("__times"))
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.withColumn("__size", size)
-    rows = rows.join(how, rows[id_col].eqNullSafe(how["__i"]) & rows[source_col].eqNullSafe(how["__s"]) & (rows["__size"] == how["__n"]))
-    return rows.withColumn("__e", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*docs.columns)
+    rows = packed(docs, i=F.col(id_col), s=F.col(source_col), n=size)
+    rows = rows.join(how, rows.i.eqNullSafe(how["__i"]) & rows.s.eqNullSafe(how["__s"]) & (rows.n == how["__n"]))
+    return rows.withColumn("time", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select("row.*")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         hit = e.join(F.broadcast(r.select("short", "full", "rank")), (e.s == F.col("short")) & (e.digest == F.col("full")), "left")
     else:
         e = e.withColumn("salt", F.col("row") % salts)
-        dealt = r.select("short", "full", "rank", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("rs"))
+        dealt = r.select("short", "full", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("rs"))
         hit = e.join(dealt, (e.s == F.col("short")) & (e.salt == F.col("rs")) & (e.digest == F.col("full")), "left")
     best = hit.groupBy("row", "id", "host", "path").agg(F.max("rank").alias("best"))
     named = r.select(F.col("rank").alias("best_rank"), "rule", "verdict")
