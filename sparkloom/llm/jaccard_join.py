@@ -252,17 +252,22 @@ def _postings(docs: DataFrame, pivots, frequent, buckets: int) -> DataFrame:
                 if s in seen or not sets.sizes[j]:
                     skip[j] = True
                 seen.add(s)
-            rank = np.ones(len(sets.values), np.uint64)
-            if len(often):
+            place = np.arange(len(sets.values)) - np.repeat(sets.bounds[:-1], sets.sizes)
+            if len(often):  # frequent shingles go behind the others of their set, by their counts
                 m = np.flatnonzero(maybe[sets.values & np.uint64((1 << 20) - 1)])
                 at = np.minimum(np.searchsorted(often, sets.values[m]), len(often) - 1)
                 hit = often[at] == sets.values[m]
-                rank[m[hit]] = counts[at[hit]]
-            order = np.lexsort((sets.values, rank, sets.doc))  # sets are contiguous: order keeps documents in place
-            place = np.arange(len(order)) - np.repeat(sets.bounds[:-1], sets.sizes)
+                m, rank = m[hit], counts[at[hit]]
+                before = np.cumsum(np.bincount(m, minlength=len(place))) if len(m) else np.zeros(len(place), np.int64)
+                until = np.append(0, before)[sets.bounds[:-1]]
+                place = place - (before - np.repeat(until, sets.sizes))
+                m = m[np.lexsort((sets.values[m], rank, sets.doc[m]))]
+                rare = sets.sizes - np.bincount(sets.doc[m], minlength=len(texts))
+                begin = np.flatnonzero(np.append(True, sets.doc[m][1:] != sets.doc[m][:-1])) if len(m) else np.zeros(0, np.int64)
+                place[m] = rare[sets.doc[m]] + np.arange(len(m)) - np.repeat(begin, np.diff(np.append(begin, len(m))))
             first = sets.sizes - -(-NUM * sets.sizes // DEN) + sets.share
             use = (place < first[sets.doc]) & ~skip[sets.doc]
-            keys.append(sets.values[order[use]])
+            keys.append(sets.values[use])
             sids.append(sets.sid[sets.doc[use]])
             held += int(use.sum())
             if held >= FLUSH:
@@ -350,8 +355,11 @@ def _blocks(name: int, left: list[int], right: list[int], same: bool = False):
     return out
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, set) of the wanted points, each once. ``wanted`` is broadcast up to ``BROADCAST_ROWS`` rows, shuffled beyond."""
+def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(region, sid, side, set): ``members`` with their sets, broadcast up to ``BROADCAST_ROWS`` rows, shuffled by point beyond.
+
+    A point may come once from each task that read a copy of it.
+    """
     import pyarrow as pa
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,12 +377,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["sid", "set"])
 
     every = docs.mapInArrow(work, "sid bigint, set binary")
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = every.join(F.broadcast(wanted) if small else wanted, "sid", "left_semi")
-    return found.groupBy("sid").agg(F.first("set").alias("set"))
+    small = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return every.join(F.broadcast(members) if small else members, "sid").select("region", "sid", "side", "set")
 
 
-def _linked(members: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
+def _linked(rows: DataFrame, partitions: int) -> DataFrame:
     """Links (u, v) that span, in each region, the components of all links between its sides."""
     import pyarrow as pa
 
@@ -432,7 +439,6 @@ def _linked(members: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
         if held:
             yield out(joined(held))
 
-    rows = members.join(sets, "sid").select("region", "sid", "side", "set")
     return rows.repartition(partitions, "region").sortWithinPartitions("region").mapInArrow(work, "u bigint, v bigint")
 
 
@@ -500,7 +506,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     used: set[int] = set()
     pivots: list[tuple[int, bytes]] = []
-    links, stats = [], base
+    stats = base
     found = None
     for _ in range(ROUNDS):
         more = _crowded(stats, used)
@@ -511,11 +517,9 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         stats = found
     shared = spark.sparkContext.broadcast([s for _, s in pivots])
 
-    members = None
+    members = root = None
     if found is not None:
-        names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(pivots)], "key bigint, pivot bigint")
         ball = cut(found.where("kind = 3").select("key", "sid").distinct())
-        links.append(ball.join(F.broadcast(names), "key").select(F.col("sid").alias("u"), F.col("pivot").alias("v")))
         # Pivots that share a point are in one component: at most MAX_PIVOTS ** 2 pairs, of the pivots alone.
         low = ball.groupBy("sid").agg(F.min("key").alias("low"))
         met = ball.join(low, "sid").where("key <> low").select("key", "low").distinct().collect()
@@ -523,12 +527,12 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for k, m in met:
             a, b = _root(k, up), _root(m, up)
             up[max(a, b)] = min(a, b)
-        comp = spark.createDataFrame([(i, _root(i, up)) for i in range(len(pivots))], "key bigint, comp int")
-        of = low.join(F.broadcast(comp), F.col("low") == F.col("key")).select(F.col("sid").alias("s"), F.col("comp").alias("own"))
+        comp = spark.createDataFrame([(i, _root(i, up), pivots[_root(i, up)][0]) for i in range(len(pivots))], "key bigint, comp int, pivot bigint")
+        # (point, component, the pivot that names it) of all points that a pivot took
+        root = cut(low.join(F.broadcast(comp), F.col("low") == F.col("key")).select(F.col("sid").alias("s"), F.col("comp").alias("own"), "pivot"))
         shell = found.where("kind = 4").select("key", "sid").distinct().join(F.broadcast(comp), "key")
-        shell = shell.join(of, F.col("sid") == F.col("s"), "left").where("own is null or own <> comp").select("key", "sid")
-        shell = cut(shell)
-        members = _windows(ball, shell)
+        shell = shell.join(root, F.col("sid") == F.col("s"), "left").where("own is null or own <> comp").select("key", "sid")
+        members = _windows(ball, cut(shell))
 
     met = _candidates(_postings(src, shared, frequent, parts * 4), parts)
     met = met.groupBy("a", "b", "region", "side").agg(F.sum("c").alias("c"))
@@ -538,15 +542,19 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     regions = candidates.where("region is not null").select("region", F.col("a").alias("sid"), "side")
     every = _pair_regions(pairs).union(regions)
     every = cut(every.union(members) if members is not None else every)
-    sets = _sets_of(src, every.select("sid").distinct())
-    links.append(_linked(every, sets, parts))
-    edges = links[0]
-    for x in links[1:]:
-        edges = edges.union(x)
+    edges = _linked(_sets_of(src, every), parts).distinct()
+    if root is not None:  # points of a pivot's component stand for it
+        for end in ("u", "v"):
+            edges = edges.join(root.select(F.col("s").alias(end), "pivot"), end, "left").withColumn(end, F.coalesce("pivot", end)).drop("pivot")
+        edges = edges.distinct()
     label = connected(edges)
 
     least = points.where("sid is not null").groupBy("sid").agg(F.min("id").alias("first"))
-    least = least.join(label, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
+    if root is not None:
+        least = least.join(root.select(F.col("s"), "pivot"), F.col("sid") == F.col("s"), "left").select("sid", "first", F.coalesce("pivot", "sid").alias("point"))
+    else:
+        least = least.withColumn("point", F.col("sid"))
+    least = least.join(label, F.col("point") == F.col("node"), "left").select("sid", "first", F.coalesce("label", "point").alias("label"))
     named = least.groupBy("label").agg(F.min("first").alias("component"))
     of = cut(least.join(named, "label").select(F.col("sid").alias("s"), "component"))
     out = points.join(of, F.col("sid") == F.col("s"), "left")

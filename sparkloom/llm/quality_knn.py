@@ -48,7 +48,7 @@ def features(texts: list[bytes]):
     """Term frequencies (one row a text, each of its two groups of length 1) as 32-bit floats."""
     import numpy as np
 
-    from sparkloom.llm.shingles import word_hashes
+    from sparkloom.llm.shingles import by_text, word_hashes
 
     n = len(texts)
     kind = np.full(256, 14, np.uint16)
@@ -71,7 +71,7 @@ def features(texts: list[bytes]):
     words = np.maximum(np.bincount(d, minlength=n), 1)
     same = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
     repeated = np.bincount(d[1:][same], minlength=n) / words
-    order = np.lexsort((h, d))
+    order = by_text(h, d, n)
     hs, ds = h[order], d[order]
     new = np.append(True, (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])) if len(hs) else np.zeros(0, bool)
     distinct = np.bincount(ds[new], minlength=n) / np.sqrt(words * np.minimum(words, 400.0))  # longer texts repeat more

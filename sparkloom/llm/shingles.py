@@ -56,6 +56,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(begins, starts, "right") - 1
 
 
+def by_text(values: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """The order by text, then value."""
+    order = np.argsort(values)
+    kind = np.uint16 if texts <= 1 << 16 else np.int64  # 16-bit integers are sorted by radix
+    return order[np.argsort(text[order].astype(kind), kind="stable")]
+
+
 class Sets:
     """Shingle sets of a batch: set ``d`` is ``values[bounds[d]:bounds[d + 1]]``, ascending; ``sid`` names its content."""
 
@@ -82,7 +89,7 @@ class Sets:
             s = np.add.reduceat(hs * _GRAM[place], heads) + _SHORT[words[ds[heads]]]
             g, at = np.concatenate([g, s]), np.concatenate([at, ds[heads]])
         g = mix(g)
-        order = np.lexsort((g, at))
+        order = by_text(g, at, n)
         g, at = g[order], at[order]
         if len(g):
             new = np.append(True, (g[1:] != g[:-1]) | (at[1:] != at[:-1]))
