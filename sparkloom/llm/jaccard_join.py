@@ -45,8 +45,8 @@ PIVOT_BYTES = 48 << 20
 CROWD = 48
 EACH = 6
 ROUNDS = 3
-BLOCK = 256
-SLICE_BYTES = 2 << 20
+BLOCK = 512
+SLICE_BYTES = 1 << 20
 FLUSH = 1 << 20
 BROADCAST_ROWS = 1_000_000
 
@@ -177,7 +177,7 @@ def _scan(docs: DataFrame, pivots, frequent: bool) -> DataFrame:
                     if not taken[j]:
                         crowds.add(sets[j], _crowd_key(sets[j]), s, sets[j])
             yield from parts
-            if crowds.n >= 4 * FLUSH:
+            if crowds.n >= 2 * FLUSH:
                 yield from _told(crowds, schema)
         yield from _told(crowds, schema)
 
@@ -458,7 +458,7 @@ def _pair_regions(pairs: DataFrame) -> DataFrame:
 
 
 def _windows(ball: DataFrame, shell: DataFrame) -> DataFrame:
-    """(region, sid, side): each block of a pivot's region with each block of its window."""
+    """(region, sid, side): each block of a component's regions with each block of its windows."""
     size = ball.groupBy("key").agg(F.count(F.lit(1)).alias("nb")).join(shell.groupBy("key").agg(F.count(F.lit(1)).alias("ns")), "key")
     size = size.select("key", F.ceil(F.col("nb") / BLOCK).alias("kb"), F.ceil(F.col("ns") / BLOCK).alias("ks"))
     region = lambda i, j: F.xxhash64("key", i, j, F.lit("w"))
@@ -531,8 +531,9 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # (point, component, the pivot that names it) of all points that a pivot took
         root = cut(low.join(F.broadcast(comp), F.col("low") == F.col("key")).select(F.col("sid").alias("s"), F.col("comp").alias("own"), "pivot"))
         shell = found.where("kind = 4").select("key", "sid").distinct().join(F.broadcast(comp), "key")
-        shell = shell.join(root, F.col("sid") == F.col("s"), "left").where("own is null or own <> comp").select("key", "sid")
-        members = _windows(ball, cut(shell))
+        shell = shell.join(root, F.col("sid") == F.col("s"), "left").where("own is null or own <> comp")
+        # Regions of one component are joined as one: its points and those in any of its windows, each sent once a block.
+        members = _windows(root.select(F.col("own").alias("key"), F.col("s").alias("sid")), cut(shell.select(F.col("comp").alias("key"), "sid").distinct()))
 
     met = _candidates(_postings(src, shared, frequent, parts * 4), parts)
     met = met.groupBy("a", "b", "region", "side").agg(F.sum("c").alias("c"))
