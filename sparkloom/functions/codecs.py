@@ -1,10 +1,9 @@
 """Byte codecs of record fields as Column expressions: character sets, zoned, packed and binary numbers, edit pictures, layouts."""
 
-from __future__ import annotations
-
 import re
 import struct
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,17 +93,23 @@ def binary_size(total: int) -> int:
     return 2 if total <= 4 else 4 if total <= 9 else 8
 
 
-@F.pandas_udf(T.BinaryType())
-def float_bytes(x, double):
-    """IEEE bytes, big-endian: 4, or 8 where ``double``."""
+def _pack(x: pd.Series, double: pd.Series) -> pd.Series:
     return x.combine(double, lambda v, d: None if v is None or v != v else struct.pack(">d" if d else ">f", v))
 
 
-@F.pandas_udf(T.DoubleType())
-def bytes_float(b):
+def _unpack(b: pd.Series) -> pd.Series:
     return b.map(lambda v: None if v is None else struct.unpack(">d" if len(v) == 8 else ">f", v)[0])
 
 
+def float_bytes(x, double) -> Column:
+    """IEEE bytes, big-endian: 4, or 8 where ``double``."""
+    return F.pandas_udf(_pack, T.BinaryType())(x, double)
+
+
+def bytes_float(b) -> Column:
+    return F.pandas_udf(_unpack, T.DoubleType())(b)
+
+
 def blank_when_zero(field, value, size: int) -> Column:
     return F.when(_c(value).cast("string").try_cast("double") == 0, F.unhex(F.lit("40" * size))).otherwise(field)
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.plans.schema import ENDS_BLOCK, NO_FALL
 
-BY_PC = Window.partitionBy("program_id").orderBy("pc")
+
+def by_pc():
+    return Window.partitionBy("program_id").orderBy("pc")
 
 
 def placed(instr: DataFrame) -> DataFrame:
@@ -20,9 +22,9 @@ def placed(instr: DataFrame) -> DataFrame:
     A leader is the first instruction, every LABEL and the one after a transfer of control; a block has its
     LABEL's name, or ``__block_`` and its first pc.
     """
-    leader = (F.col("pc") == F.min("pc").over(Window.partitionBy("program_id"))) | (F.col("opcode") == "LABEL") | F.coalesce(F.lag("opcode").over(BY_PC).isin(*ENDS_BLOCK), F.lit(False))
+    leader = (F.col("pc") == F.min("pc").over(Window.partitionBy("program_id"))) | (F.col("opcode") == "LABEL") | F.coalesce(F.lag("opcode").over(by_pc()).isin(*ENDS_BLOCK), F.lit(False))
     p = instr.withColumn("leader", leader)
-    p = p.withColumn("block_ord", (F.sum(F.col("leader").cast("int")).over(BY_PC.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    p = p.withColumn("block_ord", (F.sum(F.col("leader").cast("int")).over(by_pc().rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
     w = Window.partitionBy("program_id", "block_ord").orderBy("pc")
     name = F.when(F.col("opcode") == "LABEL", F.col("label")).otherwise(F.concat(F.lit("__block_"), F.col("pc").cast("string")))
     p = p.withColumn("block", F.first(name).over(w))

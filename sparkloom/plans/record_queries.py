@@ -326,8 +326,8 @@ def imports_in_pages(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="/([^"]+)'), 1)).alias("name"))
 
 
-@query("rg22_connection_graph", r"""SELECT kind, id, count(*) AS n FROM (SELECT 'PAGE' AS kind, upper(regexp_extract(url, '://([^/?#]*)', 1)) AS id FROM pages UNION ALL
-SELECT 'LINK', upper(unnest(regexp_extract_all(html, 'href="/([^"]+)', 1))) FROM pages) GROUP BY kind, id""")
+@query("rg22_connection_graph", r"""SELECT kind, upper(replace(id, 'ß', 'SS')) AS id, count(*) AS n FROM (SELECT 'PAGE' AS kind, (regexp_extract(url, '://([^/?#]*)', 1)) AS id FROM pages UNION ALL
+SELECT 'LINK', unnest(regexp_extract_all(html, 'href="/([^"]+)', 1)) FROM pages) GROUP BY ALL""")
 def connection_graph(spark, sf):
     p = table(spark, sf, "pages")
     nodes = p.select(F.lit("PAGE").alias("kind"), F.upper(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("id")).union(imports_in_pages(spark, sf).select(F.lit("LINK"), F.upper("name")))
