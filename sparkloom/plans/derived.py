@@ -25,13 +25,13 @@ def instr(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("p2", F.last(F.when(F.col("result_reg").isNotNull(), F.col("p1")), ignorenulls=True).over(back))
     leader = (F.col("pc") == 0) | (F.col("event_type") == "signup") | (F.lag("event_type").over(w) == "error")
     e = e.withColumn("ord", F.sum(leader.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    every = Window.partitionBy("program_id")
-    e = e.withColumn("n", F.max("ord").over(every) + 1)
     e = e.withColumn("name", F.when(F.col("event_type") == "signup", F.concat(F.lit("L"), F.col("event_id").cast("string"))))
-    # A branch names blocks by number; their labels come from the program's own leaders (one small array a program).
+    # A branch names blocks by number; their labels come from the program's own leaders, one array a program that
+    # is joined where the window's partitioning already is.
     head = F.when(leader, F.coalesce("name", F.concat(F.lit("__block_"), F.col("pc").cast("string"))))
     e = e.withColumn("head", head)
-    e = e.withColumn("heads", F.collect_list("head").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = e.where("head is not null").groupBy("program_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "head"))), lambda x: x["head"]).alias("heads"))
+    e = e.join(heads, "program_id").withColumn("n", F.size("heads"))
     kind = F.pmod("event_id", F.lit(4))
     opcode = (
         F.when(F.col("event_type") == "signup", "LABEL").when(F.col("event_type") == "click", "LOAD_VAR").when(F.col("event_type") == "view", "BINOP").when(F.col("event_type") == "purchase", "STORE_VAR")
