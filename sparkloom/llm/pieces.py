@@ -3,7 +3,7 @@
 A model whose pieces hold the white-space marker only at their beginning (checked when it is
 loaded) never joins a marked word to the next, so each distinct marked word is segmented, and
 decoded, once by the library; a document's ids are the words' ids put together by position. The
-table lives in the worker: every word occurrence stays in the task that read it, nothing is
+table lives as long as its task: every word occurrence stays in the task that read it, nothing is
 shuffled, and the table is emptied when it has ``MAX_CHUNKS`` words.
 
 Defined cases: a null text counts as empty and an empty one has the begin and end ids only; words
@@ -21,9 +21,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 400_000
 SLICE = 256
-_CODERS: dict[str, Coder] = {}
 
 
 class Coder:
@@ -78,12 +77,6 @@ class Coder:
         return out
 
 
-def coder(model: str) -> Coder:
-    if model not in _CODERS:
-        _CODERS[model] = Coder(model)
-    return _CODERS[model]
-
-
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_texts: bool = False) -> DataFrame:
     """One row for each row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded with ``keep_texts``)."""
     import pyarrow as pa
@@ -92,7 +85,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep_texts
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(model)
+        c = Coder(model)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
