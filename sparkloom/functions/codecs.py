@@ -1,6 +1,5 @@
 """Byte codecs of record fields as Column expressions: character sets, zoned, packed and binary numbers, edit pictures, layouts."""
 
-import re
 import struct
 
 import pandas as pd
@@ -8,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.functions.pictures import expand_picture, parse_picture
+
 #: Printable ASCII and its place in code page 037, by the codec's rule.
 ASCII = "".join(map(chr, range(32, 127)))
 EBCDIC = ASCII.encode("cp037").decode("latin-1")
@@ -115,21 +116,6 @@ def blank_when_zero(field, value, size: int) -> Column:
 
 
 # pictures
-def expand_picture(pic: str) -> str:
-    return re.sub(r"(.)\((\d+)\)", lambda m: m[1] * int(m[2]), pic.upper())
-
-
-def parse_picture(pic: str) -> dict:
-    """kind, digits, decimals, signed, size of a picture clause."""
-    p = expand_picture(pic)
-    if set(p) & set("XA"):
-        return {"kind": "alphanumeric", "digits": 0, "decimals": 0, "signed": False, "size": len(p)}
-    edited = bool(set(p) & set("Z*$+-,.B0/")) or p.endswith(("CR", "DB"))
-    point = p.replace(".", "V").find("V")
-    tail = p[point + 1 :] if point >= 0 else ""
-    return {"kind": "edited" if edited else "zoned", "digits": sum(c in "9Z*" for c in p), "decimals": sum(c in "9Z*" for c in tail), "signed": "S" in p or edited and bool(set(p) & set("+-")), "size": len(p) if edited else sum(c == "9" for c in p)}
-
-
 def apply_picture(value, pic: str) -> Column:
     """A number in a picture of 9, Z, comma, point, B, 0, / and a leading or trailing sign: zeros before the first
     significant digit become spaces under Z, insertions among them too."""

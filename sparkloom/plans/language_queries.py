@@ -231,7 +231,7 @@ def lowered(spark, sf):
 def golden_answers(spark, sf):
     tables.register(spark)
     _programs(spark).createOrReplaceTempView("sparkloom_programs")
-    return spark.sql("SELECT name, r.answer FROM sparkloom_programs p, LATERAL run_source(p.source, 'answer', 20000) r")
+    return spark.sql("SELECT name, r.answer FROM sparkloom_programs p, LATERAL run_source(p.source, p.language, 'answer', 20000) r")
 
 
 @query("rm04_execution_trace", "SELECT 'bits' AS name, step, opcode FROM (VALUES (1, 'LABEL'), (2, 'CONST'), (3, 'CONST'), (4, 'BINOP'), (5, 'CONST'), (6, 'BINOP'), (7, 'STORE_VAR')) v(step, opcode)")
@@ -241,6 +241,59 @@ def execution_trace(spark, sf):
     return spark.sql("SELECT name, t.step, t.opcode FROM sparkloom_bits p, LATERAL trace_source(p.source, 100) t")
 
 
+#: The same function in every language.
+FACTORIALS = {
+    "python": 'def f(n):\n  return 1 if n < 2 else n * f(n - 1)\nanswer = f(5)',
+    "javascript": 'function f(n) {\n  let r = 1;\n  while (n > 1) { r = r * n; n = n - 1; }\n  return r;\n}\nlet answer = f(5);',
+    "typescript": 'function f(n: number): number {\n  let r: number = 1;\n  for (let i = 2; i <= n; i++) { r *= i; }\n  return r;\n}\nconst answer: number = f(5);',
+    "java": 'static int f(int n) {\n  int r = 1;\n  for (int i = 1; i <= n; i++) r = r * i;\n  return r;\n}\nint answer = f(5);',
+    "c": '#include <stdio.h>\nint f(int n) {\n  if (n <= 1) return 1;\n  return n * f(n - 1);\n}\nint answer = f(5);',
+    "cpp": 'int f(int n) { return n <= 1 ? 1 : n * f(n - 1); }\nint answer = f(5);',
+    "csharp": 'using System;\npublic static int f(int n) { int r = 1; while (n > 1) { r *= n; n--; } return r; }\nint answer = f(5);',
+    "go": 'package main\nfunc f(n int) int {\n  r := 1\n  for i := 2; i <= n; i++ {\n    r = r * i\n  }\n  return r\n}\nanswer := f(5)',
+    "rust": 'fn f(n: i32) -> i32 {\n  let mut r: i32 = 1;\n  let mut i = n;\n  while i > 1 { r = r * i; i = i - 1; }\n  r\n}\nlet answer = f(5);',
+    "kotlin": 'fun f(n: Int): Int {\n  var r = 1\n  var i = n\n  while (i > 1) { r *= i; i -= 1 }\n  return r\n}\nval answer = f(5)',
+    "scala": 'def f(n: Int): Int = {\n  if (n <= 1) { return 1 }\n  n * f(n - 1)\n}\nval answer = f(5)',
+    "php": '<?php\nfunction f($n) { $r = 1; while ($n > 1) { $r = $r * $n; $n--; } return $r; }\n$answer = f(5);',
+    "lua": 'function f(n)\n  if n <= 1 then\n    return 1\n  else\n    return n * f(n - 1)\n  end\nend\nanswer = f(5)',
+    "ruby": 'def f(n)\n  r = 1\n  while n > 1\n    r = r * n\n    n -= 1\n  end\n  r\nend\nanswer = f(5)',
+    "pascal": 'function f(n: integer): integer;\nvar i: integer;\nbegin\n  f := 1;\n  for i := 2 to n do\n  begin\n    f := f * i;\n  end;\nend;\nbegin\n  answer := f(5);\nend.',
+    "cobol": '       DATA DIVISION.\n       WORKING-STORAGE SECTION.\n       01 N PIC 9(4) VALUE 5.\n       01 ANSWER PIC 9(6) VALUE 1.\n       PROCEDURE DIVISION.\n       MAIN-PARA.\n           PERFORM STEP-PARA UNTIL N < 2.\n           STOP RUN.\n       STEP-PARA.\n           MULTIPLY N BY ANSWER.\n           SUBTRACT 1 FROM N.\n',
+}
+
+
+@query("rf01_factorial_in_every_language", "SELECT * FROM " + values_sql([(k, "120") for k in FACTORIALS], "language, answer"))
+def factorials(spark, sf):
+    tables.register(spark)
+    rows = [(k, s, "ANSWER" if k == "cobol" else "answer") for k, s in FACTORIALS.items()]
+    spark.createDataFrame(rows, "language string, source string, variable string").createOrReplaceTempView("sparkloom_languages")
+    return spark.sql("SELECT language, r.answer FROM sparkloom_languages p, LATERAL run_source(p.source, p.language, p.variable, 5000) r")
+
+
+@query("ra05_language_shapes")
+def language_shapes(spark, sf):
+    """Languages whose lowering of one function has the same number of blocks and edges, the largest class first."""
+    from sparkloom.operators import cfg
+
+    tables.register(spark)
+    spark.createDataFrame([(i, k, s) for i, (k, s) in enumerate(FACTORIALS.items())], "program_id bigint, language string, source string").createOrReplaceTempView("sparkloom_shapes")
+    instr = spark.sql("SELECT program_id, language, r.* FROM sparkloom_shapes p, LATERAL lower_source(p.source, p.language) r")
+    b = cfg.blocks(cfg.placed(instr.drop("language")))
+    shape = b.groupBy("program_id").agg(F.count(F.lit(1)).alias("blocks")).join(cfg.edges(b).groupBy("program_id").agg(F.count(F.lit(1)).alias("edges")), "program_id", "left")
+    named = shape.join(instr.select("program_id", "language").distinct(), "program_id")
+    classes = named.groupBy("blocks", "edges").agg(F.array_join(F.array_sort(F.collect_list("language")), ", ").alias("languages"), F.count(F.lit(1)).alias("n"))
+    return classes.withColumn("class", F.dense_rank().over(Window.orderBy(F.desc("n"), "blocks", "edges")))
+
+
+@query("ra10_required_opcodes")
+def required_opcodes(spark, sf):
+    """Opcodes that every language's lowering has."""
+    tables.register(spark)
+    spark.createDataFrame(list(FACTORIALS.items()), "language string, source string").createOrReplaceTempView("sparkloom_opcodes")
+    i = spark.sql("SELECT DISTINCT language, r.opcode FROM sparkloom_opcodes p, LATERAL lower_source(p.source, p.language) r")
+    return i.groupBy("opcode").agg(F.count(F.lit(1)).alias("languages")).where(F.col("languages") == len(FACTORIALS)).select("opcode")
+
+
 _GCD = "def gcd(a, b):\n  while b: a, b = b, a % b\n  return a\nanswer = gcd(x, y)"
 
 

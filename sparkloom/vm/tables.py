@@ -10,31 +10,24 @@ from pyspark.sql.functions import udtf
 
 
 class LowerSource:
-    """``LATERAL lower_source(source, language)``: one row an instruction; languages without a frontend give one unknown."""
+    """``LATERAL lower_source(source, language)``: one row an instruction; unknown languages give one unknown."""
 
     def eval(self, source: str, language: str):
-        from sparkloom.frontends.python_ast import lower
+        from sparkloom.frontends import lower
 
-        if language != "python":
-            yield 0, "SYMBOLIC", "%0", [f"unsupported:{language}"], "", []
-            return
-        try:
-            code = lower(source)
-        except SyntaxError:
-            yield 0, "SYMBOLIC", "%0", ["unsupported:syntax"], "", []
-            return
+        code = lower(source, language)
         for pc, (op, reg, ops, label, targets) in enumerate(code):
             yield pc, op, reg, [str(x) for x in ops], label, targets
 
 
 class RunSource:
-    """``LATERAL run_source(source, variable, most)``: the JSON of one variable after at most ``most`` steps."""
+    """``LATERAL run_source(source, language, variable, most)``: the JSON of one variable after at most ``most`` steps."""
 
-    def eval(self, source: str, variable: str, most: int):
-        from sparkloom.frontends.python_ast import lower
+    def eval(self, source: str, language: str, variable: str, most: int):
+        from sparkloom.frontends import lower
         from sparkloom.vm.machine import Machine
 
-        m = Machine(lower(source)).run(most)
+        m = Machine(lower(source, language)).run(most)
         yield json.dumps(m.plain(m.frames[0].vars.get(variable))), m.steps, m.done, None if m.error is None else str(m.error)
 
 

@@ -8,12 +8,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sparkloom.frontends import lower as lower_any
 from sparkloom.frontends.python_ast import lower
 from sparkloom.functions import codecs as C
 from sparkloom.functions import intrinsics as I
 from sparkloom.operators import cfg, dataflow, types
 from sparkloom.plans import fixpoint
-from sparkloom.plans.language_queries import GOLDEN
+from sparkloom.plans.language_queries import FACTORIALS, GOLDEN
 from sparkloom.plans.schema import INSTR, OPCODES
 from sparkloom.sources import records as R
 from sparkloom.vm.machine import BINOPS, Machine, Symbol
@@ -94,6 +95,43 @@ def test_golden_programs(name):
     assert m.done and m.plain(m.frames[0].vars["answer"]) == answer
 
 
+@pytest.mark.parametrize("language", sorted(FACTORIALS))
+def test_every_language(language):
+    m = Machine(lower_any(FACTORIALS[language], language)).run(5000)
+    assert m.done and m.frames[0].vars.get("answer", m.frames[0].vars.get("ANSWER")) == 120
+
+
+COBOL = """       DATA DIVISION.
+       01 N PIC 9(4) VALUE 5.
+       01 T PIC X(3) VALUE 'abcd'.
+       01 Q PIC S9(3)V99 VALUE -1.25.
+       01 I PIC 9(2).
+       01 S PIC 9(3) VALUE 0.
+       PROCEDURE DIVISION.
+       A-PARA.
+           IF Q IS NEGATIVE AND NOT N = 7 THEN MOVE 'xy' TO T ELSE MOVE 'no' TO T END-IF.
+           EVALUATE N WHEN 0 MOVE 9 TO Q WHEN 4 THRU 6 MOVE 2.555 TO Q WHEN OTHER MOVE 7 TO Q END-EVALUATE.
+           PERFORM VARYING I FROM 1 BY 1 UNTIL I > 4 ADD I TO S END-PERFORM.
+           PERFORM B-PARA 2 TIMES.
+           DIVIDE 7 BY 2 GIVING N REMAINDER I.
+           DISPLAY T S.
+           STOP RUN.
+       B-PARA.
+           ADD 100 TO S.
+"""
+
+
+def test_cobol():
+    m = Machine(lower_any(COBOL, "cobol")).run(5000)
+    assert {k: m.frames[0].vars[k] for k in "NTQIS"} == {"N": 3, "T": "xy ", "Q": 2.55, "I": 1, "S": 210} and m.out == ["xy  210"]
+
+
+def test_unknown_language_and_bad_source():
+    assert lower_any("x", "klingon")[1][2] == ["unsupported:klingon"] and lower_any("def (", "python")[1][2] == ["unsupported:syntax"]
+    for language in FACTORIALS:
+        assert lower_any("@@ ?? ))) {{{ 1 +", language)
+
+
 def test_machine_handles_every_opcode():
     handled = {n[1:].upper() for n in dir(Machine) if n.startswith("_") and not n.startswith("__")}
     assert {o for o, _, _ in OPCODES} <= handled
