@@ -253,7 +253,7 @@ def subgraph_ranges(spark, sf):
     return cfg.subgraph_ranges(lab.union(ends)).select("program_id", "start_label", "end_label")
 
 
-@query("rp09_longest_functions", derived.oracle("SELECT program_id, max_by(func, (n, func)) AS func, max(n) AS n FROM (SELECT o.program_id, o.func, sum(b.n_instr) AS n FROM own o JOIN blk b ON b.program_id = o.program_id AND b.label = o.label WHERE o.func IS NOT NULL GROUP BY o.program_id, o.func) GROUP BY program_id"))
+@query("rp09_longest_functions", derived.oracle("SELECT program_id, max_by(func, (n, func)) AS func, max(n) AS n FROM (SELECT o.program_id, o.func, CAST(sum(b.n_instr) AS BIGINT) AS n FROM own o JOIN blk b ON b.program_id = o.program_id AND b.label = o.label WHERE o.func IS NOT NULL GROUP BY o.program_id, o.func) GROUP BY program_id"))
 def longest_functions(spark, sf):
     b = cfg.blocks(P._placed(spark, sf))
     own = cfg.owners(b, F.col("label").startswith("L")).where("func is not null").join(b.select("program_id", "label", "n_instr"), ["program_id", "label"])
