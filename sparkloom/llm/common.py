@@ -116,3 +116,28 @@ def slices(batch, size: int, column: int = 1):
             end += 1
         yield batch.slice(at, end - at)
         at = end
+
+
+def first_by_digest(ids: DataFrame, most: int) -> DataFrame:
+    """The ``most`` first different ``i`` of ``ids`` in the order of their digest, found without sending ``most`` rows of every task to the driver."""
+    digest = F.md5(F.col("i").cast("string").cast("binary"))
+    n = ids.count()
+    if n > 4 * most:  # twice as many as needed lie below this bound, give or take a few percent
+        ids = ids.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < int(2**32 * 2 * most / n))
+    return ids.orderBy(digest, "i").limit(most)
+
+
+def largest_counts(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """Rows with the largest ``count``: all from the lowest power of two from which on there are at most ``most``; if not even the highest fits, its first."""
+    level = F.floor(F.log2(F.col(count))).cast("int")
+    counted = counted.withColumn("__level", level)
+    sizes = sorted(((r[0], r[1]) for r in counted.groupBy("__level").count().collect()), reverse=True)  # 63 rows at most
+    low, total = None, 0
+    for at, n in sizes:
+        if total + n > most:
+            break
+        low, total = at, total + n
+    if low is None:
+        top = sizes[0][0] if sizes else 0
+        return counted.where(F.col("__level") == top).drop("__level").orderBy(F.desc(count), *[c for c in counted.columns if c not in (count, "__level")]).limit(most)
+    return counted.where(F.col("__level") >= low).drop("__level")

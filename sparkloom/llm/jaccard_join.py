@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, packed, shuffle_partitions
+from sparkloom.llm.common import cut, largest_counts, packed, shuffle_partitions
 
 NUM, DEN = 75, 100
 MAX_FREQUENT = 200_000
@@ -78,25 +78,44 @@ class _Crowds:
         self.n += len(values)
 
     def rows(self):
-        """(kind, key, count, sid, set): kind 0 a shingle, kind 1 a crowd with up to two of its sets."""
+        """(kind, key, n, sid, set): kind 0 shingles that come often and kind 5 crowds, both as packed (keys, counts); kind 1 two sets of a crowd."""
         import numpy as np
 
         if self.values:
             u, c = np.unique(np.concatenate(self.values), return_counts=True)
             often = c > 1
-            for k, n in zip(u[often].view(np.int64).tolist(), c[often].tolist()):
-                yield 0, k, n, 0, None
+            yield from _packed(0, u[often], c[often])
         groups: dict[int, list] = {}
         for key, sid, own in self.keys:
             groups.setdefault(key, []).append((sid, own))
+        yield from _packed(5, np.array(list(groups), np.int64), np.array([len(m) for m in groups.values()]))
         for key, members in groups.items():
-            some = members[:2] if len(members) > 1 else []
-            yield 1, key, len(members) - len(some), 0, None
-            for sid, own in some:
-                yield 1, key, 1, sid, own.tobytes()
+            if len(members) > 1:
+                for sid, own in members[:2]:
+                    yield 1, key, 1, sid, own.tobytes()
         self.values, self.keys, self.n = [], [], 0
 
 
+def _packed(kind: int, keys, counts):
+    for at in range(0, len(keys), 1 << 16):
+        k, n = keys[at : at + (1 << 16)], counts[at : at + (1 << 16)]
+        yield kind, None, len(k), None, k.tobytes() + n.astype("<u4").tobytes()
+
+
+def _counts(stats: DataFrame, kind: int) -> DataFrame:
+    """(key, n) of the packed counts of a kind."""
+    import pyarrow as pa
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64, n)), pa.array(np.frombuffer(x, np.uint32, n, 8 * n).astype(np.int64))], names=["key", "n"])
+
+    return stats.where(F.col("kind") == kind).select("n", "set").mapInArrow(work, "key bigint, n bigint")
+
+
 def _crowd_key(values) -> int:
     return int(values[: 2].sum().astype("int64"))
 
@@ -142,7 +161,7 @@ def _scan(docs: DataFrame, pivots, frequent: bool) -> DataFrame:
     """One pass over the texts: (kind, key, n, sid, set).
 
     Without pivots: kind 2, a row for each document (key: identifier, n: size). With pivots: kind 3 and 4, a
-    set linked with a pivot or in its window (key: the pivot). Both: kinds 0 and 1 (:class:`_Crowds`), of
+    set linked with a pivot or in its window (key: the pivot). Both: kinds 0, 1 and 5 (:class:`_Crowds`), of
     the sets that no pivot took.
     """
     import pyarrow as pa
@@ -190,16 +209,17 @@ def _told(crowds, schema):
     import pyarrow as pa
 
     rows = crowds.rows()
-    while part := list(itertools.islice(rows, 20_000)):
+    while part := list(itertools.islice(rows, 256)):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
 
 
 def _crowded(stats: DataFrame, used: set[int]) -> list[tuple[int, bytes]]:
     """Up to ``MAX_PIVOTS`` points out of crowds, the largest first: (sid, set)."""
-    crowds = stats.where("kind = 1").groupBy("key").agg(F.sum("n").alias("c")).where(F.col("c") >= CROWD).orderBy(F.desc("c"), "key").limit(MAX_PIVOTS // EACH).cache()
+    crowds = _counts(stats, 5).groupBy("key").agg(F.sum("n").alias("c")).where(F.col("c") >= CROWD)
+    crowds = largest_counts(crowds, "c", MAX_PIVOTS // EACH).cache()
     try:
         w = Window.partitionBy("key").orderBy("sid")
-        some = stats.where("kind = 1 and set is not null").select("key", "sid", "set").join(F.broadcast(crowds), "key")
+        some = stats.where("kind = 1").select("key", "sid", "set").join(F.broadcast(crowds), "key")
         some = some.withColumn("r", F.row_number().over(w)).where(F.col("r") <= EACH).orderBy(F.desc("c"), "key", "r")
         out, size = [], 0
         for r in some.select("sid", "set").toLocalIterator():
@@ -442,6 +462,16 @@ def _linked(rows: DataFrame, partitions: int) -> DataFrame:
     return rows.repartition(partitions, "region").sortWithinPartitions("region").mapInArrow(work, "u bigint, v bigint")
 
 
+def _least_shared(n, m):
+    """So many first shingles sets of these sizes share at least if they are linked.
+
+    Linked sets have an overlap of at least NUM (n + m) / (NUM + DEN); of a set's shingles all but the first lie behind
+    its prefix, so the overlap's first shingles, as many as it has more than those behind, lie in both prefixes.
+    """
+    behind = lambda k: F.ceil(k * NUM / DEN) - F.least(1 + F.floor(k / 16), F.lit(64))
+    return F.ceil((n + m) * NUM / (NUM + DEN)) - F.greatest(behind(n), behind(m))
+
+
 def _pair_regions(pairs: DataFrame) -> DataFrame:
     """(region, sid, side): pairs gathered by the smallest point next to either end, dealt into blocks where many meet."""
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
@@ -499,7 +529,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     base = cut(_scan(src, None, True))
     points = base.where("kind = 2").select(F.col("key").alias("id"), "n", "sid")
-    top = base.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")).where("c >= 8").orderBy(F.desc("c"), "key").limit(MAX_FREQUENT).toPandas()
+    top = largest_counts(_counts(base, 0).groupBy("key").agg(F.sum("n").alias("c")).where("c >= 8"), "c", MAX_FREQUENT).toPandas()
     keys = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order].tobytes(), top["c"].to_numpy(np.int64).astype(np.uint64)[order].tobytes()))
@@ -539,7 +569,11 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = met.groupBy("a", "b", "region", "side").agg(F.sum("c").alias("c"))
     enough = F.least(F.col("a").bitwiseAND(63), F.col("b").bitwiseAND(63)) + 1
     candidates = cut(met.where(F.col("region").isNotNull() | (F.col("c") >= enough)))
-    pairs = candidates.where("region is null").select("a", "b")
+    size = points.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"))
+    pairs = candidates.where("region is null").select("a", "b", "c")
+    for end in ("a", "b"):
+        pairs = pairs.join(size.select(F.col("sid").alias(end), F.col("n").alias(f"n{end}")), end)
+    pairs = cut(pairs.where(F.col("c") >= _least_shared(F.col("na"), F.col("nb"))).select("a", "b"))
     regions = candidates.where("region is not null").select("region", F.col("a").alias("sid"), "side")
     every = _pair_regions(pairs).union(regions)
     every = cut(every.union(members) if members is not None else every)

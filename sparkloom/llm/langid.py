@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import slices
+from sparkloom.llm.common import first_by_digest, slices
 
 FEATURES = 1 << 13
 MAX_ROWS = 4000
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     import pyarrow as pa
 
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    some = rows.select("i").distinct().orderBy(F.md5(F.col("i").cast("string").cast("binary")), "i").limit(most)
+    some = first_by_digest(rows.select("i").where("i is not null").distinct(), most)
     rows = rows.join(F.broadcast(some), "i").select("i", "t", "l", (F.crc32(F.concat(F.lit("hold"), F.col("i").cast("string")).cast("binary")) % 5 == 0).alias("h"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import slices
+from sparkloom.llm.common import first_by_digest, slices
 
 MAX_LABELLED = 4096
 DIMS = 64
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     import pyarrow as pa
 
     some = labels.where(learn & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).cast("int").alias("y"))
-    some = some.orderBy(F.md5(F.col("i").cast("string").cast("binary")), "i").limit(most)
+    some = first_by_digest(some.where("i is not null"), most)
     rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")).join(F.broadcast(some), "i").select("i", "t", "y")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
