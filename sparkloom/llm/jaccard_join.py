@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, largest_counts, packed, shuffle_partitions
+from sparkloom.llm.common import cut, largest_counts, packed, release, shuffle_partitions
 
 NUM, DEN = 75, 100
 MAX_FREQUENT = 200_000
@@ -569,6 +569,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = met.groupBy("a", "b", "region", "side").agg(F.sum("c").alias("c"))
     enough = F.least(F.col("a").bitwiseAND(63), F.col("b").bitwiseAND(63)) + 1
     candidates = cut(met.where(F.col("region").isNotNull() | (F.col("c") >= enough)))
+    release(spark)  # of the postings
     size = points.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"))
     pairs = candidates.where("region is null").select("a", "b", "c")
     for end in ("a", "b"):
