@@ -154,10 +154,14 @@ SELECT c_custkey, CAST(round(CAST(c_acctbal AS DECIMAL(18, 8)), 1) * 10 AS BIGIN
   CASE WHEN c_custkey < 1000 THEN lpad(CAST(c_custkey AS VARCHAR), 6, ' ') ELSE ' ' || CAST(c_custkey // 1000 AS VARCHAR) || ',' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') END AS shown
 FROM customer WHERE c_custkey < 10000""")
 def rounding_and_pictures(spark, sf):
-    t = table(spark, sf, "customer").where("c_custkey < 10000")
+    """All customers: keys beyond the six places of ZZ,ZZ9 or the seven digits are shown in full by a picture of 19 digits."""
+    t = table(spark, sf, "customer")
     k = F.col("c_custkey")
+    fits = lambda top, short, wide: F.when(k < top, short).otherwise(wide)
+    all_digits = fits(10**7, C.digits(k, 7, 0), k.cast("string"))
+    shown = fits(10**5, C.apply_picture(k, "ZZ,ZZ9"), F.ltrim(C.apply_picture(k, "Z,ZZZ,ZZZ,ZZZ,ZZZ,ZZZ,ZZ9")))
     bal = F.round(F.col("c_acctbal").cast("decimal(18,8)"), 8)
-    return t.select("c_custkey", (I.cobol_round(bal, 1) * 10).cast("bigint").alias("rounded"), F.hex(C.blank_when_zero(F.unhex(F.lit("F0F1")), k % 2, 2)).alias("blanked"), C.digits(k, 7, 0).alias("digits"), C.sign_nibble(F.col("c_acctbal"), True).alias("sign"), C.apply_picture(k, "ZZ,ZZ9").alias("shown"))
+    return t.select("c_custkey", (I.cobol_round(bal, 1) * 10).cast("bigint").alias("rounded"), F.hex(C.blank_when_zero(F.unhex(F.lit("F0F1")), k % 2, 2)).alias("blanked"), all_digits.alias("digits"), C.sign_nibble(F.col("c_acctbal"), True).alias("sign"), shown.alias("shown"))
 
 
 @query("rc83_collating", "SELECT n_nationkey, chr(65 + n_nationkey % 9) AS c, CAST(194 + n_nationkey % 9 AS INT) AS ord FROM nation")
