@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,23 +62,35 @@ def taint_pairs(closure: DataFrame, sources: DataFrame, sinks: DataFrame) -> Dat
     return t.join(sinks.select("program_id", F.col("node").alias("dst")), ["program_id", "dst"], "left_semi").select("program_id", F.col("src").alias("source"), F.col("dst").alias("sink"))
 
 
-def call_trees(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
-    """(program_id, path, depth, recursive): all call paths from the roots; a function met again on its path ends it as a recursive leaf."""
+def call_trees(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(program_id, root, path, depth, recursive): all call paths from the roots, of any length; a function met again on its path ends it as a recursive leaf.
+
+    Each root is a row of its own and its paths leave the task in batches, so that their number does not bear on memory.
+    """
 
-    def solve(e, r):
+    def solve(frames):
         import pandas as pd
 
-        adj: dict = {}
-        for s, d in zip(e["src"], e["dst"]):
-            adj.setdefault(s, []).append(d)
-        rows = []
-        for root in sorted(set(r["node"])):
+        def paths(src, dst, root):
+            adj: dict = {}
+            for s, d in zip(src, dst):
+                adj.setdefault(s, set()).add(d)
             todo = [([root], False)]
             while todo:
                 path, again = todo.pop()
-                rows.append((" > ".join(path), len(path) - 1, again))
-                if not again and len(path) <= most:
+                yield " > ".join(path), len(path) - 1, again
+                if not again:
                     todo += [([*path, d], d in path) for d in sorted(adj.get(path[-1], ()), reverse=True)]
-        return pd.DataFrame({"program_id": [r["program_id"].iloc[0]] * len(rows) if len(r) else [], "path": [a for a, _, _ in rows], "depth": [b for _, b, _ in rows], "recursive": [c for _, _, c in rows]})
 
-    return edges.select("program_id", "src", "dst").groupBy("program_id").cogroup(apart(roots, "program_id", "node").groupBy("program_id")).applyInPandas(solve, "program_id bigint, path string, depth int, recursive boolean")
+        for pdf in frames:
+            for program, root, src, dst in zip(pdf["program_id"], pdf["root"], pdf["src"], pdf["dst"]):
+                found = paths(() if src is None else src, () if dst is None else dst, root)
+                while rows := list(islice(found, 10_000)):
+                    out = pd.DataFrame(rows, columns=["path", "depth", "recursive"])
+                    out.insert(0, "program_id", program)
+                    out.insert(1, "root", root)
+                    yield out
+
+    of = edges.groupBy("program_id").agg(F.collect_list(F.struct("src", "dst")).alias("e")).select("program_id", F.col("e.src").alias("src"), F.col("e.dst").alias("dst"))
+    each = apart(roots, "program_id", "node").distinct().withColumnRenamed("node", "root").join(of, "program_id", "left")
+    return each.select("program_id", "root", "src", "dst").mapInPandas(solve, "program_id bigint, root string, path string, depth int, recursive boolean")

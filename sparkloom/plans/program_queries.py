@@ -374,9 +374,13 @@ def overview(spark, sf):
 
 @query("ri25_call_trees")
 def call_trees(spark, sf):
+    """The tree of each top-level call (block, idx), and of each program's first function as the given one (block and idx null)."""
     funcs, sites = _sites(spark, sf)
-    roots = funcs.where("num = 0").select("program_id", F.col("label").alias("node"))
-    return interproc.call_trees(interproc.call_edges(sites), roots, most=4)
+    given = funcs.where("num = 0").select("program_id", F.lit(None).cast("string").alias("block"), F.lit(None).cast("int").alias("idx"), F.col("label").alias("root"))
+    top = sites.where("caller is null and callee is not null").select("program_id", "block", F.col("idx").cast("int"), F.col("callee").alias("root"))
+    roots = fixpoint.checkpointed(given.union(top))
+    trees = interproc.call_trees(interproc.call_edges(sites), roots.withColumnRenamed("root", "node"))
+    return roots.join(trees, ["program_id", "root"]).select("program_id", "block", "idx", "path", "depth", "recursive")
 
 
 _SHAPES = "sh AS (SELECT b.program_id, count(*) AS blocks, (SELECT count(*) FROM edge e WHERE e.program_id = b.program_id) AS edges FROM blk b GROUP BY b.program_id)"
