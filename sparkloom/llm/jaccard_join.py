@@ -31,7 +31,9 @@ by :func:`components_of` and carried by :func:`one_of_each`.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,7 +162,7 @@ class _Pivots:
 def _scan(docs: DataFrame, pivots, frequent: bool) -> DataFrame:
     """One pass over the texts: (kind, key, n, sid, set).
 
-    Without pivots: kind 2, a row for each document (key: identifier, n: size). With pivots: kind 3 and 4, a
+    Without pivots: kind 2, a row for each document (key: identifier, n: size, set: the text's MD5). With pivots: kind 3 and 4, a
     set linked with a pivot or in its window (key: the pivot). Both: kinds 0, 1 and 5 (:class:`_Crowds`), of
     the sets that no pivot took.
     """
@@ -173,6 +175,7 @@ def _scan(docs: DataFrame, pivots, frequent: bool) -> DataFrame:
 
         from sparkloom.llm.shingles import Sets
 
+        md5 = partial(hashlib.md5, usedforsecurity=False)
         index = _Pivots([np.frombuffer(s, np.uint64) for s in pivots.value]) if pivots is not None else None
         crowds, seen = _Crowds(frequent), set()
         for ids, texts in _batches(batches):
@@ -182,7 +185,7 @@ def _scan(docs: DataFrame, pivots, frequent: bool) -> DataFrame:
             taken = np.zeros(len(texts), bool)
             if index is None:
                 k = len(texts)
-                parts.append(pa.RecordBatch.from_arrays([pa.array(np.full(k, 2, np.int32)), ids.cast(pa.int64()), pa.array(sets.sizes.astype(np.int64)), pa.array([s if n else None for s, n in zip(sid, sets.sizes)], pa.int64()), pa.nulls(k, pa.binary())], schema=schema))
+                parts.append(pa.RecordBatch.from_arrays([pa.array(np.full(k, 2, np.int32)), ids.cast(pa.int64()), pa.array(sets.sizes.astype(np.int64)), pa.array([s if n else None for s, n in zip(sid, sets.sizes)], pa.int64()), pa.array([md5(t or b"").digest() for t in texts], pa.binary())], schema=schema))
             else:
                 d, p, linked = index.near(sets)
                 taken[d[linked]] = True
@@ -522,13 +525,21 @@ def _root(i: int, up: dict[int, int]) -> int:
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id."""
+    out = _components(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def _components(src: DataFrame) -> DataFrame:
+    """(id, n, sid, h, label, component) of ``src`` (id, t): the set's name, a digest of the text, the component's own name and its smallest id.
+
+    sid, label and component are null where there are no shingles, component also where no row of it has an id.
+    """
     import numpy as np
 
-    spark = docs.sparkSession
+    spark = src.sparkSession
     parts = shuffle_partitions(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     base = cut(_scan(src, None, True))
-    points = base.where("kind = 2").select(F.col("key").alias("id"), "n", "sid")
+    points = base.where("kind = 2").select(F.col("key").alias("id"), "n", "sid", F.col("set").alias("h"))
     top = largest_counts(_counts(base, 0).groupBy("key").agg(F.sum("n").alias("c")).where("c >= 8"), "c", MAX_FREQUENT).toPandas()
     keys = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -591,20 +602,25 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         least = least.withColumn("point", F.col("sid"))
     least = least.join(label, F.col("point") == F.col("node"), "left").select("sid", "first", F.coalesce("label", "point").alias("label"))
     named = least.groupBy("label").agg(F.min("first").alias("component"))
-    of = cut(least.join(named, "label").select(F.col("sid").alias("s"), "component"))
-    out = points.join(of, F.col("sid") == F.col("s"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    of = cut(least.join(named, "label").select(F.col("sid").alias("s"), "label", "component"))
+    return points.join(of, F.col("sid") == F.col("s"), "left").drop("s")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest identifier of each component, with all columns; rows without identifier stay only where no other is linked."""
-    found = components_of(docs.select(id_col, text_col), id_col, text_col)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__i"), F.col("n_shingles").alias("__k")).distinct()
-    stay = stay.groupBy("__i").agg(F.max("__k").alias("__k"))
-    rows = packed(docs, i=F.col(id_col))
-    rows = rows.join(stay, rows.i.eqNullSafe(stay["__i"]))
-    once = Window.partitionBy("__i").orderBy(F.lit(0))
-    rows = rows.withColumn("nth", F.when(F.col("__k") > 0, F.row_number().over(once)).otherwise(1))
+    """Of each component one document with the smallest identifier, with all columns; one without identifier stays only where no row of the component has one.
+
+    A document is known by its identifier and its text, so that rows that share an identifier, or have none, stay apart.
+    Texts without shingles are linked with nothing and all stay.
+    """
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    found = _components(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t")))
+    linked = found.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "h")).alias("m")).select("m.id", "m.h", F.lit(True).alias("__k"))
+    alone = found.where("label is null").select("id", "h", F.lit(False).alias("__k")).distinct()
+    stay = linked.union(alone).select(F.col("id").alias("__i"), F.col("h").alias("__h"), "__k")
+    rows = packed(docs, i=F.col(id_col).cast("long"), h=F.unhex(F.md5(text)))
+    rows = rows.join(stay, rows.i.eqNullSafe(stay["__i"]) & (rows.h == stay["__h"]))
+    once = Window.partitionBy("__i", "__h").orderBy(F.lit(0))
+    rows = rows.withColumn("nth", F.when(F.col("__k"), F.row_number().over(once)).otherwise(1))
     return rows.where("nth = 1").select("row.*")
 
 
