@@ -27,7 +27,7 @@ def parameters(p: DataFrame) -> DataFrame:
     own = cfg.owners(b, F.col("label").rlike(FUNC)).where("func is not null").select("program_id", F.col("label").alias("block"), "func")
     s = p.where("opcode = 'SYMBOLIC'").withColumn("hint", F.get("operands", F.lit(0))).where("hint like 'param:%'").join(own, ["program_id", "block"])
     w = Window.partitionBy("program_id", "func").orderBy("pc")
-    return s.select("program_id", "func", (F.row_number().over(w) - 1).alias("pos"), F.substring("hint", 7, 200).alias("param"))
+    return s.select("program_id", "func", (F.row_number().over(w) - 1).alias("pos"), F.substring("hint", F.lit(7), F.length("hint")).alias("param"))
 
 
 def call_sites(p: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def call_sites(p: DataFrame) -> DataFrame:
     c = p.where("opcode in ('CALL_FUNCTION', 'CALL_CTOR', 'CALL_METHOD', 'CALL_UNKNOWN')").join(own, ["program_id", "block"])
     method = F.col("opcode") == "CALL_METHOD"
     target = F.when(method, F.get("operands", F.lit(1))).when(F.col("opcode") == "CALL_UNKNOWN", F.lit(None).cast("string")).otherwise(F.get("operands", F.lit(0)))
-    args = F.when(method, F.slice("operands", 3, 1000)).otherwise(F.slice("operands", 2, 1000))
+    args = F.when(method, F.slice("operands", F.lit(3), F.size("operands"))).otherwise(F.slice("operands", F.lit(2), F.size("operands")))
     return c.select("program_id", "caller", "block", "idx", F.col("opcode").alias("kind"), target.alias("target"), args.alias("args"))
 
 
