@@ -4,7 +4,7 @@ Features are letter 1-, 2- and 3-grams (lower case; everything else is one space
 ``FEATURES`` places, as logarithmic term frequency times inverse document frequency, of length 1. The
 weights are trained on the driver by follow-the-regularised-leader (proximal, a learning rate for each
 weight) with elastic-net penalties on a bounded sample: the first ``MAX_ROWS`` admitted rows in the
-order of a digest of their identifier. A fifth of the sample is held back to fit the temperature
+order of a digest of their identifier (of rows that share one, the least text). A fifth of the sample is held back to fit the temperature
 that the scores are divided by. Every whole text is then predicted where it lies; nothing is shuffled.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0, and so is every text where
@@ -32,12 +32,14 @@ _LETTER = None
 
 
 def _letters():
-    """1 for each code point of a letter (the last place stands for all others)."""
+    """Whether each code point is a letter."""
+    import sys
+
     import numpy as np
 
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.array([chr(i).isalpha() for i in range(1 << 17)], bool)
+        _LETTER = np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)], bool)
     return _LETTER
 
 
@@ -49,7 +51,7 @@ def ngram_counts(texts: list[str]):
     lowered = [t.lower() for t in texts]
     joined = np.frombuffer("".join(f" {t} " for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     doc = np.repeat(np.arange(n, dtype=np.int64), [len(t) + 2 for t in lowered])
-    letter = _letters()[np.minimum(joined, (1 << 17) - 1)]
+    letter = _letters()[joined]
     c = np.where(letter, joined, np.uint32(32))
     has = np.bincount(doc[letter], minlength=n) > 0
     counts = np.zeros(n * FEATURES, np.int64)
@@ -85,13 +87,7 @@ class Model:
             for at in range(0, len(order), BATCH):
                 part = order[at : at + BATCH]
                 b = np.hstack([x[part], np.ones((len(part), 1), np.float32)])
-                p = _softmax(b @ w)
-                p[np.arange(len(part)), y[part]] -= 1
-                g = b.T @ p
-                rate = (np.sqrt(s + g * g) - np.sqrt(s)) / ALPHA
-                z += g - rate * w
-                s += g * g
-                w = np.where(np.abs(z) <= L1 * len(train), 0, -(z - np.sign(z) * L1 * len(train)) / ((BETA + np.sqrt(s)) / ALPHA + L2 * len(train)))
+                z, s, w = leader_step(b, y[part], z, s, w, L1 * len(train), L2 * len(train))
         self.w = w.astype(np.float32)
         self.temperature = 1.0
         if len(held) and k > 1:
@@ -115,6 +111,19 @@ class Model:
         return [self.langs[i] for i in best], p.max(1).clip(0, 1)
 
 
+def leader_step(b, y, z, s, w, l1: float, l2: float):
+    """Weights that lead after one more batch: (z, s, w) with the sums of adjusted gradients and of squared gradients."""
+    import numpy as np
+
+    p = _softmax(b @ w)
+    p[np.arange(len(y)), y] -= 1
+    g = b.T @ p
+    rate = (np.sqrt(s + g * g) - np.sqrt(s)) / ALPHA
+    z = z + g - rate * w
+    s = s + g * g
+    return z, s, np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(s)) / ALPHA + l2))
+
+
 def _softmax(a):
     import numpy as np
 
@@ -129,7 +138,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     some = first_by_digest(rows.select("i").where("i is not null").distinct(), most)
-    rows = rows.join(F.broadcast(some), "i").select("i", "t", "l", (F.crc32(F.concat(F.lit("hold"), F.col("i").cast("string")).cast("binary")) % 5 == 0).alias("h"))
+    rows = rows.join(F.broadcast(some), "i").groupBy("i").agg(F.min(F.struct("t", "l")).alias("r"))
+    rows = rows.select("i", "r.t", "r.l", (F.crc32(F.concat(F.lit("hold"), F.col("i").cast("string")).cast("binary")) % 5 == 0).alias("h"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -140,8 +150,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                     packed = [np.flatnonzero(r).astype(np.uint16).tobytes() + r[r != 0].astype(np.uint32).tobytes() if ok else None for r, ok in zip(counts, has)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), batch.column(3), pa.array(packed, pa.binary())], names=["i", "l", "h", "x"])
 
-    got = [r for r in rows.mapInArrow(work, "i bigint, l string, h boolean, x binary").limit(most).collect() if r["x"] is not None]
-    got.sort(key=lambda r: (r["i"], r["l"], bytes(r["x"])))
+    got = [r for r in rows.mapInArrow(work, "i bigint, l string, h boolean, x binary").collect() if r["x"] is not None]
+    got.sort(key=lambda r: r["i"])
     if not got:
         return None
     counts = np.zeros((len(got), FEATURES), np.uint32)
@@ -179,4 +189,4 @@ def op4_langid(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     out = predict_languages(docs, fit(docs, rest != 2))
-    return out.select("doc_id", (rest == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
