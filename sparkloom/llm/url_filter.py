@@ -12,7 +12,8 @@ beyond that both sides are dealt by (prefix, salt), the rules once for each salt
 Defined cases: a null url or one without ``://`` has empty host and path, fits no rule and gets
 the default verdict; an empty host fits no rule; repeated rows (null ids too) are judged each by
 itself; an empty table gives an empty result, empty rules give the default; extra columns are
-ignored. Of rules with equal expressions the one that blocks wins.
+ignored. Of fitting rules of one length the one that blocks wins (the greatest verdict), then the
+greatest in code-point order.
 """
 
 from __future__ import annotations
@@ -28,17 +29,22 @@ PREFIX_BYTES = 4
 
 
 def rules_table(spark, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules) or [], "host string, path string, verdict string")
+    """(host, path, verdict), built from literals."""
+    rows = F.array(*[F.struct(*[F.lit(v).cast("string").alias(k) for k, v in zip(("host", "path", "verdict"), r)]) for r in rules or [("", "", "")]])
+    return spark.range(1 if rules else 0).select(F.inline(rows))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = 200_000, salts: int = 16) -> DataFrame:
-    """One row for each row of ``pages``: id, host, path, rule (``host`` + ``path`` or null), verdict."""
+    """One row for each row of ``pages``: id, host, path, rule (``host`` + ``path`` or null), verdict.
+
+    The driver gets the distinct lengths of the rules' paths; a URL has an expression for each of its host's suffixes and
+    each of these lengths that its path reaches.
+    """
     r = rules.select(F.concat("host", "path").alias("rule"), F.concat_ws("\0", "host", "path").alias("x"), F.length("path").alias("plen"), "verdict")
     r = r.groupBy("rule", "x", "plen").agg(F.max("verdict").alias("verdict"))  # block > allow
-    r = r.withColumn("rank", F.length("rule").cast("long") * F.lit(1 << 40) + F.conv(F.substring(F.sha2("x", 256), 1, 9), 16, 10).cast("long"))
-    r = r.withColumn("full", F.sha2("x", 256)).withColumn("short", F.substring("full", 1, 2 * PREFIX_BYTES))
+    r = r.withColumn("full", F.sha2("x", 256)).select("plen", F.substring("full", 1, 2 * PREFIX_BYTES).alias("short"), "full", F.struct(F.length("rule").alias("n"), "verdict", "rule").alias("says"))
     small = r.count() <= broadcast_rules
-    lengths = sorted(x[0] for x in r.select("plen").distinct().collect())  # lengths of paths: a URL's own bound
+    lengths = sorted(x[0] for x in r.select("plen").distinct().collect())
     p = pages.select(F.col(id_col).alias("id"), F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?s).*?://([^/?#]*)([^?#]*)", 1).alias("h"), F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?s).*?://([^/?#]*)([^?#]*)", 2).alias("path"))
     p = p.withColumn("host", lower_ascii(F.col("h"))).withColumn("row", F.monotonically_increasing_id())
     labels = F.split("host", "\\.")
@@ -47,16 +53,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     both = F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda x: F.sha2(F.concat_ws("\0", s, x), 256)))))
     e = p.select("row", "id", "host", "path", F.explode_outer(both).alias("digest"))
     e = e.withColumn("s", F.substring("digest", 1, 2 * PREFIX_BYTES))
+    r = r.select("short", "full", "says")
     if small:
-        hit = e.join(F.broadcast(r.select("short", "full", "rank")), (e.s == F.col("short")) & (e.digest == F.col("full")), "left")
+        near = e.join(F.broadcast(r), e.s == r.short, "left")
     else:
         e = e.withColumn("salt", F.col("row") % salts)
-        dealt = r.select("short", "full", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("rs"))
-        hit = e.join(dealt, (e.s == F.col("short")) & (e.salt == F.col("rs")) & (e.digest == F.col("full")), "left")
-    best = hit.groupBy("row", "id", "host", "path").agg(F.max("rank").alias("best"))
-    named = r.select(F.col("rank").alias("best_rank"), "rule", "verdict")
-    best = best.join(F.broadcast(named) if small else named, F.col("best") == F.col("best_rank"), "left")
-    return best.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+        dealt = r.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("rs"))
+        near = e.join(dealt, (e.s == F.col("short")) & (e.salt == F.col("rs")), "left")
+    # Rules that share a URL's short prefix only are told apart here, by the full digest.
+    best = near.groupBy("row", "id", "host", "path").agg(F.max(F.when(F.col("digest") == F.col("full"), F.col("says"))).alias("best"))
+    return best.select(F.col("id").alias(id_col), "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
