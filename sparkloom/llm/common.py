@@ -73,7 +73,7 @@ def bucket_of(splitters: list, keys: dict[str, Column], schema: T.StructType) ->
     """Number of splitters at or below the key: a binary search over a literal array, log2(n) steps a row."""
     if not splitters:
         return F.lit(0)
-    text = json.dumps([r.asDict() for r in splitters])
+    text = json.dumps([r.asDict(recursive=True) for r in splitters])
     table = F.from_json(F.lit(text), T.ArrayType(schema))
     steps, s = [], 1
     while s <= len(splitters):

@@ -73,19 +73,21 @@ def neighbour_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     kind = docs.schema[id_col].dataType
-    lowest = F.lit(-(1 << 63))
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    schema = T.StructType([T.StructField("i", T.LongType())])
+    src = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    # A missing identifier is told from all others by its flag and stands before them.
+    src = src.select(F.struct(F.col("i").isNotNull().alias("is"), F.coalesce("i", F.lit(0).cast("long")).alias("i")).alias("i"), "t")
+    schema = T.StructType([T.StructField("i", src.schema["i"].dataType)])
     first = src.agg(F.min("i")).collect()[0][0]
     if first is None:
-        first = 0
-    splitters = [r for r in sampled_splitters(src, {"i": F.col("i")}, parts * 8) if r["i"] > first]
+        first = (False, 0)
+    splitters = [r for r in sampled_splitters(src, {"i": F.col("i")}, parts * 8) if tuple(r["i"]) > tuple(first)]
     last = len(splitters)
     src = src.withColumn("b", bucket_of(splitters, {"i": F.col("i")}, schema))
     # A splitter is a document's own identifier: the first of a range is also sent to the range before.
-    cuts = F.from_json(F.lit(json.dumps([r["i"] for r in splitters])), T.ArrayType(T.LongType()))
+    cuts = F.from_json(F.lit(json.dumps([r["i"].asDict() for r in splitters])), T.ArrayType(schema["i"].dataType))
     place = lambda b, wrap, ghost: F.struct(b.alias("b"), F.lit(wrap).alias("wrap"), F.lit(ghost).alias("ghost"))
-    copies = F.array(place(F.col("b"), 0, False), F.when(F.get(cuts, F.col("b") - 1) == F.col("i"), place(F.col("b") - 1, 0, True)), F.when(F.col("i") == F.lit(first), place(F.lit(last), 1, True)))
+    lowest = F.struct(F.lit(first[0]).alias("is"), F.lit(first[1]).cast("long").alias("i"))
+    copies = F.array(place(F.col("b"), 0, False), F.when(F.get(cuts, F.col("b") - 1) == F.col("i"), place(F.col("b") - 1, 0, True)), F.when(F.col("i") == lowest, place(F.lit(last), 1, True)))
     rows = src.select("i", "t", F.inline(F.filter(copies, lambda x: x.isNotNull()))).repartition(parts, "b")
     rows = with_fingerprint(rows, "t", "fp").withColumn("n", F.length("t"))
     w = Window.partitionBy("b").orderBy("wrap", "i", "t")
@@ -94,7 +96,7 @@ def neighbour_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.withColumn("e", F.concat(F.expr("substring(t, 1, n - cast(floor(n / 4) as int))"), F.col("nt").substr(F.lit(1), k)))
     rows = with_fingerprint(rows, "e", "efp")
     return rows.select(
-        F.when(F.col("i") != lowest, F.col("i")).cast(kind).alias(id_col),
+        F.when(F.col("i.is"), F.col("i.i")).cast(kind).alias(id_col),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("e", 256).alias("edited_sha256"),
         F.array_join("fp", " ").alias("fingerprint"),
