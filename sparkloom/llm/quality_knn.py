@@ -3,7 +3,7 @@
 Terms are words (A-Z as a-z, hashed into ``WORD_TERMS`` places), byte trigrams of the text as it stands
 (hashed into ``GRAM_TERMS`` places) and a few about repetition: words that repeat the word before, the share
 of different words, the lengths of words and lines. A bounded sample of labelled documents gives the inverse
-document frequencies, the truncated singular vectors and the labelled vectors, which are broadcast
+document frequencies, the mean, the truncated singular vectors of what lies off the mean, and the labelled vectors, which are broadcast
 (``MAX_LABELLED`` vectors of ``DIMS`` numbers: about 1 MB, whatever the input). Every whole document is
 projected, its cosines with all labelled vectors are computed in blocks, and its ``NEIGHBOURS`` nearest
 vote, each with its similarity (not less than 0) as weight. A labelled text is no neighbour of its own: neighbours whose text
@@ -13,7 +13,7 @@ Only the fit is bounded: at most ``MAX_LABELLED`` labelled rows that the given c
 the order of a digest of their identifier; of rows that share an identifier, the one with the least
 text. Labels, language, source and identifier are no inputs of a score.
 
-Defined cases: a null text counts as empty; a text without any similarity to labelled ones gets the
+Defined cases: a null text counts as empty; an empty text, or one similar to no labelled one, gets the
 labels' mean; without labelled rows every score is 0.5; repeated rows and null identifiers are
 scored like any other; rows with null labels are not learnt from, and of several labels of one identifier the least counts; an
 empty table gives an empty result; extra columns are ignored by :func:`quality_scores` and carried by :func:`accepted`.
@@ -93,7 +93,7 @@ def names(texts: list[bytes]):
 
 
 class Model:
-    """Inverse document frequencies, singular vectors and the labelled vectors; ``x`` is used up."""
+    """Inverse document frequencies, mean, singular vectors and the labelled vectors; ``x`` is used up."""
 
     def __init__(self, x, y, own, seed: int = 5):
         import numpy as np
@@ -101,6 +101,8 @@ class Model:
         self.y, self.own = y.astype(np.float64), own
         self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
         x *= self.idf
+        mean = x.mean(0)
+        x -= mean
         rng = np.random.Generator(np.random.PCG64(seed))
         q = rng.standard_normal((x.shape[1], min(DIMS + 16, *x.shape))).astype(np.float32)
         for _ in range(4):
@@ -108,6 +110,11 @@ class Model:
         _, _, v = np.linalg.svd(x @ q, full_matrices=False)
         self.axes = (q @ v.T)[:, :DIMS].astype(np.float32)
         self.vectors = _unit(x @ self.axes)
+        self.origin = mean @ self.axes
+
+    def project(self, x):
+        """Unit vectors of feature rows; zero for rows without terms."""
+        return _unit(((x * self.idf) @ self.axes - self.origin) * x.any(1)[:, None])
 
     def score(self, x, own):
         """Votes for the feature rows ``x`` of texts with digests ``own``."""
@@ -115,7 +122,7 @@ class Model:
 
         out = np.empty(len(x))
         for at in range(0, len(x), BLOCK):
-            sim = _unit((x[at : at + BLOCK] * self.idf) @ self.axes) @ self.vectors.T
+            sim = self.project(x[at : at + BLOCK]) @ self.vectors.T
             sim[own[at : at + BLOCK, None] == self.own] = 0
             k = min(NEIGHBOURS, sim.shape[1])
             near = np.argpartition(-sim, k - 1, axis=1)[:, :k]

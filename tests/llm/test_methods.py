@@ -22,7 +22,7 @@ def test_votes_by_plain_loop():
     x = quality_knn.features(asked)
     got = model.score(x, quality_knn.names(asked))
     for text, row, score in zip(asked, x, got):
-        v = [sum(float(row[j]) * float(model.idf[j]) * float(model.axes[j, k]) for j in np.flatnonzero(row)) for k in range(model.axes.shape[1])]
+        v = [sum(float(row[j]) * float(model.idf[j]) * float(model.axes[j, k]) for j in np.flatnonzero(row)) - float(model.origin[k]) if text else 0.0 for k in range(model.axes.shape[1])]
         size = math.sqrt(sum(a * a for a in v)) or 1
         sims = sorted(((sum(a * float(b) for a, b in zip(v, u)) / size, float(q)) for t, u, q in zip(texts, model.vectors, y) if t != text), reverse=True)[: quality_knn.NEIGHBOURS]
         weights = [max(s, 0) for s, _ in sims]
