@@ -1,27 +1,27 @@
 """Exact Jaccard join of word-shingle sets in the Jaccard metric space.
 
 Distance is 1 - Jaccard likeness, a metric; a link is a distance of at most ``EPS`` = 1/4. Each
-different set is a point, named by a digest of its content (57 bits, and six of its size), so copies never meet.
-
-1. *Pivots.* Where many points share their two smallest hashes, some of them become pivots. A point within
-   EPS of a pivot lies in that pivot's Voronoi region and is linked to it. By the triangle
-   inequality, a point linked with one of a region lies within 2 EPS of its pivot: points in that window
-   are replicated to the region, unless they belong to the pivots' component already. This is done
-   again for the points left over, while they still crowd.
-2. *Points far from every pivot.* Metric windows say nothing where distances are 1, as they are between
-   most documents, so these points are dealt to regions by their own shingles: a point of n shingles
-   goes to those of its first n - ceil(3n/4) + s shingles, in an order that puts shingles frequent in
-   the corpus last, with s = min(1 + n // 16, 64). Linked sets share at least the smaller s of such
-   shingles, so no link is lost; pairs that share fewer, such as documents with a passage in common,
-   are not compared.
-3. *Regions* are joined exactly in blocks: overlaps of all sets of a block pair are counted through an
-   inverted index; links leave a block as a forest, not as pairs.
+different set is a point, named by a 128-bit digest of its content, so copies never meet.
+
+1. *Pivots* are points out of the largest crowds (points that share their two smallest hashes), counted over all
+   documents, at any size of input. A point within EPS of pivots lies in the Voronoi region of the nearest one and is
+   linked to it. By the triangle inequality, a point linked with one of a region lies within the region's radius
+   and EPS of its pivot: the points in that window are replicated to the region, unless they belong to the same
+   component of regions. A second round takes more pivots out of the points that the first left over.
+2. *Points far from every pivot.* Windows say nothing where distances are 1, as they are between most documents. So single shingles
+   serve as pivots there: a set lies nearer than 1 to {s} only if it has s. A point of n shingles is replicated to
+   those of its first n - ceil(3n/4) + s shingles, in an order that puts shingles frequent in the corpus
+   last, with s = min(1 + n // 16, 64). Linked sets share at least the smaller s of such shingles, so no link is lost;
+   pairs that share fewer, such as documents with a passage in common, are not compared.
+3. *Regions* of both kinds join recursively: pivots of the region, Voronoi cells, windows of each cell's radius and EPS,
+   until a cell is small or no longer divides; there overlaps are counted through an inverted index. Points that are
+   connected already are not compared; links leave a region as a forest, not as pairs.
 4. *Components* of all links are found by minimum labels and pointer jumping over a table of links.
 
-Shingles are compared as 64-bit hashes of whole words. Frequent shingles and crowded points are counted
+Shingles are compared as 64-bit hashes of whole words. Frequent shingles and crowds are counted
 over all documents; they steer the work and never decide a link. To the driver come at most
-``MAX_FREQUENT`` frequent shingles and ``MAX_PIVOTS`` pivots, whatever the input; all that they leave
-out is joined by step 2.
+``MAX_FREQUENT`` frequent shingles, ``ROUNDS`` * ``MAX_PIVOTS`` pivots of at most ``PIVOT_BYTES`` a round, and a forest of pivots
+from each task, whatever the input; all that they leave out is joined by step 2.
 
 Defined cases: a null text counts as empty; a text without words has no shingles, is linked with
 nothing and is its own component; null identifiers take part but never name a component that has
@@ -43,13 +43,16 @@ from sparkloom.llm.common import cut, largest_counts, packed, shuffle_partitions
 NUM, DEN = 75, 100
 MAX_FREQUENT = 200_000
 MAX_PIVOTS = 1024
-PIVOT_BYTES = 48 << 20
-CROWD = 48
+PIVOT_BYTES = 24 << 20
 EACH = 6
-ROUNDS = 3
+ROUNDS = 2
 BLOCK = 512
+LEAF = 48
+#: Distances are carried as whole numbers of this many parts.
+PARTS = 1 << 30
 SLICE_BYTES = 1 << 20
 FLUSH = 1 << 20
+HITS = 4 << 20
 BROADCAST_ROWS = 1_000_000
 
 
@@ -67,45 +70,54 @@ def _batches(batches):
             at = end
 
 
-class _Crowds:
-    """Counts of shingles and of pairs of smallest hashes among the distinct sets of a task."""
+def _scan(docs: DataFrame) -> DataFrame:
+    """One pass over the texts: (kind, key, n, sid, name, h, set).
 
-    def __init__(self, shingles: bool = True):
-        self.values, self.keys, self.n, self.shingles = [], [], 0, shingles
+    Kind 2: a row for each document (key: identifier, n: size of its set, sid and name, h: the text's MD5, set: the crowd, its two smallest
+    hashes together). Kind 0: n packed shingles that come often among a task's different sets, with their counts (set).
+    """
+    import pyarrow as pa
+
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("name", pa.binary()), ("h", pa.binary()), ("set", pa.binary())])
+
+    def often(values):
+        import numpy as np
 
-    def add(self, values, key, sid, own) -> None:
-        if self.shingles:
-            self.values.append(values)
-        self.keys.append((key, sid, own))
-        self.n += len(values)
+        u, c = np.unique(np.concatenate(values), return_counts=True)
+        u, c = u[c > 1], c[c > 1]
+        for at in range(0, len(u), 1 << 16):
+            k, n = u[at : at + (1 << 16)], c[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(k)], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([k.tobytes() + n.astype("<u4").tobytes()], pa.binary())], schema=schema)
 
-    def rows(self):
-        """(kind, key, n, sid, set): kind 0 shingles that come often and kind 5 crowds, both as packed (keys, counts); kind 1 two sets of a crowd."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        if self.values:
-            u, c = np.unique(np.concatenate(self.values), return_counts=True)
-            often = c > 1
-            yield from _packed(0, u[often], c[often])
-        groups: dict[int, list] = {}
-        for key, sid, own in self.keys:
-            groups.setdefault(key, []).append((sid, own))
-        yield from _packed(5, np.array(list(groups), np.int64), np.array([len(m) for m in groups.values()]))
-        for key, members in groups.items():
-            if len(members) > 1:
-                for sid, own in members[:2]:
-                    yield 1, key, 1, sid, own.tobytes()
-        self.values, self.keys, self.n = [], [], 0
-
-
-def _packed(kind: int, keys, counts):
-    for at in range(0, len(keys), 1 << 16):
-        k, n = keys[at : at + (1 << 16)], counts[at : at + (1 << 16)]
-        yield kind, None, len(k), None, k.tobytes() + n.astype("<u4").tobytes()
-
-
-def _counts(stats: DataFrame, kind: int) -> DataFrame:
-    """(key, n) of the packed counts of a kind."""
+        from sparkloom.llm.shingles import Sets
+
+        md5 = partial(hashlib.md5, usedforsecurity=False)
+        values, held, seen = [], 0, set()
+        for ids, texts in _batches(batches):
+            sets = Sets(texts)
+            k = len(texts)
+            has = sets.sizes > 0
+            crowd = [sets[j][:2].sum().tobytes() if has[j] else None for j in range(k)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 2, np.int32)), ids.cast(pa.int64()), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.sid, mask=~has), pa.array([s if x else None for s, x in zip(sets.names, has)], pa.binary()), pa.array([md5(t).digest() for t in texts], pa.binary()), pa.array(crowd, pa.binary())], schema=schema)
+            for j in np.flatnonzero(has):
+                if sets.names[j] not in seen:
+                    seen.add(sets.names[j])
+                    values.append(sets[j])
+                    held += len(sets[j])
+            if held >= 2 * FLUSH:
+                yield from often(values)
+                values, held = [], 0
+        if values:
+            yield from often(values)
+
+    return docs.mapInArrow(work, "kind int, key bigint, n bigint, sid bigint, name binary, h binary, set binary")
+
+
+def _shingle_counts(base: DataFrame) -> DataFrame:
+    """(key, n) of the packed counts."""
     import pyarrow as pa
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +127,47 @@ def _counts(stats: DataFrame, kind: int) -> DataFrame:
             for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64, n)), pa.array(np.frombuffer(x, np.uint32, n, 8 * n).astype(np.int64))], names=["key", "n"])
 
-    return stats.where(F.col("kind") == kind).select("n", "set").mapInArrow(work, "key bigint, n bigint")
+    return base.where("kind = 0").select("n", "set").mapInArrow(work, "key bigint, n bigint")
+
 
+def _distinct_sets(docs: DataFrame) -> DataFrame:
+    """(sid, name, set) of the non-empty sets; one that has copies may come once from each task."""
+    import pyarrow as pa
 
-def _crowd_key(values) -> int:
-    return int(values[: 2].sum().astype("int64"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sparkloom.llm.shingles import Sets
+
+        seen: set[bytes] = set()
+        for _, texts in _batches(batches):
+            sets = Sets(texts)
+            rows = []
+            for j, (s, name) in enumerate(zip(sets.sid.tolist(), sets.names)):
+                if name not in seen and sets.sizes[j]:
+                    seen.add(name)
+                    rows.append((s, name, sets[j].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["sid", "name", "set"])
+
+    return docs.mapInArrow(work, "sid bigint, name binary, set binary")
+
+
+def _pivots(src: DataFrame, points: DataFrame, left: DataFrame) -> list[tuple[bytes, bytes]]:
+    """Up to ``MAX_PIVOTS`` of the points ``left``, ``EACH`` of a crowd, the largest crowds first: (name, set)."""
+    free = left.groupBy("crowd", "name").agg(F.first("n").alias("n"), F.min("h").alias("h"))
+    crowds = largest_counts(cut(free.groupBy("crowd").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")), "c", MAX_PIVOTS // EACH)
+    w = Window.partitionBy("crowd").orderBy("name")
+    some = free.join(F.broadcast(crowds), "crowd").withColumn("r", F.row_number().over(w)).where(F.col("r") <= EACH)
+    chosen, size = {}, 0
+    for r in sorted(some.select("c", "crowd", "r", "name", "n", "h").collect(), key=lambda r: (-r["c"], bytes(r["crowd"]), r["r"])):
+        if len(chosen) < MAX_PIVOTS and size + 8 * r["n"] <= PIVOT_BYTES:
+            size += 8 * r["n"]
+            chosen[bytes(r["h"])] = bytes(r["name"])
+    if not chosen:
+        return []
+    few = src.sparkSession.createDataFrame([(bytearray(h),) for h in chosen], "h binary")
+    texts = src.join(F.broadcast(few), F.unhex(F.md5("t")) == F.col("h"), "left_semi")
+    sets = {bytes(r["name"]): bytes(r["set"]) for r in _distinct_sets(texts).dropDuplicates(["name"]).select("name", "set").collect()}
+    return [(name, sets[name]) for name in chosen.values()]
 
 
 class _Pivots:
@@ -133,108 +181,88 @@ class _Pivots:
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(every, kind="stable")
         self.values, self.owner = every[order], owner[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[every & np.uint64((1 << 20) - 1)] = True
+        self.seen = np.zeros(1 << 23, bool)
+        self.seen[every & np.uint64((1 << 23) - 1)] = True
 
     def near(self, sets):
-        """(set, pivot, linked) of all pairs within twice the distance of a link."""
+        """(set, pivot, distance, linked) of all pairs within twice the distance of a link."""
+        import numpy as np
+
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        if len(self.values):
+            maybe = self.seen[sets.values & np.uint64((1 << 23) - 1)]
+            v, d = sets.values[maybe], sets.doc[maybe]
+            lo, hi = np.searchsorted(self.values, v, "left"), np.searchsorted(self.values, v, "right")
+            hit = hi > lo
+            lo, n, d = lo[hit], (hi - lo)[hit], d[hit]
+            per_doc = np.bincount(d, n, len(sets.sizes)).cumsum() if len(n) else np.zeros(1)
+            begin = 0
+            while begin < len(n):  # whole documents, of bounded hits together
+                until = np.searchsorted(per_doc, (per_doc[d[begin] - 1] if d[begin] else 0) + HITS, "right")
+                end = max(int(np.searchsorted(d, until, "left")), int(np.searchsorted(d, d[begin], "right")))
+                out.append(self._counted(sets, lo[begin:end], n[begin:end], d[begin:end]))
+                begin = end
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _counted(self, sets, lo, n, d):
         import numpy as np
 
-        z = np.zeros(0, np.int64)
-        if not len(self.values):
-            return z, z, z.astype(bool)
-        maybe = self.seen[sets.values & np.uint64((1 << 20) - 1)]
-        v, d = sets.values[maybe], sets.doc[maybe]
-        lo, hi = np.searchsorted(self.values, v, "left"), np.searchsorted(self.values, v, "right")
-        n = hi - lo
-        hit = n > 0
-        lo, n, d = lo[hit], n[hit], d[hit]
-        if not len(n):
-            return z, z, z.astype(bool)
         at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
         pair, both = np.unique(np.repeat(d, n) * len(self.sizes) + self.owner[at], return_counts=True)
         d, p = pair // len(self.sizes), pair % len(self.sizes)
         union = sets.sizes[d] + self.sizes[p] - both
         near = 2 * both >= union
-        return d[near], p[near], (DEN * both >= NUM * union)[near]
+        d, p, both, union = d[near], p[near], both[near], union[near]
+        return d, p, (union - both) * PARTS // union, DEN * both >= NUM * union
 
 
-def _scan(docs: DataFrame, pivots, frequent: bool) -> DataFrame:
-    """One pass over the texts: (kind, key, n, sid, set).
-
-    Without pivots: kind 2, a row for each document (key: identifier, n: size, set: the text's MD5). With pivots: kind 3 and 4, a
-    set linked with a pivot or in its window (key: the pivot). Both: kinds 0, 1 and 5 (:class:`_Crowds`), of
-    the sets that no pivot took.
-    """
+def _near_pivots(docs: DataFrame, pivots) -> DataFrame:
+    """(name, sid, key, d, linked): the points within twice EPS of a pivot ``key``, once a task, with their distances."""
     import pyarrow as pa
 
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("name", pa.binary()), ("sid", pa.int64()), ("key", pa.int64()), ("d", pa.int64()), ("linked", pa.bool_())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         from sparkloom.llm.shingles import Sets
 
-        md5 = partial(hashlib.md5, usedforsecurity=False)
-        index = _Pivots([np.frombuffer(s, np.uint64) for s in pivots.value]) if pivots is not None else None
-        crowds, seen = _Crowds(frequent), set()
-        for ids, texts in _batches(batches):
+        index = _Pivots([np.frombuffer(s, np.uint64) for s in pivots.value])
+        seen: set[bytes] = set()
+        for _, texts in _batches(batches):
             sets = Sets(texts)
-            sid = sets.sid.tolist()
-            parts = []
-            taken = np.zeros(len(texts), bool)
-            if index is None:
-                k = len(texts)
-                parts.append(pa.RecordBatch.from_arrays([pa.array(np.full(k, 2, np.int32)), ids.cast(pa.int64()), pa.array(sets.sizes.astype(np.int64)), pa.array([s if n else None for s, n in zip(sid, sets.sizes)], pa.int64()), pa.array([md5(t or b"").digest() for t in texts], pa.binary())], schema=schema))
-            else:
-                d, p, linked = index.near(sets)
-                taken[d[linked]] = True
-                new = np.array([s not in seen for s in sid], bool)[d]
-                d, p, linked = d[new], p[new], linked[new]
-                if k := len(d):
-                    parts.append(pa.RecordBatch.from_arrays([pa.array(np.where(linked, 3, 4).astype(np.int32)), pa.array(p), pa.array(sets.sizes[d].astype(np.int64)), pa.array(sets.sid[d]), pa.nulls(k, pa.binary())], schema=schema))
-            for j, s in enumerate(sid):
-                if s not in seen and sets.sizes[j]:
-                    seen.add(s)
-                    if not taken[j]:
-                        crowds.add(sets[j], _crowd_key(sets[j]), s, sets[j])
-            yield from parts
-            if crowds.n >= 2 * FLUSH:
-                yield from _told(crowds, schema)
-        yield from _told(crowds, schema)
-
-    return docs.mapInArrow(work, "kind int, key bigint, n bigint, sid bigint, set binary")
-
-
-def _told(crowds, schema):
-    import itertools
+            d, p, distance, linked = index.near(sets)
+            new = np.zeros(len(texts), bool)
+            for j in np.unique(d):
+                new[j] = sets.names[j] not in seen
+                seen.add(sets.names[j])
+            keep = new[d]
+            d, p, distance, linked = d[keep], p[keep], distance[keep], linked[keep]
+            if len(d):
+                yield pa.RecordBatch.from_arrays([pa.array([sets.names[j] for j in d], pa.binary()), pa.array(sets.sid[d]), pa.array(p), pa.array(distance), pa.array(linked)], schema=schema)
 
+    return docs.mapInArrow(work, "name binary, sid bigint, key bigint, d bigint, linked boolean")
+
+
+def _forest(pairs: DataFrame, size: int) -> dict[int, int]:
+    """Which of ``size`` pivots the pairs (a, b) connect, as pointers; each task sends a forest of the pivots at most."""
     import pyarrow as pa
 
-    rows = crowds.rows()
-    while part := list(itertools.islice(rows, 256)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
-
-
-def _crowded(stats: DataFrame, used: set[int]) -> list[tuple[int, bytes]]:
-    """Up to ``MAX_PIVOTS`` points out of crowds, the largest first: (sid, set)."""
-    crowds = _counts(stats, 5).groupBy("key").agg(F.sum("n").alias("c")).where(F.col("c") >= CROWD)
-    crowds = largest_counts(crowds, "c", MAX_PIVOTS // EACH).cache()
-    try:
-        w = Window.partitionBy("key").orderBy("sid")
-        some = stats.where("kind = 1").select("key", "sid", "set").join(F.broadcast(crowds), "key")
-        some = some.withColumn("r", F.row_number().over(w)).where(F.col("r") <= EACH).orderBy(F.desc("c"), "key", "r")
-        out, size = [], 0
-        for r in some.select("sid", "set").toLocalIterator():
-            if r["sid"] not in used:
-                used.add(r["sid"])
-                size += len(r["set"])
-                if size > PIVOT_BYTES:
-                    break
-                out.append((r["sid"], bytes(r["set"])))
-        return out
-    finally:
-        crowds.unpersist()
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = _root(a, up), _root(b, up)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array(list(up.values()), pa.int64())], names=["a", "b"])
+
+    up: dict[int, int] = {}
+    for a, b in pairs.distinct().mapInArrow(work, "a bigint, b bigint").collect():
+        a, b = _root(a, up), _root(b, up)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {k: _root(k, up) for k in range(size)}
 
 
 def _postings(docs: DataFrame, pivots, frequent, buckets: int) -> DataFrame:
@@ -268,13 +296,13 @@ def _postings(docs: DataFrame, pivots, frequent, buckets: int) -> DataFrame:
 
         for _, texts in _batches(batches):
             sets = Sets(texts)
-            d, _, linked = index.near(sets)
+            d, _, _, linked = index.near(sets)
             skip = np.zeros(len(texts), bool)
             skip[d[linked]] = True
-            for j, s in enumerate(sets.sid.tolist()):
-                if s in seen or not sets.sizes[j]:
+            for j, name in enumerate(sets.names):
+                if name in seen or not sets.sizes[j]:
                     skip[j] = True
-                seen.add(s)
+                seen.add(name)
             place = np.arange(len(sets.values)) - np.repeat(sets.bounds[:-1], sets.sizes)
             if len(often):  # frequent shingles go behind the others of their set, by their counts
                 m = np.flatnonzero(maybe[sets.values & np.uint64((1 << 20) - 1)])
@@ -327,13 +355,15 @@ def _candidates(postings: DataFrame, partitions: int) -> DataFrame:
             at = s[heads[n == m][:, None] + np.arange(m)]
             i, j = np.triu_indices(m, 1)
             pairs.append(np.stack([at[:, i].ravel(), at[:, j].ravel()], 1))
-        regions, told = [], set()
+        told = set()
         for h, m in zip(heads[n > 64], n[n > 64]):
             members = s[h : h + m]
             name = int(mix(mix(members.view(np.uint64)).sum(keepdims=True)).view(np.int64)[0])
             if name not in told:
                 told.add(name)
-                regions += _blocks(name, members.tolist(), members.tolist(), same=True)
+                for region, points, side in _blocks(name, members):
+                    k = len(points)
+                    yield pa.RecordBatch.from_arrays([pa.array(points), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(np.full(k, region)), pa.array(np.full(k, side, np.int32))], schema=schema)
         found = np.concatenate(pairs)
         found = found[np.lexsort((found[:, 1], found[:, 0]))]
         head = np.flatnonzero(np.append(True, (found[1:] != found[:-1]).any(1)))[: len(found)]
@@ -341,9 +371,6 @@ def _candidates(postings: DataFrame, partitions: int) -> DataFrame:
         for at in range(0, len(head), 100_000):
             some = found[head[at : at + 100_000]]
             yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(times[at : at + 100_000]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int32())], schema=schema)
-        if regions:
-            r, a, side = zip(*regions)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.array(r, pa.int64()), pa.array(side, pa.int32())], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -361,108 +388,136 @@ def _candidates(postings: DataFrame, partitions: int) -> DataFrame:
     return dealt.mapInArrow(work, "a bigint, b bigint, c int, region bigint, side int")
 
 
-def _blocks(name: int, left: list[int], right: list[int], same: bool = False):
-    """(region, point, side) rows that put each block of ``left`` with each of ``right``; side 1 is left, 2 right, 3 both."""
-    out = []
-    ls = [left[i : i + BLOCK] for i in range(0, len(left), BLOCK)]
-    rs = [right[i : i + BLOCK] for i in range(0, len(right), BLOCK)]
-    for i, x in enumerate(ls):
-        for j, y in enumerate(rs):
-            if same and j < i:
-                continue
+def _blocks(name: int, members):
+    """(region, points, side) that put each block of ``members`` with each other; side 1 is left, 2 right, 3 both."""
+    parts = [members[i : i + BLOCK] for i in range(0, len(members), BLOCK)]
+    for i, x in enumerate(parts):
+        for j in range(i, len(parts)):
             region = hash((name, i, j)) & ((1 << 62) - 1)
-            if same and i == j:
-                out += [(region, p, 3) for p in x]
+            if i == j:
+                yield region, x, 3
             else:
-                out += [(region, p, 1) for p in x] + [(region, p, 2) for p in y]
-    return out
+                yield region, x, 1
+                yield region, parts[j], 2
 
 
 def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(region, sid, side, set): ``members`` with their sets, broadcast up to ``BROADCAST_ROWS`` rows, shuffled by point beyond.
+    """(region, name, side, set): ``members`` with their sets, broadcast up to ``BROADCAST_ROWS`` rows, shuffled by point beyond.
 
     A point may come once from each task that read a copy of it.
     """
-    import pyarrow as pa
+    small = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return _distinct_sets(docs).join(F.broadcast(members) if small else members, "sid").select("region", "name", "side", "set")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sparkloom.llm.shingles import Sets
 
-        seen: set[int] = set()
-        for _, texts in _batches(batches):
-            sets = Sets(texts)
-            rows = []
-            for j, s in enumerate(sets.sid.tolist()):
-                if s not in seen and sets.sizes[j]:
-                    seen.add(s)
-                    rows.append((s, sets[j].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["sid", "set"])
+class _Region:
+    """The sets of a region; ``links`` has a forest of all links between its sides."""
 
-    every = docs.mapInArrow(work, "sid bigint, set binary")
-    small = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return every.join(F.broadcast(members) if small else members, "sid").select("region", "sid", "side", "set")
+    def __init__(self, rows: list[tuple[bytes, int, bytes]]):
+        import numpy as np
 
+        merged: dict[bytes, list] = {}
+        for name, side, x in rows:
+            merged[name] = [merged.get(name, [0])[0] | side, x]
+        self.names = list(merged)
+        self.sets = [np.frombuffer(x, np.uint64) for _, x in merged.values()]
+        side = np.array([s for s, _ in merged.values()])
+        self.size = np.array([len(x) for x in self.sets])
+        self.of = np.arange(len(self.names))  # the component of each point, as far as found
+        self.links: list[tuple[bytes, bytes]] = []
+        left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+        if len(left) and len(right):
+            self.parts = [self._index(left)] + ([self._index(right)] if (side != 3).any() else [])
+            self._join(left, right)
+
+    def _index(self, some):
+        import numpy as np
 
-def _linked(rows: DataFrame, partitions: int) -> DataFrame:
-    """Links (u, v) that span, in each region, the components of all links between its sides."""
-    import pyarrow as pa
+        every, owner = np.concatenate([self.sets[i] for i in some]), np.repeat(some, self.size[some])
+        order = np.argsort(every, kind="stable")
+        return every[order], owner[order]
 
-    def joined(region: list[tuple[int, int, bytes]]):
+    def _overlaps(self, j: int, parts):
+        """How many shingles set ``j`` shares with each set of the inverted indexes ``parts``."""
         import numpy as np
 
-        merged: dict[int, list] = {}
-        for sid, side, x in region:
-            merged[sid] = [merged.get(sid, [0])[0] | side, x]
-        sids = list(merged)
-        sets_ = [np.frombuffer(merged[s][1], np.uint64) for s in sids]
-        side = np.array([merged[s][0] for s in sids])
-        size = np.array([len(x) for x in sets_])
-        left = np.flatnonzero(side & 1)
-        if not len(left) or not (side & 2).any():
-            return []
-        every, owner = np.concatenate([sets_[i] for i in left]), np.repeat(left, size[left])
-        order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
-        root = list(range(len(sids)))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        links = []
-        for j in np.flatnonzero(side & 2):
-            lo, hi = np.searchsorted(every, sets_[j], "left"), np.searchsorted(every, sets_[j], "right")
+        both = np.zeros(len(self.names), np.int64)
+        for every, owner in parts:
+            lo, hi = np.searchsorted(every, self.sets[j], "left"), np.searchsorted(every, self.sets[j], "right")
             n = hi - lo
             at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            both = np.bincount(owner[at], minlength=len(sids))
-            for i in np.flatnonzero(both):
-                if i != j and DEN * both[i] >= NUM * (size[i] + size[j] - both[i]):
-                    a, b = find(i), find(j)
-                    if a != b:
-                        root[a] = b
-                        links.append((sids[i], sids[j]))
-        return links
+            both = np.maximum(both, np.bincount(owner[at], minlength=len(both)))
+        return both
+
+    def _link(self, j: int, both, some) -> None:
+        """Connects ``j`` with those of ``some`` that lie within EPS and are not connected with it yet."""
+        import numpy as np
+
+        union = self.size[some] + self.size[j] - both[some]
+        for i in some[(DEN * both[some] >= NUM * union) & (self.of[some] != self.of[j])]:
+            if self.of[i] != self.of[j]:
+                self.links.append((self.names[i], self.names[j]))
+                self.of[self.of == self.of[i]] = self.of[j]
+
+    def _join(self, left, right) -> None:
+        import numpy as np
+
+        cells = list(self._cells(left, right))
+        partners: dict[int, list] = {}
+        for some, others in cells:
+            for j in others:
+                partners.setdefault(int(j), []).append(some)
+        for j, some in partners.items():
+            some = np.concatenate(some)
+            some = some[self.of[some] != self.of[j]]
+            if len(some):
+                self._link(j, self._overlaps(j, self.parts[:1]), some)
+
+    def _cells(self, left, right):
+        """(points of ``left``, points of ``right`` they are to be compared with): Voronoi cells and their windows, in recursion."""
+        import numpy as np
+
+        if len(left) * len(right) <= LEAF * LEAF or not (self.of[left, None] != self.of[right]).any():
+            yield left, right
+            return
+        pivots = left[np.linspace(0, len(left) - 1, 8).astype(int)]
+        distance = np.empty((len(pivots), len(self.names)))
+        for k, p in enumerate(pivots):
+            both = self._overlaps(p, self.parts)
+            distance[k] = 1 - both / (self.size + self.size[p] - both)
+            self._link(p, both, np.append(left, right))
+        home = distance[:, left].argmin(0)
+        for k in range(len(pivots)):
+            cell = left[home == k]
+            if len(cell):
+                window = right[distance[k, right] <= distance[k, cell].max() + 1 - NUM / DEN + 1e-9]
+                if len(cell) * len(window) * 2 > len(left) * len(right):  # does not divide
+                    yield cell, window
+                elif len(window):
+                    yield from self._cells(cell, window)
+
+
+def _linked(rows: DataFrame, partitions: int) -> DataFrame:
+    """Links (u, v) that span, in each region, the components of all links between its sides."""
+    import pyarrow as pa
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
         def out(links):
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.binary()), pa.array([v for _, v in links], pa.binary())], names=["u", "v"])
 
         for batch in batches:
-            for r, sid, side, x in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for r, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if r != now and held:
-                    yield out(joined(held))
+                    yield out(_Region(held).links)
                     held = []
                 now = r
-                held.append((sid, side, x))
+                held.append(row)
         if held:
-            yield out(joined(held))
+            yield out(_Region(held).links)
 
-    return rows.repartition(partitions, "region").sortWithinPartitions("region").mapInArrow(work, "u bigint, v bigint")
+    return rows.repartition(partitions, "region").sortWithinPartitions("region").mapInArrow(work, "u binary, v binary")
 
 
 def _least_shared(n, m):
@@ -491,7 +546,7 @@ def _pair_regions(pairs: DataFrame) -> DataFrame:
 
 
 def _windows(ball: DataFrame, shell: DataFrame) -> DataFrame:
-    """(region, sid, side): each block of a component's regions with each block of its windows."""
+    """(region, sid, side): each block of a component's regions with each block of its windows; both sides (key, sid)."""
     size = ball.groupBy("key").agg(F.count(F.lit(1)).alias("nb")).join(shell.groupBy("key").agg(F.count(F.lit(1)).alias("ns")), "key")
     size = size.select("key", F.ceil(F.col("nb") / BLOCK).alias("kb"), F.ceil(F.col("ns") / BLOCK).alias("ks"))
     region = lambda i, j: F.xxhash64("key", i, j, F.lit("w"))
@@ -529,62 +584,69 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def _regions_of_pivots(src: DataFrame, points: DataFrame):
+    """(pivots' sets, root, members): root (s, pivot) has the points that a pivot took with the name of the pivot that stands for
+    their component; members (region, sid, side) deals regions and windows into blocks. root and members are None without pivots."""
+    spark = src.sparkSession
+    pivots: list[tuple[bytes, bytes]] = []
+    near, left = None, points.where("name is not null")
+    for _ in range(ROUNDS):
+        more = _pivots(src, points, left)
+        if not more:
+            break
+        first = len(pivots)
+        pivots += more
+        found = cut(_near_pivots(src, spark.sparkContext.broadcast([s for _, s in more])).withColumn("key", F.col("key") + first))
+        near = found if near is None else near.union(found)
+        left = left.join(found.where("linked").select("name").distinct(), "name", "left_anti")
+    if near is None:
+        return [], None, None
+    # The nearest pivot of a point within EPS of some is its home; the first of equally near ones.
+    ball = near.where("linked").select("name", "sid", "key", (F.col("d") * 4096 + F.col("key")).alias("dk")).distinct()
+    home = cut(ball.groupBy("name", "sid").agg(F.min("dk").alias("dk")).select("name", "sid", (F.col("dk") % 4096).alias("home"), F.floor(F.col("dk") / 4096).alias("d")))
+    # Pivots within EPS of one point are in one component.
+    of = _forest(ball.join(home.select("name", "home"), "name").where("key <> home").select("key", "home"), len(pivots))
+    comp = spark.createDataFrame([(k, c, bytearray(pivots[c][0])) for k, c in of.items()], "key bigint, comp int, pivot binary")
+    radius = home.groupBy("home").agg(F.max("d").alias("radius"))
+    region = F.broadcast(cut(comp.join(radius, F.col("key") == F.col("home"), "left").select("key", "comp", "pivot", F.coalesce("radius", F.lit(0)).alias("radius")).coalesce(1)))
+    root = cut(home.join(region, F.col("home") == F.col("key")).select(F.col("name").alias("s"), "sid", F.col("comp").alias("own"), "pivot"))
+    shell = near.where("not linked").select("name", "sid", "key", "d").distinct().join(region, "key")
+    shell = shell.where(F.col("d") <= F.col("radius") + PARTS // 4 + 4)  # distances are rounded down
+    shell = shell.join(root.select("s", "own"), F.col("name") == F.col("s"), "left").where("own is null or own <> comp")
+    # Regions of one component are joined as one: its points and those in any of its windows, each sent once a block.
+    members = _windows(root.select(F.col("own").alias("key"), "sid"), cut(shell.select(F.col("comp").alias("key"), "sid").distinct()))
+    return [s for _, s in pivots], root.select("s", "pivot"), members
+
+
 def _components(src: DataFrame) -> DataFrame:
-    """(id, n, sid, h, label, component) of ``src`` (id, t): the set's name, a digest of the text, the component's own name and its smallest id.
+    """(id, n, name, h, label, component) of ``src`` (id, t): the set's name, a digest of the text, the component's own name and its smallest id.
 
-    sid, label and component are null where there are no shingles, component also where no row of it has an id.
+    name, label and component are null where there are no shingles, component also where no row of it has an id.
     """
     import numpy as np
 
     spark = src.sparkSession
     parts = shuffle_partitions(spark)
-    base = cut(_scan(src, None, True))
-    points = base.where("kind = 2").select(F.col("key").alias("id"), "n", "sid", F.col("set").alias("h"))
-    top = largest_counts(_counts(base, 0).groupBy("key").agg(F.sum("n").alias("c")).where("c >= 8"), "c", MAX_FREQUENT).toPandas()
+    base = cut(_scan(src))
+    points = base.where("kind = 2").select(F.col("key").alias("id"), "n", "sid", "name", "h", F.col("set").alias("crowd"))
+    top = largest_counts(_shingle_counts(base).groupBy("key").agg(F.sum("n").alias("c")).where("c >= 8"), "c", MAX_FREQUENT).toPandas()
     keys = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order].tobytes(), top["c"].to_numpy(np.int64).astype(np.uint64)[order].tobytes()))
-
-    used: set[int] = set()
-    pivots: list[tuple[int, bytes]] = []
-    stats = base
-    found = None
-    for _ in range(ROUNDS):
-        more = _crowded(stats, used)
-        if not more or len(pivots) + len(more) > MAX_PIVOTS * 2:
-            break
-        pivots += more
-        found = cut(_scan(src, spark.sparkContext.broadcast([s for _, s in pivots]), False))
-        stats = found
-    shared = spark.sparkContext.broadcast([s for _, s in pivots])
-
-    members = root = None
-    if found is not None:
-        ball = cut(found.where("kind = 3").select("key", "sid").distinct())
-        # Pivots that share a point are in one component: at most MAX_PIVOTS ** 2 pairs, of the pivots alone.
-        low = ball.groupBy("sid").agg(F.min("key").alias("low"))
-        met = ball.join(low, "sid").where("key <> low").select("key", "low").distinct().collect()
-        up: dict[int, int] = {}
-        for k, m in met:
-            a, b = _root(k, up), _root(m, up)
-            up[max(a, b)] = min(a, b)
-        comp = spark.createDataFrame([(i, _root(i, up), pivots[_root(i, up)][0]) for i in range(len(pivots))], "key bigint, comp int, pivot bigint")
-        # (point, component, the pivot that names it) of all points that a pivot took
-        root = cut(low.join(F.broadcast(comp), F.col("low") == F.col("key")).select(F.col("sid").alias("s"), F.col("comp").alias("own"), "pivot"))
-        shell = found.where("kind = 4").select("key", "sid").distinct().join(F.broadcast(comp), "key")
-        shell = shell.join(root, F.col("sid") == F.col("s"), "left").where("own is null or own <> comp")
-        # Regions of one component are joined as one: its points and those in any of its windows, each sent once a block.
-        members = _windows(root.select(F.col("own").alias("key"), F.col("s").alias("sid")), cut(shell.select(F.col("comp").alias("key"), "sid").distinct()))
+    pivots, root, members = _regions_of_pivots(src, points)
+    shared = spark.sparkContext.broadcast(pivots)
 
     met = _candidates(_postings(src, shared, frequent, parts * 4), parts)
     met = met.groupBy("a", "b", "region", "side").agg(F.sum("c").alias("c"))
     enough = F.least(F.col("a").bitwiseAND(63), F.col("b").bitwiseAND(63)) + 1
     candidates = cut(met.where(F.col("region").isNotNull() | (F.col("c") >= enough)))
-    size = points.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"))
+    # The first half of a name steers the search only: where different sets share it, their size is left open.
+    size = points.where("name is not null").groupBy("sid").agg(F.min("n").alias("least"), F.max("n").alias("n"))
+    size = size.select("sid", F.when(F.col("least") == F.col("n"), F.col("n")).alias("n"))
     pairs = candidates.where("region is null").select("a", "b", "c")
     for end in ("a", "b"):
         pairs = pairs.join(size.select(F.col("sid").alias(end), F.col("n").alias(f"n{end}")), end)
-    pairs = cut(pairs.where(F.col("c") >= _least_shared(F.col("na"), F.col("nb"))).select("a", "b"))
+    pairs = cut(pairs.where(F.coalesce(F.col("c") >= _least_shared(F.col("na"), F.col("nb")), F.lit(True))).select("a", "b"))
     regions = candidates.where("region is not null").select("region", F.col("a").alias("sid"), "side")
     every = _pair_regions(pairs).union(regions)
     every = cut(every.union(members) if members is not None else every)
@@ -595,15 +657,17 @@ def _components(src: DataFrame) -> DataFrame:
         edges = edges.distinct()
     label = connected(edges)
 
-    least = points.where("sid is not null").groupBy("sid").agg(F.min("id").alias("first"))
+    least = points.where("name is not null").groupBy("name").agg(F.min("id").alias("first"))
     if root is not None:
-        least = least.join(root.select(F.col("s"), "pivot"), F.col("sid") == F.col("s"), "left").select("sid", "first", F.coalesce("pivot", "sid").alias("point"))
+        least = least.join(root, F.col("name") == F.col("s"), "left").select("name", "first", F.coalesce("pivot", "name").alias("point"))
     else:
-        least = least.withColumn("point", F.col("sid"))
-    least = least.join(label, F.col("point") == F.col("node"), "left").select("sid", "first", F.coalesce("label", "point").alias("label"))
+        least = least.withColumn("point", F.col("name"))
+    least = least.join(label, F.col("point") == F.col("node"), "left").select("name", "first", F.coalesce("label", "point").alias("label"))
     named = least.groupBy("label").agg(F.min("first").alias("component"))
-    of = cut(least.join(named, "label").select(F.col("sid").alias("s"), "label", "component"))
-    return points.join(of, F.col("sid") == F.col("s"), "left").drop("s")
+    of = cut(least.join(named, "label").select(F.col("name").alias("s"), "label", "component"))
+    points = points.drop("crowd", "sid")
+    alone = points.where("name is null").select("*", F.lit(None).cast("binary").alias("label"), F.lit(None).cast("long").alias("component"))
+    return points.join(of, F.col("name") == F.col("s")).drop("s").union(alone)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

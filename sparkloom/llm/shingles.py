@@ -64,7 +64,11 @@ def by_text(values: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
 
 
 class Sets:
-    """Shingle sets of a batch: set ``d`` is ``values[bounds[d]:bounds[d + 1]]``, ascending; ``sid`` names its content."""
+    """Shingle sets of a batch: set ``d`` is ``values[bounds[d]:bounds[d + 1]]``, ascending.
+
+    ``names[d]`` is a 128-bit digest of its content, by which sets are told apart; ``sid[d]``, its first half, only steers
+    the search for candidates (58 bits of content, and six of how much a prefix must share).
+    """
 
     def __init__(self, texts: list[bytes]):
         n = len(texts)
@@ -97,14 +101,19 @@ class Sets:
         self.values, self.doc = g, at
         self.sizes = np.bincount(at, minlength=n)
         self.bounds = np.append(0, np.cumsum(self.sizes))
-        sums = np.zeros(n, np.uint64)
+        sums, more = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         full = np.flatnonzero(self.sizes)
         if len(full):
-            sums[full] = np.add.reduceat(mix(g ^ np.uint64(0xA5A5A5A55A5A5A5A)), self.bounds[full])
+            salted = mix(g ^ np.uint64(0xA5A5A5A55A5A5A5A))
+            sums[full] = np.add.reduceat(salted, self.bounds[full])
+            salted ^= salted >> np.uint64(29)
+            salted *= np.uint64(0x9FB21C651E98DF25)
+            more[full] = np.add.reduceat(salted ^ (salted >> np.uint64(32)), self.bounds[full])
         #: So many shingles of its prefix a set must share with another to be compared (1 to 64), also in the name's last six bits.
         self.share = np.minimum(1 + self.sizes // 16, 64)
         name = mix(sums + self.sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.sid = ((name & ~np.uint64(63)) | (self.share - 1).astype(np.uint64)).view(np.int64)
+        self.names = [b"".join(p) for p in zip((x.tobytes() for x in self.sid), (x.tobytes() for x in mix(more + name)))]
 
     def __getitem__(self, d: int) -> np.ndarray:
         return self.values[self.bounds[d] : self.bounds[d + 1]]

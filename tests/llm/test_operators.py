@@ -167,7 +167,7 @@ def test_jaccard_join_crowds(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     rows += [(i, " ".join([word() for _ in range(rng.randrange(1, 30))] + passage)) for i in range(190, 260)]
     rng.shuffle(rows)
-    monkeypatch.setattr(jaccard_join, "CROWD", 8)
+    monkeypatch.setattr(jaccard_join, "LEAF", 4)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     got = jaccard_join.components_of(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
     assert Counter(map(tuple, got)) == brute_components(rows)
