@@ -128,16 +128,16 @@ def first_by_digest(ids: DataFrame, most: int) -> DataFrame:
 
 
 def largest_counts(counted: DataFrame, count: str, most: int) -> DataFrame:
-    """Rows with the largest ``count``: all from the lowest power of two from which on there are at most ``most``; if not even the highest fits, its first."""
-    level = F.floor(F.log2(F.col(count))).cast("int")
-    counted = counted.withColumn("__level", level)
+    """``most`` rows with large ``count``: all of the highest powers of two that fit, and of the next power a part chosen by a digest, so that no task sends ``most`` rows."""
+    others = [c for c in counted.columns if c != count]
+    counted = counted.withColumn("__level", F.floor(F.log2(F.col(count))).cast("int"))
     sizes = sorted(((r[0], r[1]) for r in counted.groupBy("__level").count().collect()), reverse=True)  # 63 rows at most
-    low, total = None, 0
+    full, room = [], most
     for at, n in sizes:
-        if total + n > most:
-            break
-        low, total = at, total + n
-    if low is None:
-        top = sizes[0][0] if sizes else 0
-        return counted.where(F.col("__level") == top).drop("__level").orderBy(F.desc(count), *[c for c in counted.columns if c not in (count, "__level")]).limit(most)
-    return counted.where(F.col("__level") >= low).drop("__level")
+        if n > room:
+            share = F.pmod(F.xxhash64(*others), F.lit(1 << 20)) <= F.lit((1 << 20) * room // n)
+            part = counted.where((F.col("__level") == at) & share).orderBy(F.desc(count), *others).limit(room)
+            return counted.where(F.col("__level").isin(full)).union(part).drop("__level")
+        full.append(at)
+        room -= n
+    return counted.drop("__level")

@@ -7,7 +7,7 @@ different set is a point, named by a 128-bit digest of its content, so copies ne
    documents, at any size of input. A point within EPS of pivots lies in the Voronoi region of the nearest one and is
    linked to it. By the triangle inequality, a point linked with one of a region lies within the region's radius
    and EPS of its pivot: the points in that window are replicated to the region, unless they belong to the same
-   component of regions. A second round takes more pivots out of the points that the first left over.
+   component of regions.
 2. *Points far from every pivot.* Windows say nothing where distances are 1, as they are between most documents. So single shingles
    serve as pivots there: a set lies nearer than 1 to {s} only if it has s. A point of n shingles is replicated to
    those of its first n - ceil(3n/4) + s shingles, in an order that puts shingles frequent in the corpus
@@ -20,8 +20,8 @@ different set is a point, named by a 128-bit digest of its content, so copies ne
 
 Shingles are compared as 64-bit hashes of whole words. Frequent shingles and crowds are counted
 over all documents; they steer the work and never decide a link. To the driver come at most
-``MAX_FREQUENT`` frequent shingles, ``ROUNDS`` * ``MAX_PIVOTS`` pivots of at most ``PIVOT_BYTES`` a round, and a forest of pivots
-from each task, whatever the input; all that they leave out is joined by step 2.
+``MAX_FREQUENT`` frequent shingles, ``MAX_PIVOTS`` pivots of at most ``PIVOT_BYTES``, and a forest of pivots from
+each task, whatever the input; all that they leave out is joined by step 2.
 
 Defined cases: a null text counts as empty; a text without words has no shingles, is linked with
 nothing and is its own component; null identifiers take part but never name a component that has
@@ -45,14 +45,14 @@ MAX_FREQUENT = 200_000
 MAX_PIVOTS = 1024
 PIVOT_BYTES = 24 << 20
 EACH = 6
-ROUNDS = 2
+CLOSE = 16
 BLOCK = 512
 LEAF = 48
 #: Distances are carried as whole numbers of this many parts.
 PARTS = 1 << 30
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 FLUSH = 1 << 20
-HITS = 4 << 20
+HITS = 1 << 19
 BROADCAST_ROWS = 1_000_000
 
 
@@ -151,9 +151,9 @@ def _distinct_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "sid bigint, name binary, set binary")
 
 
-def _pivots(src: DataFrame, points: DataFrame, left: DataFrame) -> list[tuple[bytes, bytes]]:
-    """Up to ``MAX_PIVOTS`` of the points ``left``, ``EACH`` of a crowd, the largest crowds first: (name, set)."""
-    free = left.groupBy("crowd", "name").agg(F.first("n").alias("n"), F.min("h").alias("h"))
+def _pivots(src: DataFrame, points: DataFrame) -> list[tuple[bytes, bytes]]:
+    """Up to ``MAX_PIVOTS`` points, ``EACH`` of a crowd, the largest crowds first: (name, set)."""
+    free = points.where("name is not null").groupBy("crowd", "name").agg(F.first("n").alias("n"), F.min("h").alias("h"))
     crowds = largest_counts(cut(free.groupBy("crowd").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")), "c", MAX_PIVOTS // EACH)
     w = Window.partitionBy("crowd").orderBy("name")
     some = free.join(F.broadcast(crowds), "crowd").withColumn("r", F.row_number().over(w)).where(F.col("r") <= EACH)
@@ -167,7 +167,29 @@ def _pivots(src: DataFrame, points: DataFrame, left: DataFrame) -> list[tuple[by
     few = src.sparkSession.createDataFrame([(bytearray(h),) for h in chosen], "h binary")
     texts = src.join(F.broadcast(few), F.unhex(F.md5("t")) == F.col("h"), "left_semi")
     sets = {bytes(r["name"]): bytes(r["set"]) for r in _distinct_sets(texts).dropDuplicates(["name"]).select("name", "set").collect()}
-    return [(name, sets[name]) for name in chosen.values()]
+    return _apart([(name, sets[name]) for name in chosen.values()])
+
+
+def _apart(pivots: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """The pivots, in order, without those that ``CLOSE`` earlier ones lie within twice EPS of: a point comes in few windows, however large its crowd."""
+    import numpy as np
+
+    sets = [np.frombuffer(s, np.uint64) for _, s in pivots]
+    index, close, stay = _Pivots(sets), np.zeros(len(sets), np.int64), []
+    for k, s in enumerate(sets):
+        if close[k] < CLOSE:
+            stay.append(pivots[k])
+            close[index.near(_One(s))[1]] += 1
+    return stay
+
+
+class _One:
+    """A single set as a batch of sets."""
+
+    def __init__(self, values):
+        import numpy as np
+
+        self.values, self.doc, self.sizes = values, np.zeros(len(values), np.int64), np.array([len(values)])
 
 
 class _Pivots:
@@ -181,8 +203,8 @@ class _Pivots:
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(every, kind="stable")
         self.values, self.owner = every[order], owner[order]
-        self.seen = np.zeros(1 << 23, bool)
-        self.seen[every & np.uint64((1 << 23) - 1)] = True
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[every & np.uint64((1 << 22) - 1)] = True
 
     def near(self, sets):
         """(set, pivot, distance, linked) of all pairs within twice the distance of a link."""
@@ -190,7 +212,7 @@ class _Pivots:
 
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
         if len(self.values):
-            maybe = self.seen[sets.values & np.uint64((1 << 23) - 1)]
+            maybe = self.seen[sets.values & np.uint64((1 << 22) - 1)]
             v, d = sets.values[maybe], sets.doc[maybe]
             lo, hi = np.searchsorted(self.values, v, "left"), np.searchsorted(self.values, v, "right")
             hit = hi > lo
@@ -588,19 +610,10 @@ def _regions_of_pivots(src: DataFrame, points: DataFrame):
     """(pivots' sets, root, members): root (s, pivot) has the points that a pivot took with the name of the pivot that stands for
     their component; members (region, sid, side) deals regions and windows into blocks. root and members are None without pivots."""
     spark = src.sparkSession
-    pivots: list[tuple[bytes, bytes]] = []
-    near, left = None, points.where("name is not null")
-    for _ in range(ROUNDS):
-        more = _pivots(src, points, left)
-        if not more:
-            break
-        first = len(pivots)
-        pivots += more
-        found = cut(_near_pivots(src, spark.sparkContext.broadcast([s for _, s in more])).withColumn("key", F.col("key") + first))
-        near = found if near is None else near.union(found)
-        left = left.join(found.where("linked").select("name").distinct(), "name", "left_anti")
-    if near is None:
+    pivots = _pivots(src, points)
+    if not pivots:
         return [], None, None
+    near = cut(_near_pivots(src, spark.sparkContext.broadcast([s for _, s in pivots])))
     # The nearest pivot of a point within EPS of some is its home; the first of equally near ones.
     ball = near.where("linked").select("name", "sid", "key", (F.col("d") * 4096 + F.col("key")).alias("dk")).distinct()
     home = cut(ball.groupBy("name", "sid").agg(F.min("dk").alias("dk")).select("name", "sid", (F.col("dk") % 4096).alias("home"), F.floor(F.col("dk") / 4096).alias("d")))

@@ -26,7 +26,7 @@ def table(spark, texts, seed=1):
     return rows, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
 
 
-@pytest.mark.parametrize("limits", [{"BROADCAST_ROWS": 3}, {"MAX_FREQUENT": 5}, {"MAX_PIVOTS": 6}, {"PIVOT_BYTES": 700}, {"HITS": 50, "FLUSH": 200}, {"ROUNDS": 0}])
+@pytest.mark.parametrize("limits", [{"BROADCAST_ROWS": 3}, {"MAX_FREQUENT": 5}, {"MAX_PIVOTS": 6}, {"PIVOT_BYTES": 700}, {"HITS": 50, "FLUSH": 200}, {"MAX_PIVOTS": 0}, {"CLOSE": 1}])
 def test_bounds_change_nothing(spark, monkeypatch, limits):
     rng = random.Random(8)
     rows, docs = table(spark, crowd(rng, 60) + crowd(rng, 40, 30, 4) + [" ".join(f"v{rng.randrange(60)}" for _ in range(12)) for _ in range(60)])
