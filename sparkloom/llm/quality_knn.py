@@ -32,8 +32,8 @@ from sparkloom.llm.common import first_by_digest, slices
 MAX_LABELLED = 4096
 DIMS = 64
 NEIGHBOURS = 15
-SLICE_BYTES = 2 << 20
-BLOCK = 256
+SLICE_BYTES = 1 << 20
+BLOCK = 128
 GRAM_TERMS = 1 << 12
 WORD_TERMS = 1 << 11
 STYLE = 32
