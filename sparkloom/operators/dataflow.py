@@ -1,6 +1,6 @@
 """Dataflow analysis: definitions, reaching definitions, chains and dependencies.
 
-Everything that stays inside a program is either a window or one grouped job; the reaching-definitions
+Everything that stays inside a program is either a window or one job by program; the reaching-definitions
 solver works on bit sets and always runs to the true fixpoint.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.plans.fixpoint import apart
+from sparkloom.plans import fixpoint
 
 
 def gen(defs: DataFrame) -> DataFrame:
@@ -26,16 +26,16 @@ def kill(g: DataFrame) -> DataFrame:
 def reaching(g: DataFrame, edges: DataFrame) -> DataFrame:
     """(program_id, block, var, def_block, def_idx): definitions that reach a block's beginning.
 
-    in = union of the predecessors' out; out = gen + (in - kill). One grouped job a program; a
-    definition is a bit, so a visit of a block costs a few machine words a predecessor.
+    in = union of the predecessors' out; out = gen + (in - kill). One task a program; a definition is a bit, so a visit of a
+    block costs a few machine words a predecessor. Programs of over ``fixpoint.GROUP_ROWS`` rows go by rounds of joins.
     """
 
-    def solve(gs, es):
-        import pandas as pd
-
-        if not len(gs):
-            return pd.DataFrame({"program_id": [], "block": [], "var": [], "def_block": [], "def_idx": []})
-        facts = list(zip(gs["block"], gs["var"], gs["idx"]))
+    def solve(rows):
+        facts = [r for r in rows if r[2] is not None]
+        succ: dict = {}
+        for s, d, idx in rows:
+            if idx is None:
+                succ.setdefault(s, []).append(d)
         of_var: dict = {}
         for i, (_, v, _) in enumerate(facts):
             of_var[v] = of_var.get(v, 0) | 1 << i
@@ -44,9 +44,6 @@ def reaching(g: DataFrame, edges: DataFrame) -> DataFrame:
         for i, (b, v, _) in enumerate(facts):
             gens[b] = gens.get(b, 0) | 1 << i
             keep[b] = keep.get(b, 0) | of_var[v]
-        succ: dict = {}
-        for s, d in zip(es["src"], es["dst"]):
-            succ.setdefault(s, []).append(d)
         into: dict = {}
         todo = list(gens)
         queued = set(todo)
@@ -60,16 +57,36 @@ def reaching(g: DataFrame, edges: DataFrame) -> DataFrame:
                     if d not in queued:
                         queued.add(d)
                         todo.append(d)
-        rows = []
         for b, bits in into.items():
             while bits:
                 i = (bits & -bits).bit_length() - 1
                 bits &= bits - 1
-                rows.append((b, facts[i][1], facts[i][0], facts[i][2]))
-        cols = list(zip(*rows)) or [[], [], [], []]
-        return pd.DataFrame({"program_id": [gs["program_id"].iloc[0]] * len(rows), "block": cols[0], "var": cols[1], "def_block": cols[2], "def_idx": cols[3]})
-
-    return g.groupBy("program_id").cogroup(apart(edges, "program_id", "src", "dst").groupBy("program_id")).applyInPandas(solve, "program_id bigint, block string, var string, def_block string, def_idx int")
+                yield b, facts[i][1], facts[i][0], facts[i][2]
+
+    # Facts are (block, var, idx) and edges (src, dst, null), so that both lie side by side.
+    both = g.select("program_id", F.col("block").alias("a"), F.col("var").alias("b"), "idx").union(edges.select("program_id", "src", "dst", F.lit(None).cast("int")))
+    small, big, _ = fixpoint.split(both, "program_id")
+    out = fixpoint.per_key(small, "program_id", solve, "program_id bigint, block string, var string, def_block string, def_idx int")
+    if big is None:
+        return out
+    facts = big.where("idx is not null").select("program_id", F.col("a").alias("block"), F.col("b").alias("var"), "idx")
+    return out.union(reaching_rounds(facts, big.where("idx is null").select("program_id", F.col("a").alias("src"), F.col("b").alias("dst"))))
+
+
+def reaching_rounds(g: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same by semi-naive rounds of joins, for programs of any size."""
+    edges = fixpoint.checkpointed(edges.select("program_id", F.col("src").alias("block"), "dst").distinct())
+    g = fixpoint.checkpointed(g.select("program_id", "block", "var", "idx"))
+    fact = ["program_id", "block", "var", "def_block", "def_idx"]
+    out = g.select("program_id", "block", "var", F.col("block").alias("def_block"), F.col("idx").alias("def_idx"))
+    seen = None
+    while True:
+        hop = out.join(edges, ["program_id", "block"]).select("program_id", F.col("dst").alias("block"), "var", "def_block", "def_idx").distinct()
+        new = fixpoint.checkpointed(hop if seen is None else hop.join(seen, fact, "left_anti"))
+        if new.isEmpty():
+            return new if seen is None else seen
+        seen = new if seen is None else fixpoint.checkpointed(seen.union(new))
+        out = new.join(g, ["program_id", "block", "var"], "left_anti")
 
 
 def def_use(defs: DataFrame, uses: DataFrame, reach: DataFrame) -> DataFrame:
@@ -90,31 +107,30 @@ def produced_from(defs: DataFrame, uses: DataFrame) -> DataFrame:
 
 
 def named_sources(flow: DataFrame) -> DataFrame:
-    """(program_id, reg, var): each register with the variables found by walking registers back."""
-
-    def solve(pdf):
-        import pandas as pd
+    """(program_id, reg, var): each register with the variables found by walking registers back; programs of over ``fixpoint.GROUP_ROWS`` rows by rounds."""
 
+    def solve(rows):
         up: dict = {}
-        for v, s in zip(pdf["var"], pdf["source"]):
+        for v, s in rows:
             up.setdefault(v, set()).add(s)
-        rows = []
         for r in up:
-            if not r.startswith("%"):
-                continue
-            seen, todo, out = set(), [r], set()
-            while todo:
-                x = todo.pop()
-                for s in up.get(x, ()):
-                    if not s.startswith("%"):
-                        out.add(s)
-                    elif s not in seen:
-                        seen.add(s)
-                        todo.append(s)
-            rows += [(r, v) for v in out]
-        return pd.DataFrame({"program_id": [pdf["program_id"].iloc[0]] * len(rows), "reg": [r for r, _ in rows], "var": [v for _, v in rows]})
-
-    return flow.groupBy("program_id").applyInPandas(solve, "program_id bigint, reg string, var string")
+            if r.startswith("%"):
+                seen, todo, out = set(), [r], set()
+                while todo:
+                    for s in up.get(todo.pop(), ()):
+                        if not s.startswith("%"):
+                            out.add(s)
+                        elif s not in seen:
+                            seen.add(s)
+                            todo.append(s)
+                yield from ((r, v) for v in out)
+
+    small, big, _ = fixpoint.split(flow.select("program_id", "var", "source"), "program_id")
+    out = fixpoint.per_key(small, "program_id", solve, "program_id bigint, reg string, var string")
+    if big is None:
+        return out
+    walk = fixpoint.closure(big.where("var like '\\%%'").select("program_id", F.col("var").alias("src"), F.col("source").alias("dst")), ["program_id"])
+    return out.union(walk.where("dst not like '\\%%'").select("program_id", F.col("src").alias("reg"), F.col("dst").alias("var")))
 
 
 def raw_dependencies(p: DataFrame, sources: DataFrame) -> DataFrame:

@@ -26,12 +26,9 @@ def instr(spark: SparkSession, sf_dir: str) -> DataFrame:
     leader = (F.col("pc") == 0) | (F.col("event_type") == "signup") | (F.lag("event_type").over(w) == "error")
     e = e.withColumn("ord", F.sum(leader.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     e = e.withColumn("name", F.when(F.col("event_type") == "signup", F.concat(F.lit("L"), F.col("event_id").cast("string"))))
-    # A branch names blocks by number; their labels come from the program's own leaders, one array a program that
-    # is joined where the window's partitioning already is.
-    head = F.when(leader, F.coalesce("name", F.concat(F.lit("__block_"), F.col("pc").cast("string"))))
-    e = e.withColumn("head", head)
-    heads = e.where("head is not null").groupBy("program_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "head"))), lambda x: x["head"]).alias("heads"))
-    e = e.join(heads, "program_id").withColumn("n", F.size("heads"))
+    # A branch names blocks by number: the label of the next one lies in the next row, that of any other is met by an equi-join.
+    head = F.coalesce("name", F.concat(F.lit("__block_"), F.col("pc").cast("string")))
+    e = e.withColumns({"following": F.lead(head).over(w), "blocks": F.max("ord").over(Window.partitionBy("program_id")) + 1, "head": F.when(leader, head)})
     kind = F.pmod("event_id", F.lit(4))
     opcode = (
         F.when(F.col("event_type") == "signup", "LABEL").when(F.col("event_type") == "click", "LOAD_VAR").when(F.col("event_type") == "view", "BINOP").when(F.col("event_type") == "purchase", "STORE_VAR")
@@ -43,10 +40,13 @@ def instr(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("opcode") == "LOAD_VAR", F.array(var)).when(F.col("opcode") == "BINOP", F.array(F.lit("+"), F.col("p2"), F.col("p1")))
         .when(F.col("opcode") == "STORE_VAR", F.array(var, F.col("p1"))).otherwise(F.array().cast("array<string>"))
     )
-    jump, following = F.get("heads", F.pmod("k", F.col("n"))), F.get("heads", F.col("ord") + 1)
-    targets = F.when(F.col("opcode") == "BRANCH_IF", F.array(jump, following)).when(F.col("opcode") == "BRANCH", F.array(jump)).otherwise(F.array().cast("array<string>"))
+    e = e.withColumn("operands", operands).withColumn("to", F.when(F.col("opcode").startswith("BRANCH"), F.pmod("k", F.col("blocks"))))
+    heads = e.where("head is not null").select(F.col("program_id").alias("hp"), F.col("ord").alias("ho"), F.col("head").alias("jump"))
+    # Rows that do not branch get a number of their own that no block has, so that they spread over all tasks.
+    e = e.withColumn("to", F.coalesce("to", -1 - F.col("pc"))).join(heads, (F.col("program_id") == F.col("hp")) & (F.col("to") == F.col("ho")), "left")
+    targets = F.when(F.col("opcode") == "BRANCH_IF", F.array("jump", "following")).when(F.col("opcode") == "BRANCH", F.array("jump")).otherwise(F.array().cast("array<string>"))
     keep = lambda c: F.filter(c, lambda x: x.isNotNull())
-    return e.select("program_id", F.col("pc").cast("int").alias("pc"), "opcode", "result_reg", keep(operands).alias("operands"), F.coalesce("name", F.lit("")).alias("label"), keep(targets).alias("branch_targets"), "event_id", "k")
+    return e.select("program_id", F.col("pc").cast("int").alias("pc"), "opcode", "result_reg", keep(F.col("operands")).alias("operands"), F.coalesce("name", F.lit("")).alias("label"), keep(targets).alias("branch_targets"), "event_id", "k")
 
 
 #: The same on DuckDB: CTEs ev, ins (instructions with block), blk (blocks), edge, def, use, gen, fn (functions), own (blocks' owners), site (call sites).

@@ -1,7 +1,7 @@
 """Fixpoints over edge tables.
 
-Two forms. Graphs that stay within a key (a program) are solved by one grouped job: each group
-is one small graph and needs one shuffle. Graphs that cross keys, or are too big for one task, are solved by semi-naive
+Two forms. Graphs that stay within a key (a program) are solved by one job: each key
+is one small graph and needs one shuffle. Graphs that cross keys, or have over ``GROUP_ROWS`` rows, are solved by semi-naive
 rounds of joins; every round is written to the shared checkpoint folder, so a lost executor costs
 a re-read and the plan never grows.
 """
@@ -10,18 +10,53 @@ from __future__ import annotations
 
 import tempfile
 from collections import deque
+from functools import wraps
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where it is unset and the master is local."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return where or tempfile.mkdtemp(prefix="sparkloom-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 
+_tables: dict = {}
+
+
+def once(name: str, make) -> DataFrame:
+    """The table ``make`` gives, written to the shared folder the first time a query asks for it and read from there after that."""
+    if name not in _tables:
+        _tables[name] = checkpointed(make())
+    return _tables[name]
+
+
+def scoped(query):
+    """``query`` (spark, sf_dir) with its own shared tables: nothing is kept from one query to the next."""
+
+    @wraps(query)
+    def run(spark, sf):
+        _tables.clear()
+        try:
+            return query(spark, sf)
+        finally:
+            _tables.clear()
+
+    return run
+
+
 def reach(seeds: DataFrame, edges: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
     """(keys, node, depth): nodes reached from ``seeds`` (keys, node) over ``edges`` (keys, src, dst), each at its least depth."""
     edges = checkpointed(edges.select(*keys, "src", "dst").distinct())
@@ -55,21 +90,62 @@ def apart(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in columns])
 
 
-def _adjacency(pdf):
+#: Keys with more rows than this are solved by rounds of joins, not in one task.
+GROUP_ROWS = 1_000_000
+
+
+def split(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(rows of keys that fit a task, rows of the others or null, all rows), read from the shared folder."""
+    df = checkpointed(df)
+    big = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > GROUP_ROWS).select(key)
+    if big.isEmpty():
+        return df, None, df
+    return df.join(big, key, "left_anti"), df.join(big, key, "left_semi"), df
+
+
+def per_key(df: DataFrame, key: str, solve, schema: str) -> DataFrame:
+    """Rows (key, *row) for each row that ``solve`` gives for a key's rows (a list of their other columns, in order).
+
+    One shuffle and one sort; a task goes through its keys in order and holds one key's rows at a time.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def work(batches):
+        import pyarrow as pa
+
+        def pack(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+        out = []
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for name, group in groupby(rows, itemgetter(0)):
+            for row in solve([r[1:] for r in group]):
+                out.append((name, *row))
+                if len(out) == 10_000:
+                    yield pack(out)
+                    out = []
+        if out:
+            yield pack(out)
+
+    return df.select(key, *[c for c in df.columns if c != key]).repartition(key).sortWithinPartitions(key).mapInArrow(work, schema)
+
+
+def _adjacency(pairs):
     out: dict = {}
-    for s, d in zip(pdf["src"], pdf["dst"]):
+    for s, d in pairs:
         out.setdefault(s, []).append(d)
     return out
 
 
 def closure_by_key(edges: DataFrame, key: str) -> DataFrame:
-    """(key, src, dst): as :func:`closure`, each key's graph in one grouped task."""
+    """(key, src, dst): as :func:`closure`, each key's graph in one task; keys of over ``GROUP_ROWS`` edges by rounds."""
     kind = edges.schema[key].dataType.simpleString()
 
-    def solve(pdf):
-        import pandas as pd
-
-        adj, rows = _adjacency(pdf), []
+    def solve(rows):
+        adj = _adjacency(rows)
         for s in adj:
             seen, todo = set(), list(adj[s])
             while todo:
@@ -77,21 +153,20 @@ def closure_by_key(edges: DataFrame, key: str) -> DataFrame:
                 if d not in seen:
                     seen.add(d)
                     todo += adj.get(d, ())
-            rows += [(s, d) for d in seen]
-        return pd.DataFrame({key: pdf[key].iloc[0], "src": [s for s, _ in rows], "dst": [d for _, d in rows]})
+                    yield s, d
 
-    return edges.select(key, "src", "dst").groupBy(key).applyInPandas(solve, f"{key} {kind}, src string, dst string")
+    small, big, _ = split(edges.select(key, "src", "dst"), key)
+    out = per_key(small, key, solve, f"{key} {kind}, src string, dst string")
+    return out if big is None else out.union(closure(big, [key]))
 
 
 def reach_by_key(edges: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
-    """(key, node, depth): breadth-first from each key's seeds, in one grouped task a key."""
+    """(key, node, depth): breadth-first from each key's seeds, in one task a key; keys of over ``GROUP_ROWS`` rows by rounds."""
     kind = edges.schema[key].dataType.simpleString()
 
-    def solve(e, s):
-        import pandas as pd
-
-        adj = _adjacency(e)
-        depth = {n: 0 for n in s["node"]}
+    def solve(rows):
+        adj = _adjacency((s, d) for s, d in rows if d is not None)
+        depth = {s: 0 for s, d in rows if d is None}
         todo = deque(depth)
         while todo:
             x = todo.popleft()
@@ -99,23 +174,22 @@ def reach_by_key(edges: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
                 if d not in depth:
                     depth[d] = depth[x] + 1
                     todo.append(d)
-        name = s[key].iloc[0] if len(s) else None
-        return pd.DataFrame({key: [name] * len(depth), "node": list(depth), "depth": list(depth.values())})
+        return depth.items()
 
-    return edges.select(key, "src", "dst").groupBy(key).cogroup(apart(seeds, key, "node").groupBy(key)).applyInPandas(solve, f"{key} {kind}, node string, depth int")
+    both = edges.select(key, "src", "dst").where("dst is not null").union(seeds.select(key, "node", F.lit(None).cast("string")))
+    small, big, _ = split(both, key)
+    out = per_key(small, key, solve, f"{key} {kind}, node string, depth int")
+    return out if big is None else out.union(reach(big.where("dst is null").select(key, F.col("src").alias("node")), big.where("dst is not null"), [key]))
 
 
 def components_by_key(edges: DataFrame, key: str) -> DataFrame:
-    """(key, node, scc): strongly connected components, named by their smallest node, of every node of an edge."""
+    """(key, node, scc): strongly connected components, named by their smallest node, of every node of an edge; keys of over ``GROUP_ROWS`` edges by rounds."""
     kind = edges.schema[key].dataType.simpleString()
 
-    def solve(pdf):
-        import pandas as pd
-
-        adj = _adjacency(pdf)
-        nodes = sorted(set(pdf["src"]) | set(pdf["dst"]))
-        index, low, on, stack, out = {}, {}, set(), [], {}
-        for root in nodes:
+    def solve(rows):
+        adj = _adjacency(rows)
+        index, low, on, stack = {}, {}, set(), []
+        for root in sorted({x for r in rows for x in r}):
             if root in index:
                 continue
             work = [(root, iter(adj.get(root, ())))]
@@ -138,17 +212,20 @@ def components_by_key(edges: DataFrame, key: str) -> DataFrame:
                     if work:
                         low[work[-1][0]] = min(low[work[-1][0]], low[v])
                     if low[v] == index[v]:
-                        group = []
-                        while True:
-                            x = stack.pop()
-                            on.discard(x)
-                            group.append(x)
-                            if x == v:
-                                break
-                        out.update(dict.fromkeys(group, min(group)))
-        return pd.DataFrame({key: pdf[key].iloc[0], "node": list(out), "scc": list(out.values())})
-
-    return edges.select(key, "src", "dst").groupBy(key).applyInPandas(solve, f"{key} {kind}, node string, scc string")
+                        group = stack[stack.index(v) :]
+                        del stack[stack.index(v) :]
+                        on.difference_update(group)
+                        least = min(group)
+                        yield from ((x, least) for x in group)
+
+    small, big, _ = split(edges.select(key, "src", "dst"), key)
+    out = per_key(small, key, solve, f"{key} {kind}, node string, scc string")
+    if big is None:
+        return out
+    both = closure(big, [key])
+    mutual = both.join(both.select(key, F.col("src").alias("dst"), F.col("dst").alias("src")), [key, "src", "dst"]).groupBy(key, F.col("src").alias("node")).agg(F.min("dst").alias("least"))
+    nodes = big.select(key, F.col("src").alias("node")).union(big.select(key, "dst")).distinct()
+    return out.union(nodes.join(mutual, [key, "node"], "left").select(key, "node", F.least("node", F.coalesce("least", "node"))))
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

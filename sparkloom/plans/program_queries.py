@@ -15,7 +15,7 @@ ORACLES: dict = {}
 
 def query(name: str, sql: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = fixpoint.scoped(f)
         if sql:
             ORACLES[name] = sql
         return f
@@ -24,13 +24,13 @@ def query(name: str, sql: str | None = None):
 
 
 def _placed(spark, sf) -> DataFrame:
-    return cfg.placed(derived.instr(spark, sf))
+    return fixpoint.once("placed", lambda: cfg.placed(derived.instr(spark, sf)))
 
 
 def _graph(spark, sf):
     p = _placed(spark, sf)
-    b = cfg.blocks(p)
-    return p, b, cfg.edges(b)
+    b = fixpoint.once("blocks", lambda: cfg.blocks(p))
+    return p, b, fixpoint.once("edges", lambda: cfg.edges(b))
 
 
 @query("ra01_opcode_histogram", derived.oracle("SELECT opcode, count(*) AS n FROM ins GROUP BY opcode"))
@@ -253,6 +253,10 @@ def _sources(spark, sf):
     return p, dataflow.named_sources(dataflow.produced_from(cfg.writes(p), cfg.reads(p)))
 
 
+def _closure(spark, sf):
+    return fixpoint.once("dependencies", lambda: fixpoint.closure_by_key(dataflow.raw_dependencies(*_sources(spark, sf)), "program_id"))
+
+
 @query("rd07_trace_named", derived.oracle("SELECT program_id, reg, source AS var FROM tr WHERE source LIKE 'v%'", _TRACE))
 def trace_named(spark, sf):
     return _sources(spark, sf)[1]
@@ -275,14 +279,15 @@ def dependency_rounds(spark, sf):
 
 
 def _sites(spark, sf):
-    p, b, _ = _graph(spark, sf)
+    p = _placed(spark, sf)
+    b = fixpoint.once("blocks", lambda: cfg.blocks(p))
     own = cfg.owners(b, F.col("label").startswith("L")).select("program_id", F.col("label").alias("block"), F.col("func").alias("caller"))
     w = Window.partitionBy("program_id").orderBy("block_ord")
     funcs = b.where("label like 'L%'").withColumn("num", F.row_number().over(w) - 1).select("program_id", "label", F.col("block_ord").alias("ord"), "num", F.concat(F.lit("f"), F.substring("label", 2, 30)).alias("name"))
     n = funcs.groupBy("program_id").agg(F.count(F.lit(1)).alias("n"))
     calls = p.where("opcode = 'LOAD_VAR' and pmod(k, 5) = 0").join(n, "program_id").join(own, ["program_id", "block"]).withColumn("num", F.pmod("k", F.col("n")))
     named = calls.join(funcs.select("program_id", "num", F.col("name").alias("target")), ["program_id", "num"])
-    return funcs, interproc.resolve_functions(named.select("program_id", "caller", "block", "idx", "target"), funcs)
+    return funcs, fixpoint.once("sites", lambda: interproc.resolve_functions(named.select("program_id", "caller", "block", "idx", "target"), funcs))
 
 
 @query("ri01_function_entries", derived.oracle("SELECT program_id, label, num FROM fn"))
@@ -336,17 +341,17 @@ def call_closure(spark, sf):
 
 @query("ri18_impact_of_v0", derived.oracle("SELECT program_id, dst AS node FROM dclo WHERE src = 'v0'", _DEPCLO))
 def impact(spark, sf):
-    return interproc.impact_of(dependency_graph(spark, sf), "v0")
+    return interproc.impact_of(_closure(spark, sf), "v0")
 
 
 @query("ri19_backward_slice_v1", derived.oracle("SELECT program_id, src AS node FROM dclo WHERE dst = 'v1' AND src <> 'v1'", _DEPCLO))
 def backward_slice(spark, sf):
-    return interproc.backward_slice(dependency_graph(spark, sf), "v1")
+    return interproc.backward_slice(_closure(spark, sf), "v1")
 
 
 @query("ri20_taint_reaches", derived.oracle("SELECT program_id, src AS source, dst AS sink FROM dclo WHERE src IN ('v0', 'v1') AND dst IN ('v6', 'v7')", _DEPCLO))
 def taint(spark, sf):
-    c = dependency_graph(spark, sf)
+    c = _closure(spark, sf)
     nodes = c.select("program_id").distinct()
     pick = lambda *names: nodes.select("program_id", F.explode(F.array(*map(F.lit, names))).alias("node"))
     return interproc.taint_pairs(c, pick("v0", "v1"), pick("v6", "v7"))

@@ -16,7 +16,7 @@ ORACLES: dict = {}
 
 def query(name: str, sql: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = fixpoint.scoped(f)
         if sql:
             ORACLES[name] = sql
         return f
