@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from sparkloom.plans import fixpoint
 
 
+def _kind(df: DataFrame) -> str:
+    return df.schema["program_id"].dataType.simpleString()
+
+
 def gen(defs: DataFrame) -> DataFrame:
     """(program_id, block, var, idx): the last definition of each variable in each block."""
     return defs.groupBy("program_id", "block", "var").agg(F.max("idx").alias("idx"))
@@ -66,7 +70,7 @@ def reaching(g: DataFrame, edges: DataFrame) -> DataFrame:
     # Facts are (block, var, idx) and edges (src, dst, null), so that both lie side by side.
     both = g.select("program_id", F.col("block").alias("a"), F.col("var").alias("b"), "idx").union(edges.select("program_id", "src", "dst", F.lit(None).cast("int")))
     small, big, _ = fixpoint.split(both, "program_id")
-    out = fixpoint.per_key(small, "program_id", solve, "program_id bigint, block string, var string, def_block string, def_idx int")
+    out = fixpoint.per_key(small, "program_id", solve, f"program_id {_kind(g)}, block string, var string, def_block string, def_idx int")
     if big is None:
         return out
     facts = big.where("idx is not null").select("program_id", F.col("a").alias("block"), F.col("b").alias("var"), "idx")
@@ -126,7 +130,7 @@ def named_sources(flow: DataFrame) -> DataFrame:
                 yield from ((r, v) for v in out)
 
     small, big, _ = fixpoint.split(flow.select("program_id", "var", "source"), "program_id")
-    out = fixpoint.per_key(small, "program_id", solve, "program_id bigint, reg string, var string")
+    out = fixpoint.per_key(small, "program_id", solve, f"program_id {_kind(flow)}, reg string, var string")
     if big is None:
         return out
     walk = fixpoint.closure(big.where("var like '\\%%'").select("program_id", F.col("var").alias("src"), F.col("source").alias("dst")), ["program_id"])

@@ -31,13 +31,13 @@ def parameters(p: DataFrame) -> DataFrame:
 
 
 def call_sites(p: DataFrame) -> DataFrame:
-    """(program_id, caller, block, idx, kind, target, args): calls with the function that owns their block (null at top level)."""
+    """(program_id, caller, block, idx, kind, target, args, result, receiver): calls with the function that owns their block (null at top level)."""
     own = cfg.owners(cfg.blocks(p), F.col("label").rlike(FUNC)).select("program_id", F.col("label").alias("block"), F.col("func").alias("caller"))
     c = p.where("opcode in ('CALL_FUNCTION', 'CALL_CTOR', 'CALL_METHOD', 'CALL_UNKNOWN')").join(own, ["program_id", "block"])
     method = F.col("opcode") == "CALL_METHOD"
     target = F.when(method, F.get("operands", F.lit(1))).when(F.col("opcode") == "CALL_UNKNOWN", F.lit(None).cast("string")).otherwise(F.get("operands", F.lit(0)))
     args = F.when(method, F.slice("operands", F.lit(3), F.size("operands"))).otherwise(F.slice("operands", F.lit(2), F.size("operands")))
-    return c.select("program_id", "caller", "block", "idx", F.col("opcode").alias("kind"), target.alias("target"), args.alias("args"))
+    return c.select("program_id", "caller", "block", "idx", F.col("opcode").alias("kind"), target.alias("target"), args.alias("args"), F.col("result_reg").alias("result"), F.when(method, F.get("operands", F.lit(0))).alias("receiver"))
 
 
 def call_graph(p: DataFrame) -> DataFrame:
