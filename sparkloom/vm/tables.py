@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 
+#: Languages in which a field of ``this`` goes by its bare name.
+IMPLICIT_THIS = ("java", "csharp", "kotlin", "scala", "cpp")
+
+
 class LowerSource:
     """``LATERAL lower_source(source, language)``: one row an instruction; unknown languages give one unknown."""
 
@@ -27,10 +31,26 @@ class RunSource:
         from sparkloom.frontends import lower
         from sparkloom.vm.machine import Machine
 
-        m = Machine(lower(source, language)).run(most)
+        m = Machine(lower(source, language), implicit_this=language in IMPLICIT_THIS).run(most)
         yield json.dumps(m.plain(m.frames[0].vars.get(variable))), m.steps, m.done, None if m.error is None else str(m.error)
 
 
+class RunCode:
+    """``LATERAL run_code(code, variable, implicit_this, most)``: instructions as JSON rows [opcode, register, operands, label, targets], then as ``run_source``, with path conditions and the output."""
+
+    def eval(self, code: str, variable: str, implicit_this: bool, most: int):
+        from sparkloom.vm.machine import Class, Func, Machine
+
+        def literal(x):
+            if isinstance(x, dict):
+                return Func(x["func"]) if "func" in x else Class(x["class"], tuple(x.get("parents", ())), tuple(map(tuple, x.get("methods", ()))))
+            return x
+
+        rows = [(op, reg, [literal(x) for x in ops], label, targets) for op, reg, ops, label, targets in json.loads(code)]
+        m = Machine(rows, implicit_this=implicit_this).run(most)
+        yield json.dumps(m.plain(m.frames[0].vars.get(variable))), m.steps, m.done, m.conditions, m.out
+
+
 class TraceSource:
     """``LATERAL trace_source(source, most)``: a row a step with the current frame's variables."""
 
@@ -48,6 +68,7 @@ class TraceSource:
 FUNCTIONS = {
     "lower_source": (LowerSource, "pc int, opcode string, result_reg string, operands array<string>, label string, branch_targets array<string>"),
     "run_source": (RunSource, "answer string, steps int, finished boolean, error string"),
+    "run_code": (RunCode, "answer string, steps int, finished boolean, conditions array<string>, output array<string>"),
     "trace_source": (TraceSource, "step int, pc int, opcode string, variables map<string, string>"),
 }
 
