@@ -241,6 +241,15 @@ def execution_trace(spark, sf):
     return spark.sql("SELECT name, t.step, t.opcode FROM sparkloom_bits p, LATERAL trace_source(p.source, 100) t")
 
 
+@query("rm04_traced_answers", "SELECT * FROM " + values_sql([(k, json.dumps(a)) for k, (_, a) in GOLDEN.items()], "name, answer"))
+def traced_answers(spark, sf):
+    """Every program's last traced value of its answer."""
+    tables.register(spark)
+    _programs(spark).createOrReplaceTempView("sparkloom_programs")
+    t = spark.sql("SELECT name, t.step, t.variables['answer'] AS answer FROM sparkloom_programs p, LATERAL trace_source(p.source, 20000) t")
+    return t.groupBy("name").agg(F.max_by("answer", "step").alias("answer"))
+
+
 #: The same function in every language.
 FACTORIALS = {
     "python": 'def f(n):\n  return 1 if n < 2 else n * f(n - 1)\nanswer = f(5)',

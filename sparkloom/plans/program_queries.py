@@ -53,9 +53,10 @@ def program_stats(spark, sf):
         F.count(F.lit(1)).alias("instructions"), F.countDistinct("block").alias("blocks"), F.count(F.when(F.col("opcode") == "LABEL", 1)).alias("functions"), F.countDistinct(var).alias("variables"))
 
 
-@query("rp01_opcode_filter", derived.oracle("SELECT program_id, pc, result_reg, p2 AS left_reg, p1 AS right_reg FROM ins WHERE opcode = 'BINOP' AND p2 IS NOT NULL"))
+@query("rp01_opcode_filter", derived.oracle("SELECT program_id, pc, result_reg, coalesce(p2, p1) AS left_reg, CASE WHEN p2 IS NOT NULL THEN p1 END AS right_reg FROM ins WHERE opcode = 'BINOP'"))
 def opcode_filter(spark, sf):
-    i = derived.instr(spark, sf).where("opcode = 'BINOP' and size(operands) = 3")
+    """All binary operations; those with fewer registers than two have nulls."""
+    i = derived.instr(spark, sf).where("opcode = 'BINOP'")
     return i.select("program_id", "pc", "result_reg", F.get("operands", F.lit(1)).alias("left_reg"), F.get("operands", F.lit(2)).alias("right_reg"))
 
 
@@ -74,11 +75,20 @@ def operands(spark, sf):
     return derived.instr(spark, sf).select("program_id", "pc", F.array_join("operands", " ").alias("operands"))
 
 
-@query("rp05_map_registers", derived.oracle("SELECT program_id, pc, '%r' || (event_id + 1000) AS result_reg, coalesce('%r' || (CAST(substr(p1, 2) AS BIGINT) + 1000), '') AS last_operand FROM ins WHERE opcode = 'BINOP'"))
+#: The labels that an instruction of ``ins`` i branches to: j of the number it names, f of the next block.
+_TARGETS = "JOIN cnt ON cnt.program_id = i.program_id LEFT JOIN blk j ON i.opcode IN ('BRANCH', 'BRANCH_IF') AND j.program_id = i.program_id AND j.block_ord = i.k % cnt.n LEFT JOIN blk f ON i.opcode = 'BRANCH_IF' AND f.program_id = i.program_id AND f.block_ord = i.ord + 1"
+_MOVED = "'%r' || (CAST(substr({0}, 2) AS BIGINT) + 1000)"
+
+
+@query("rp05_map_registers", derived.oracle(f"""SELECT i.program_id, i.pc, coalesce({_MOVED.format('i.result_reg')}, '') AS result_reg,
+  CASE i.opcode WHEN 'LOAD_VAR' THEN i.var WHEN 'BINOP' THEN '+' || coalesce(' ' || {_MOVED.format('i.p2')}, '') || coalesce(' ' || {_MOVED.format('i.p1')}, '') WHEN 'STORE_VAR' THEN i.var || coalesce(' ' || {_MOVED.format('i.p1')}, '') ELSE '' END AS operands,
+  CASE WHEN i.opcode = 'LABEL' THEN 'm.L' || i.event_id ELSE '' END AS label, coalesce('m.' || j.label, '') || coalesce(' m.' || f.label, '') AS targets FROM ins i {_TARGETS}"""))
 def map_registers(spark, sf):
+    """Registers renamed in results and operands, labels in definitions and targets, of all instructions."""
     moved = lambda x: F.when(x.rlike("^%[0-9]+$"), F.concat(F.lit("%r"), (F.substring(x, 2, 30).try_cast("bigint") + 1000).cast("string"))).otherwise(x)
-    i = derived.instr(spark, sf).where("opcode = 'BINOP'").withColumn("ops", F.transform("operands", moved))
-    return i.select("program_id", "pc", moved(F.col("result_reg")).alias("result_reg"), F.when(F.size("ops") > 1, F.element_at("ops", -1)).otherwise("").alias("last_operand"))
+    named = lambda x: F.when(x != "", F.concat(F.lit("m."), x)).otherwise(x)
+    i = derived.instr(spark, sf)
+    return i.select("program_id", "pc", F.coalesce(moved(F.col("result_reg")), F.lit("")).alias("result_reg"), F.array_join(F.transform("operands", moved), " ").alias("operands"), named(F.col("label")).alias("label"), F.array_join(F.transform("branch_targets", named), " ").alias("targets"))
 
 
 @query("rp06_label_predicates", derived.oracle("SELECT program_id, label, block_ord = 0 AS is_entry, is_func AS is_function, n_instr = 0 AS is_empty FROM blk"))
@@ -105,12 +115,11 @@ def function_slice(spark, sf):
 
 
 @query("rp11_ir_text", derived.oracle("""
-SELECT program_id, pc, CASE opcode WHEN 'LABEL' THEN 'L' || event_id || ':' WHEN 'LOAD_VAR' THEN result_reg || ' = load_var ' || var
-  WHEN 'BINOP' THEN result_reg || ' = binop +' || coalesce(' ' || p2, '') || coalesce(' ' || p1, '') WHEN 'STORE_VAR' THEN 'store_var ' || var || coalesce(' ' || p1, '') END AS line
-FROM ins WHERE opcode IN ('LABEL', 'LOAD_VAR', 'BINOP', 'STORE_VAR')"""))
+SELECT i.program_id, i.pc, CASE i.opcode WHEN 'LABEL' THEN 'L' || i.event_id || ':' WHEN 'LOAD_VAR' THEN i.result_reg || ' = load_var ' || i.var
+  WHEN 'BINOP' THEN i.result_reg || ' = binop +' || coalesce(' ' || i.p2, '') || coalesce(' ' || i.p1, '') WHEN 'STORE_VAR' THEN 'store_var ' || i.var || coalesce(' ' || i.p1, '')
+  WHEN 'BRANCH' THEN 'branch ' || j.label WHEN 'BRANCH_IF' THEN 'branch_if ' || j.label || coalesce(', ' || f.label, '') ELSE 'return' END AS line FROM ins i """ + _TARGETS))
 def ir_text(spark, sf):
-    p = _placed(spark, sf).where("opcode in ('LABEL', 'LOAD_VAR', 'BINOP', 'STORE_VAR')")
-    return cfg.text(p)
+    return cfg.text(_placed(spark, sf))
 
 
 @query("rg01_leaders", derived.oracle("SELECT program_id, pc FROM ins WHERE leader"))

@@ -150,9 +150,9 @@ def random_and_clock(spark, sf):
 
 @query("rc27_rounding_and_pictures", """
 SELECT c_custkey, CAST(round(CAST(c_acctbal AS DECIMAL(18, 8)), 1) * 10 AS BIGINT) AS rounded, CASE WHEN c_custkey % 2 = 0 THEN '4040' ELSE 'F0F1' END AS blanked,
-  lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS digits, CASE WHEN c_acctbal < 0 THEN 'D' ELSE 'C' END AS sign,
-  CASE WHEN c_custkey < 1000 THEN lpad(CAST(c_custkey AS VARCHAR), 6, ' ') ELSE ' ' || CAST(c_custkey // 1000 AS VARCHAR) || ',' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') END AS shown
-FROM customer WHERE c_custkey < 10000""")
+  CASE WHEN c_custkey < 10000000 THEN lpad(CAST(c_custkey AS VARCHAR), 7, '0') ELSE CAST(c_custkey AS VARCHAR) END AS digits, CASE WHEN c_acctbal < 0 THEN 'D' ELSE 'C' END AS sign,
+  CASE WHEN c_custkey < 1000 THEN lpad(CAST(c_custkey AS VARCHAR), 6, ' ') WHEN c_custkey < 100000 THEN lpad(format('{:,}', c_custkey), 6, ' ') ELSE format('{:,}', c_custkey) END AS shown
+FROM customer""")
 def rounding_and_pictures(spark, sf):
     """All customers: keys beyond the six places of ZZ,ZZ9 or the seven digits are shown in full by a picture of 19 digits."""
     t = table(spark, sf, "customer")
