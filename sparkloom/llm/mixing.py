@@ -7,8 +7,9 @@ a document's virtual finish time is the source's words up to and with it, divide
 All finish times are range-sorted together and cut where the words reach the total budget.
 
 No window holds a whole source: the running sum of a source is taken in 4,096 slices of the
-shuffle digest, the global order in sampled ranges, each with the total of those before it. Only
-the sources table (one row a source) is handled in one task.
+shuffle digest, the global order in sampled ranges, each with the total of those before it. The
+sources table (one row a source) is handled in one task and broadcast up to ``MANY_SOURCES`` rows; beyond
+that its sums are taken in ranges too and it is joined by shuffle.
 
 Defined cases: a null or empty text has size 0 and takes nothing (times 0); null ids and repeated
 rows are documents of their own; a source without words has target 0; an empty table gives
@@ -28,6 +29,7 @@ from sparkloom.llm.common import WORD, cut, packed, range_prefix_sum, shuffle_pa
 WEIGHTS = (3, 1, 2)
 #: Hexadecimal digits of the shuffle digest that name a slice of a source.
 DIGITS = 3
+MANY_SOURCES = 100_000
 
 
 def shuffle_key(id_col: Column, seed: str) -> Column:
@@ -40,23 +42,38 @@ def targets(sizes: DataFrame, budget: tuple[int, int], most: int) -> DataFrame:
     Whole numbers until the last division, so that every engine gets the same double.
     """
     a, b = budget
-    rank = F.row_number().over(Window.orderBy(F.col("s").asc_nulls_last()))
-    w = F.element_at(F.array(*[F.lit(x) for x in WEIGHTS]), (rank - 1) % len(WEIGHTS) + 1).cast("long")
-    t = sizes.select("s", "n", rank.alias("r"), w.alias("w"))
     lcm = math.lcm(*WEIGHTS)
-    order = Window.orderBy(F.col("n") * F.floor(F.lit(lcm) / F.col("w")), "r")
+    weight = lambda r: F.element_at(F.array(*[F.lit(x) for x in WEIGHTS]), ((r - 1) % len(WEIGHTS) + 1).cast("int")).cast("long")
+    few = sizes.limit(MANY_SOURCES + 1).count() <= MANY_SOURCES
     every = Window.partitionBy(F.lit(0))
-    t = t.withColumns({
-        "all_n": F.sum("n").over(every),
-        "n_before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "w_from": F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)),
-    })
+    if few:
+        t = sizes.select("s", "n", F.row_number().over(Window.orderBy(F.col("s").asc_nulls_last())).alias("r"))
+        t = t.withColumn("w", weight(F.col("r")))
+        order = Window.orderBy(F.col("n") * F.floor(F.lit(lcm) / F.col("w")), "r")
+        t = t.withColumns({
+            "all_n": F.sum("n").over(every),
+            "n_before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "w_from": F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)),
+        })
+    else:
+        parts = shuffle_partitions(sizes.sparkSession)
+        named = T.StructType([T.StructField("z", T.BooleanType()), T.StructField("s", T.StringType())])
+        t = range_prefix_sum(sizes.select("s", "n", F.lit(1).cast("long").alias("one")), {"z": F.col("s").isNull(), "s": F.coalesce("s", F.lit(""))}, named, "one", [], "r", parts)
+        t = cut(t.withColumn("w", weight(F.col("r"))))
+        sums = t.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()[0]
+        filled = T.StructType([T.StructField("f", T.LongType()), T.StructField("r", T.LongType())])
+        order = {"f": F.col("n") * F.floor(F.lit(lcm) / F.col("w")), "r": F.col("r")}
+        for value, out in (("n", "n_upto"), ("w", "w_upto")):
+            t = range_prefix_sum(t, order, filled, value, [], out, parts)
+        t = t.withColumns({"all_n": F.lit(sums["n"]), "n_before": F.col("n_upto") - F.col("n"), "w_from": F.lit(sums["w"]) - F.col("w_upto") + F.col("w")})
     # left for this source and those after it, times b: a * all - b * most * n_before
     t = t.withColumn("capped", F.lit(b * most) * F.col("n") * F.col("w_from") <= F.col("w") * (F.lit(a) * F.col("all_n") - F.lit(b * most) * F.col("n_before")))
-    t = t.withColumns({
-        "n_capped": F.sum(F.when(F.col("capped"), F.col("n")).otherwise(0)).over(every),
-        "w_free": F.sum(F.when(F.col("capped"), 0).otherwise(F.col("w"))).over(every),
-    })
+    capped = {"n_capped": F.sum(F.when(F.col("capped"), F.col("n")).otherwise(0)), "w_free": F.sum(F.when(F.col("capped"), 0).otherwise(F.col("w")))}
+    if few:
+        t = t.withColumns({k: v.over(every) for k, v in capped.items()})
+    else:
+        t = cut(t)
+        t = t.withColumns({k: F.lit(v) for k, v in t.agg(*[v.alias(k) for k, v in capped.items()]).collect()[0].asDict().items()})
     free = (F.col("w") * (F.lit(a) * F.col("all_n") - F.lit(b * most) * F.col("n_capped"))).cast("double") / (F.lit(b) * F.col("w_free")).cast("double")
     return t.select("s", "n", F.when(F.col("capped"), (F.lit(most) * F.col("n")).cast("double")).otherwise(free).alias("target"))
 
@@ -70,7 +87,9 @@ def _queued(rows: DataFrame, keys: list[str], table: DataFrame) -> DataFrame:
     slices = rows.groupBy("__s", "__slice").agg(F.sum("__size").alias("n"))
     before = slices.select(F.col("__s").alias("bs"), F.col("__slice").alias("bq"), F.coalesce(F.sum("n").over(Window.partitionBy("__s").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     rows = rows.withColumn("__own", F.sum("__size").over(w)).join(before, F.col("__s").eqNullSafe(F.col("bs")) & (F.col("__slice") == F.col("bq")))
-    rows = rows.join(F.broadcast(table.select(F.col("s").alias("ts"), F.col("n").alias("source_size"), "target")), F.col("__s").eqNullSafe(F.col("ts")))
+    table = table.select(F.col("s").alias("ts"), F.col("n").alias("source_size"), "target")
+    few = table.limit(MANY_SOURCES + 1).count() <= MANY_SOURCES
+    rows = rows.join(F.broadcast(table) if few else table, F.col("__s").eqNullSafe(F.col("ts")))
     return rows.withColumn("__cum", F.col("__own") + F.col("before")).drop("__slice", "__own", "bs", "bq", "before", "ts")
 
 
@@ -83,7 +102,7 @@ def weighted_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     src = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__s"), size.alias("__size"), shuffle_key(F.col(id_col), seed).alias("__h"))
     src = cut(src)  # the texts are read once
-    table = cut(targets(src.groupBy("__s").agg(F.sum("__size").alias("n")).select(F.col("__s").alias("s"), "n"), budget, most).coalesce(1))
+    table = cut(targets(cut(src.groupBy("__s").agg(F.sum("__size").alias("n")).select(F.col("__s").alias("s"), "n")), budget, most))
     rows = cut(_queued(src, ["__id"], table))
     finish = [((F.lit(e) * F.col("source_size") + F.col("__cum")).cast("double") / F.col("target")) for e in range(most)]
     queue = rows.where("__size > 0").select("__s", "__size", "__h", "__id", F.posexplode(F.array(*finish)).alias("e", "f"))
