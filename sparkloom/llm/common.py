@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="sparkloom-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
@@ -41,6 +43,11 @@ def packed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in columns.items()])
 
 
+def own_order(packed_rows: DataFrame) -> Column:
+    """An order of packed rows by all their columns, so that a choice among them is the same in every run."""
+    return F.to_json("row") if any(k in packed_rows.schema["row"].dataType.simpleString() for k in ("map<", "variant")) else F.col("row")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import SPACE, bucket_of, cut, packed, sampled_splitters, shuffle_partitions
+from sparkloom.llm.common import SPACE, bucket_of, cut, own_order, packed, sampled_splitters, shuffle_partitions
 
 #: Bytes of the text's beginning in the sort key; the digest orders texts that share them.
 PREFIX = 24
@@ -69,11 +69,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that share id and text, one."""
+    """The rows of ``docs`` that stay, with all their columns; of rows that share id and text, the first in the order of their columns."""
     kept = exact_dedup(docs.select(id_col, text_col), id_col, text_col).where("kept").select(F.col(id_col).alias("__i"), F.col("text_sha256").alias("__s"))
     rows = packed(docs, i=F.col(id_col).cast("long"), h=F.sha2(normalised(F.col(text_col)), 256))
     rows = rows.join(kept, rows.i.eqNullSafe(kept["__i"]) & (rows.h == kept["__s"]), "left_semi")
-    once = Window.partitionBy("h", "i").orderBy(F.lit(0))
+    once = Window.partitionBy("h", "i").orderBy(own_order(rows))
     return rows.withColumn("once", F.row_number().over(once)).where("once = 1").select("row.*")
 
 

@@ -38,7 +38,7 @@ from functools import partial
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, largest_counts, packed, shuffle_partitions
+from sparkloom.llm.common import cut, largest_counts, own_order, packed, shuffle_partitions
 
 NUM, DEN = 75, 100
 MAX_FREQUENT = 200_000
@@ -696,7 +696,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = linked.union(alone).select(F.col("id").alias("__i"), F.col("h").alias("__h"), "__k")
     rows = packed(docs, i=F.col(id_col).cast("long"), h=F.unhex(F.md5(text)))
     rows = rows.join(stay, rows.i.eqNullSafe(stay["__i"]) & (rows.h == stay["__h"]))
-    once = Window.partitionBy("__i", "__h").orderBy(F.lit(0))
+    once = Window.partitionBy("__i", "__h").orderBy(own_order(rows))
     rows = rows.withColumn("nth", F.when(F.col("__k"), F.row_number().over(once)).otherwise(1))
     return rows.where("nth = 1").select("row.*")
 
