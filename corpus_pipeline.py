@@ -7,10 +7,12 @@ rows as the mix has documents. Cases are those of the operators' own docstrings.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import exact_dedup, jaccard_join, mixing, pieces, quality_knn
+from sparkloom.llm import common, exact_dedup, jaccard_join, mixing, pieces, quality_knn
 
 #: Nearest neighbours, component search and tokens cannot be put in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
@@ -49,7 +51,12 @@ STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jacc
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every earlier stage's are written as Parquet to the shared folder and read from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = f"{common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{n}")
+            docs = spark.read.parquet(f"{folder}/{n}")
     return docs
