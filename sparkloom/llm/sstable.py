@@ -52,7 +52,7 @@ class WordEncoder:
 
     A model with a word-end suffix never joins words, and its pre-tokenizer parts the punctuation at a
     word's end from a letter or digit before it. So texts are cut into such pieces, each distinct piece
-    (by a 64-bit hash, A-Z as a-z) is encoded once by the library, and the ids are put together by
+    (by a 64-bit hash and, from batch to batch, a 32-bit checksum besides, A-Z as a-z) is encoded once by the library, and the ids are put together by
     position, all in arrays. Models without a suffix get whole texts. The tests hold this against
     whole texts.
     """
@@ -64,7 +64,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        suffix = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix")
+        made_of = json.loads(self.tok.to_str())
+        suffix = made_of["model"].get("end_of_word_suffix")
+        if suffix and "Lowercase" not in json.dumps(made_of.get("normalizer") or {}):
+            suffix = None  # words are looked up as lower case: a model that tells cases apart gets whole texts
         self.ends = {i for k, i in self.tok.get_vocab().items() if suffix and k.endswith(suffix)}
         self.tail = np.zeros(256, bool)
         self.tail[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True  # without ' < > |, which contractions and special tokens need
@@ -76,8 +79,9 @@ class WordEncoder:
         import numpy as np
 
         self.slot: dict[int, int] = {}
+        self.count = 0
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.at, self.n, self.sums = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint32)
 
     def _each(self, words: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
@@ -99,12 +103,13 @@ class WordEncoder:
 
         order = sorted(range(len(words)), key=lambda i: words[i].isalpha())
         for i, ids in zip(order, self._encoded([words[i] for i in order])):
-            k = len(self.slot)
+            k = self.count
+            self.count += 1
             if k == len(self.at):
-                self.at, self.n = np.resize(self.at, 2 * k), np.resize(self.n, 2 * k)
+                self.at, self.n, self.sums = (np.resize(x, 2 * k) for x in (self.at, self.n, self.sums))
             while self.used + len(ids) > len(self.pool):
                 self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.slot[hashes[i]], self.at[k], self.n[k] = k, self.used, len(ids)
+            self.slot[hashes[i]], self.at[k], self.n[k], self.sums[k] = k, self.used, len(ids), zlib.crc32(words[i])
             self.pool[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
 
@@ -151,13 +156,14 @@ class WordEncoder:
         first, u = order[head], ranked[head]
         inverse = np.empty(len(h), np.int32)
         inverse[order] = np.cumsum(head, dtype=np.int32) - 1
-        if len(self.slot) > MAX_WORDS:
+        if self.count > MAX_WORDS:
             self.clear()
         names, slot = u.tolist(), self.slot
-        new = [k for k, x in enumerate(names) if x not in slot]
-        f = first[new]
-        words = [whole[a:b] for a, b in zip(starts[f].tolist(), ends[f].tolist())]
-        self._learn([names[k] for k in new], [w if b"<" in w else w.lower() for w in words])
+        words = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        words = [w if b"<" in w else w.lower() for w in words]
+        # A word that is not the one known by its hash takes its place.
+        new = [k for k, x in enumerate(names) if x not in slot or self.sums[slot[x]] != zlib.crc32(words[k])]
+        self._learn([names[k] for k in new], [words[k] for k in new])
         s = np.fromiter(map(slot.__getitem__, names), np.int64, len(names))[inverse]
         n = self.n[s]
         total = np.cumsum(n)
@@ -214,7 +220,12 @@ class ShardWriter:
             self.first, shared = key, 0
         else:
             shared = len(os.path.commonprefix([self.last, key]))
-        body = ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+        body = ids
+        if self.width == 2:
+            wide = np.frombuffer(ids, "<u4")
+            if n and wide.max() > 0xFFFF:
+                raise ValueError(f"id {wide.max()} does not fit into two bytes")
+            body = wide.astype("<u2").tobytes()
         self.block += (ENTRY.pack(shared, len(key) - shared, n), key[shared:], body)
         self.block_bytes += len(body) + 16
         self.block_entries += 1
@@ -312,11 +323,16 @@ class Shard:
         return next(iter(self.get_all(i)), None)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> list[dict]:
-    """Writes ``docs`` and returns the manifest: path, docs, tokens, lo, hi of each shard, ascending (one small row a task)."""
+def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", width: int | None = None) -> list[dict]:
+    """Writes ``docs`` and returns the manifest: path, docs, tokens, lo, hi of each shard, ascending (one small row a task).
+
+    ``width``: bytes of an id; null: as few as the vocabulary and the end id need.
+    """
     import pyarrow as pa
 
     end = b"" if end_id is None else struct.pack("<I", end_id)
+    if width is None:
+        width = 2 if max(*encoder(tokenizer).tok.get_vocab().values(), end_id or 0) <= 0xFFFF else 4
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, lo, hi = None, None, None
