@@ -20,9 +20,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from sparkloom.llm.common import slices
+
 MARK = "▁"
 MAX_CHUNKS = 400_000
 SLICE = 256
+SLICE_BYTES = 2 << 20
 
 
 class Coder:
@@ -86,9 +89,8 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Coder(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
+        for batch in (part.slice(at, SLICE) for whole in batches for part in slices(whole, SLICE_BYTES) for at in range(0, part.num_rows, SLICE)):
+            if batch.num_rows:
                 rows = c.encode_decode([t or "" for t in batch.column(1).to_pylist()])
                 cols = [
                     batch.column(0),

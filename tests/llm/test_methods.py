@@ -95,3 +95,33 @@ def test_spotsigs_least_identifier(spark):
     low = -(1 << 63)
     docs = spark.createDataFrame([(low, "the lowest of all texts"), (None, "a text without a name"), (4, "the last one")], "doc_id bigint, text string")
     assert {(r.doc_id, r.n_chars) for r in spotsigs.neighbour_report(docs).collect()} == {(low, 23), (None, 21), (4, 12)}
+
+
+def test_ids_wider_than_two_bytes(spark, tmp_path):
+    import io
+    import struct
+
+    import public_tokenizers
+
+    from sparkloom.llm import sstable
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id bigint, text string")
+    rows = sstable.read_shards(spark, sstable.write_shards(docs, path, str(tmp_path / "w"), end_id=70_000), keep_ids=True).collect()
+    assert all(struct.unpack("<I", bytes(r.ids)[-4:])[0] == 70_000 for r in rows) and len(rows) == 2
+    with pytest.raises(ValueError):
+        sstable.ShardWriter(io.BytesIO(), 2).add(1, struct.pack("<I", 70_000))
+
+
+def test_words_that_share_a_hash(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+
+    from sparkloom.llm import shingles, sstable
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e = sstable.WordEncoder(path)
+    monkeypatch.setattr(shingles, "hash_pieces", lambda joined, starts, ends: np.full(len(starts), 7, np.uint64))
+    want = sstable.WordEncoder(path)._each([b"morning", b"evening"])
+    got = [np.frombuffer(e.encode([w])[0], "<u4").tolist() for w in (b"morning", b"evening", b"morning")]
+    assert got == [want[0], want[1], want[0]]
