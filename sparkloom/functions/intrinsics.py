@@ -228,6 +228,13 @@ def test_numval(s) -> Column:
     return F.when(numval(s).isNotNull(), 0).otherwise(ok + 1)
 
 
+def test_numval_c(s) -> Column:
+    """As :func:`test_numval`, with a currency sign and commas."""
+    ok = F.length(F.regexp_extract(F.upper(s), r"^( *[+-]? *\$? *(?:[0-9,]*(?:\.[0-9]*)?)? *(?:[+-]|C|CR|D|DB)? *)", 1))
+    valid = numval_c(s).isNotNull() & F.upper(s).rlike(r"^ *[+-]? *\$? *[0-9,]*(\.[0-9]*)? *([+-]|CR|DB)? *$")
+    return F.when(valid, 0).otherwise(ok + 1)
+
+
 # dates: whole numbers of days since 1600-12-31
 def integer_of_date(yyyymmdd) -> Column:
     return F.date_diff(F.try_to_date(_c(yyyymmdd).cast("string"), "yyyyMMdd"), F.lit(DAY_ZERO).cast("date"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparkloom.plans import fixpoint
 
 #: Types that built-in functions and methods give.
 RETURNS = {"len": "Int", "int": "Int", "float": "Float", "str": "String", "bool": "Bool", "abs": "Number", "range": "Array[Int]", "sum": "Number", "round": "Int", "ord": "Int", "chr": "String", "sorted": "Array", ".upper": "String", ".lower": "String", ".strip": "String", ".split": "Array[String]", ".join": "String", ".replace": "String", ".startswith": "Bool", ".endswith": "Bool", ".keys": "Array", ".values": "Array"}
@@ -78,3 +81,16 @@ def infer(instr: DataFrame, seeds: dict[str, str]) -> DataFrame:
         return pd.DataFrame({"program_id": [pdf["program_id"].iloc[0]] * len(known), "name": list(known), "type": list(known.values())})
 
     return instr.select("program_id", "pc", "opcode", "result_reg", "operands").groupBy("program_id").applyInPandas(work, "program_id bigint, name string, type string")
+
+
+def resolve_aliases(aliases: DataFrame) -> DataFrame:
+    """(name, target): what each alias (name, target) stands for at last, by pointer jumping; one on a cycle, or that leads to one, stands for itself."""
+    now = fixpoint.checkpointed(aliases.select("name", "target"))
+    names = now.select(F.col("name").alias("target")).distinct()
+    for _ in range(now.count().bit_length() + 1):
+        if now.join(names, "target", "left_semi").isEmpty():
+            return now
+        on = now.select(F.col("name").alias("target"), F.col("target").alias("next"))
+        now = fixpoint.checkpointed(now.join(on, "target", "left").select("name", F.coalesce("next", "target").alias("target")))
+    cyclic = names.withColumn("cyclic", F.lit(True))
+    return now.join(cyclic, "target", "left").select("name", F.when(F.col("cyclic"), F.col("name")).otherwise(F.col("target")).alias("target"))

@@ -78,6 +78,13 @@ def rank_overloads(candidates: DataFrame, call: list[str]) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).withColumn("n_candidates", F.count(F.lit(1)).over(w))
 
 
+def choose(ranked: DataFrame, strict: bool = False) -> DataFrame:
+    """The first candidate of each call, with ``ambiguous``: whether others were ranked too; ``strict`` makes that an error."""
+    several = F.col("n_candidates") >= 2
+    flag = F.when(several, F.raise_error(F.lit("a call has several candidates"))).otherwise(several) if strict else several
+    return ranked.where("rank = 1").withColumn("ambiguous", flag)
+
+
 # structural types: Name, Name[A, B], Union[A, B], Optional[A], Fn(A, B) -> R
 @lru_cache(maxsize=4096)
 def parse(text: str):

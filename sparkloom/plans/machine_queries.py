@@ -136,3 +136,17 @@ def more_operators(spark, sf):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", op["mod"](a, b).alias("mod_"), op["~="](n, b).alias("tilde_eq"), op[">"](a, b).alias("gt_"), op["<="](a, b).alias("le_"), op["==="](n, n).alias("same_"), op["not in"](a, F.array(b, F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("not_in_"),
         op["is"](n, b).alias("is_"), op["is not"](n, a).alias("is_not_"), op["~"](a, F.lit(255)).alias("tilde_"), op["."](a, b).alias("dot_"), op["?:"](n, b).alias("elvis_"), op["||"](b, a).alias("pipes_"), op["&&"](b, a).alias("amps_"), op[">>>"](a, b).cast("string").alias("unsigned_"), un["!"](a).alias("bang_"), un["&"](a).alias("ref_"), un["<-"](a).cast("string").alias("receive_"),
     )
+
+
+#: (case, Python program): two parameters and one with a default, one caught exception, two nodes without a lowering, one unknown from nowhere.
+_HINTED = [("parameters", "def f(a, b, c=1):\n  return a"), ("exceptions", "try:\n  x = 1\nexcept E as e:\n  y = e"), ("unsupported", "async def g():\n  pass\nmatch x:\n  case 1: pass")]
+
+
+@query("rp13_symbolic_audit", "SELECT * FROM (VALUES ('parameters', 'param', 3), ('exceptions', 'caught_exception', 1), ('unsupported', 'unsupported', 2)) v(name, category, n)")
+def symbolic_audit(spark, sf):
+    """SYMBOLIC rows of lowered programs by what their hint says."""
+    tables.register(spark)
+    spark.createDataFrame(_HINTED, "name string, source string").createOrReplaceTempView("sparkloom_hinted")
+    i = spark.sql("SELECT name, r.operands[0] AS hint FROM sparkloom_hinted p, LATERAL lower_source(p.source, 'python') r WHERE r.opcode = 'SYMBOLIC'")
+    kind = F.regexp_extract("hint", "^(param|caught_exception|unsupported)", 1)
+    return i.groupBy("name", F.when(kind == "", "other").otherwise(kind).alias("category")).agg(F.count(F.lit(1)).alias("n"))

@@ -147,23 +147,6 @@ def type_inference(spark, sf):
     return t.where("name like '\\%%'")
 
 
-@query("rt03_builtin_returns", "SELECT * FROM " + values_sql(sorted(inference.RETURNS.items()), "name, type"))
-def builtin_returns(spark, sf):
-    return spark.createDataFrame(sorted(inference.RETURNS.items()), "name string, type string")
-
-
-@query("rt05_alias_resolution", "WITH RECURSIVE a AS (SELECT p_partkey AS name, p_partkey AS target FROM part UNION ALL SELECT name, target // 2 FROM a WHERE target >= 10) SELECT name, min(target) AS target FROM a GROUP BY name")
-def alias_resolution(spark, sf):
-    """Alias n stands for n // 2 until a name below 10."""
-    new = table(spark, sf, "part").select(F.col("p_partkey").alias("name"), F.col("p_partkey").alias("target"))
-    done = new.where("target < 10")
-    while True:
-        new = fixpoint.checkpointed(new.where("target >= 10").withColumn("target", F.floor(F.col("target") / 2)))
-        if new.isEmpty():
-            return done
-        done = done.union(new.where("target < 10"))
-
-
 @query("ra06_class_members", derived.oracle("SELECT family, blocks, edges, string_agg(program_id, ',' ORDER BY program_id) AS members FROM (SELECT program_id % 10 AS family, program_id, blocks, edges FROM sh) GROUP BY family, blocks, edges", P._SHAPES))
 def class_members(spark, sf):
     s = P.overview(spark, sf).groupBy(F.pmod("program_id", F.lit(10)).alias("family"), "blocks", "edges").agg(F.array_sort(F.collect_list("program_id")).alias("m"))
@@ -176,14 +159,6 @@ def audit_rollup(spark, sf):
     return i.rollup("family", "opcode").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rp13_symbolic_audit", derived.oracle("SELECT category, count(*) AS n FROM (SELECT CASE WHEN k % 4 = 0 THEN 'param' WHEN k % 4 = 1 THEN 'caught_exception' WHEN k % 4 = 2 THEN 'unsupported' ELSE 'other' END AS category FROM ins WHERE opcode = 'LOAD_VAR') GROUP BY category"))
-def symbolic_audit(spark, sf):
-    i = derived.instr(spark, sf).where("opcode = 'LOAD_VAR'")
-    hint = F.element_at(F.array(F.lit("param:x"), F.lit("caught_exception:e"), F.lit("unsupported:node"), F.lit("other")), F.pmod("k", F.lit(4)) + 1)
-    kind = F.regexp_extract(hint, "^(param|caught_exception|unsupported):", 1)
-    return i.select(F.when(kind == "", "other").otherwise(kind).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("rp12_validated_programs", derived.oracle("SELECT program_id, count(*) > 0 AS has_code, arg_min(opcode, pc) = 'LABEL' AS has_entry FROM ins GROUP BY program_id"))
 def validated(spark, sf):
     i = derived.instr(spark, sf)

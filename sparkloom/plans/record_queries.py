@@ -330,14 +330,6 @@ def imports_in_pages(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="/([^"]+)'), 1)).alias("name"))
 
 
-@query("rg22_connection_graph", r"""SELECT kind, upper(replace(id, 'ß', 'SS')) AS id, count(*) AS n FROM (SELECT 'PAGE' AS kind, (regexp_extract(url, '://([^/?#]*)', 1)) AS id FROM pages UNION ALL
-SELECT 'LINK', unnest(regexp_extract_all(html, 'href="/([^"]+)', 1)) FROM pages) GROUP BY ALL""")
-def connection_graph(spark, sf):
-    p = table(spark, sf, "pages")
-    nodes = p.select(F.lit("PAGE").alias("kind"), F.upper(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("id")).union(imports_in_pages(spark, sf).select(F.lit("LINK"), F.upper("name")))
-    return nodes.groupBy("kind", "id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("rs16_merge_spans", """
 SELECT user_id, min(a) AS first, max(b) AS last, count(*) AS n FROM (SELECT *, sum(CASE WHEN a > coalesce(m, -10) + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g
 FROM (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT user_id, CAST(event_id % 1000 AS BIGINT) AS a, CAST(event_id % 1000 + event_id % 7 AS BIGINT) AS b FROM events))) GROUP BY user_id, g""")

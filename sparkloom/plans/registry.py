@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import language_queries, machine_queries, program_queries, project_queries, record_queries, summary_queries
+from sparkloom.plans import language_queries, link_queries, machine_queries, program_queries, project_queries, record_queries, summary_queries
 
-MODULES = (program_queries, record_queries, language_queries, project_queries, summary_queries, machine_queries)
+MODULES = (program_queries, record_queries, language_queries, project_queries, summary_queries, machine_queries, link_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -70,3 +70,21 @@ def project_roots(files: DataFrame, markers: DataFrame) -> DataFrame:
     at = markers.select(F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("").alias("root")).distinct()
     near = up.join(at, "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
     return files.join(near, "path", "left")
+
+
+def connections(sources: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of record-processing sources (path, source): nodes (kind, id, path), edges (src, kind, dst), names in upper case.
+
+    Programs CALL programs by literal and COPY copybooks; comment lines do not count. A program's path is that of its source, else of
+    the file (path) of its name; copybooks have none.
+    """
+    text = F.regexp_replace("source", r"(?m)^.{6}[*/].*$", "")
+    program = F.upper(F.regexp_extract(text, r"(?i)PROGRAM-ID\.\s+([\w-]+)", 1))
+    found = lambda pattern, kind: F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: F.struct(F.lit(kind).alias("kind"), F.upper(x).alias("dst")))
+    every = F.concat(found(r"""(?i)\bCALL\s+['"]([\w-]+)['"]""", "CALL"), found(r"""(?i)\bCOPY\s+['"]?([\w-]+)""", "COPY"))
+    edges = sources.select(program.alias("src"), F.inline(every)).select("src", "kind", "dst").distinct()
+    own = sources.select(F.lit("PROGRAM").alias("kind"), program.alias("id"), "path")
+    named = files.where(~F.lower("path").endswith(".cpy")).select(F.upper(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("id"), F.col("path").alias("file"))
+    called = edges.where("kind = 'CALL'").select(F.col("dst").alias("id")).join(named, "id", "left").select(F.lit("PROGRAM").alias("kind"), "id", F.col("file").alias("path"))
+    copied = edges.where("kind = 'COPY'").select(F.lit("COPYBOOK").alias("kind"), F.col("dst").alias("id"), F.lit(None).cast("string").alias("path"))
+    return own.union(called).union(copied).groupBy("kind", "id").agg(F.min("path").alias("path")), edges

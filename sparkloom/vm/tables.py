@@ -24,6 +24,16 @@ class LowerSource:
             yield pc, op, reg, [str(x) for x in ops], label, targets
 
 
+class LowerCode:
+    """``LATERAL lower_code(source, language)``: as ``lower_source``, with the operands of CONST as JSON, so that the table can be linked and run."""
+
+    def eval(self, source: str, language: str):
+        from sparkloom.frontends import lower
+
+        for pc, (op, reg, ops, label, targets) in enumerate(lower(source, language)):
+            yield pc, op, reg, [_json_of(ops[0])] if op == "CONST" else [str(x) for x in ops], label, targets
+
+
 class RunSource:
     """``LATERAL run_source(source, language, variable, most)``: the JSON of one variable after at most ``most`` steps."""
 
@@ -67,6 +77,7 @@ class TraceSource:
 #: Name of each table function, its class and the columns it returns.
 FUNCTIONS = {
     "lower_source": (LowerSource, "pc int, opcode string, result_reg string, operands array<string>, label string, branch_targets array<string>"),
+    "lower_code": (LowerCode, "pc int, opcode string, result_reg string, operands array<string>, label string, branch_targets array<string>"),
     "run_source": (RunSource, "answer string, steps int, finished boolean, error string"),
     "run_code": (RunCode, "answer string, steps int, finished boolean, conditions array<string>, output array<string>"),
     "trace_source": (TraceSource, "step int, pc int, opcode string, variables map<string, string>"),
@@ -95,3 +106,52 @@ def run_over(df: DataFrame, source: str, inputs: list[str], result: str, most: i
             yield pdf.assign(answer=out)
 
     return df.mapInPandas(work, schema)
+
+
+def run_table(code: DataFrame, variable: str, entry: str | None = None, most: int = 20_000) -> DataFrame:
+    """(program_id, answer, result, finished): every program of an instruction table (literals as JSON) run, one task a program.
+
+    First the top level, modules in their order; then, if given, the function ``entry`` (the last of that bare name) without arguments:
+    ``answer`` is the variable after the first, ``result`` what the second returned.
+    """
+    from sparkloom.operators.registry import FUNC
+    from sparkloom.plans import fixpoint
+
+    def solve(rows):
+        import re
+
+        from sparkloom.vm.machine import Func, Machine
+
+        m = Machine([(op, reg, [_literal(ops[0])] if op == "CONST" else list(ops), label, list(to)) for _, op, reg, ops, label, to in sorted(rows, key=lambda r: r[0])]).run(most)
+        answer = json.dumps(m.plain(m.frames[0].vars.get(variable)))
+        named = [x for x in m.labels if entry and (found := re.match(FUNC, x)) and found[1] == entry]
+        result = None
+        if named and m.done and m.error is None:
+            m.done, m.pc = False, len(m.code)
+            m.call(Func(named[-1]), [], "%entry")
+            m.run(m.steps + most)
+            result = json.dumps(m.plain(m.frames[0].regs.get("%entry")))
+        yield answer, result, m.done
+
+    kind = code.schema["program_id"].dataType.simpleString()
+    rows = code.select("program_id", "pc", "opcode", "result_reg", "operands", "label", "branch_targets")
+    return fixpoint.per_key(rows, "program_id", solve, f"program_id {kind}, answer string, result string, finished boolean")
+
+
+def _json_of(v) -> str:
+    from sparkloom.vm.machine import Class, Func
+
+    if isinstance(v, Func):
+        v = {"func": v.label}
+    elif isinstance(v, Class):
+        v = {"class": v.name, "parents": list(v.parents), "methods": [list(x) for x in v.methods]}
+    return json.dumps(v, default=str)
+
+
+def _literal(text: str):
+    from sparkloom.vm.machine import Class, Func
+
+    x = json.loads(text)
+    if isinstance(x, dict):
+        return Func(x["func"]) if "func" in x else Class(x["class"], tuple(x["parents"]), tuple(map(tuple, x["methods"])))
+    return x
