@@ -386,7 +386,13 @@ def overview(spark, sf):
     return out.select("program_id", "blocks", "functions", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("calls", F.lit(0)).alias("calls"))
 
 
-@query("ri25_call_trees")
+@query("ri25_call_trees", derived.oracle("SELECT r.program_id, r.block, r.idx, t.path, t.depth, t.recursive FROM roots r JOIN tree t ON t.program_id = r.program_id AND t.root = r.root", _CALLS + """, roots AS (
+  SELECT program_id, CAST(NULL AS VARCHAR) AS block, CAST(NULL AS INT) AS idx, label AS root FROM fn WHERE num = 0
+  UNION ALL SELECT i.program_id, i.block, i.idx, fn.label FROM ins i JOIN own ON own.program_id = i.program_id AND own.label = i.block AND own.func IS NULL
+    JOIN nf ON nf.program_id = i.program_id JOIN fn ON fn.program_id = i.program_id AND fn.num = i.k % nf.n WHERE i.opcode = 'LOAD_VAR' AND i.k % 5 = 0
+), tree AS (
+  SELECT DISTINCT program_id, root, root AS path, [root] AS seen, root AS last, 0 AS depth, FALSE AS recursive FROM roots
+  UNION ALL SELECT t.program_id, t.root, t.path || ' > ' || c.dst, list_append(t.seen, c.dst), c.dst, t.depth + 1, list_contains(t.seen, c.dst) FROM tree t JOIN calls c ON c.program_id = t.program_id AND c.src = t.last WHERE NOT t.recursive)"""))
 def call_trees(spark, sf):
     """The tree of each top-level call (block, idx), and of each program's first function as the given one (block and idx null)."""
     funcs, sites = _sites(spark, sf)
