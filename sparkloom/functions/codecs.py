@@ -1,7 +1,6 @@
 """Byte codecs of record fields as Column expressions: character sets, zoned, packed and binary numbers, edit pictures, layouts."""
 
-import struct
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,11 +94,17 @@ def binary_size(total: int) -> int:
 
 
 def _pack(x: pd.Series, double: pd.Series) -> pd.Series:
-    return x.combine(double, lambda v, d: None if v is None or v != v else struct.pack(">d" if d else ">f", v))
+    v = x.to_numpy("float64", na_value=np.nan)
+    wide, narrow = v.astype(">f8").tobytes(), v.astype(">f4").tobytes()
+    return pd.Series([None if bad else wide[8 * i : 8 * i + 8] if d else narrow[4 * i : 4 * i + 4] for i, (bad, d) in enumerate(zip(np.isnan(v), double))], dtype=object)
 
 
 def _unpack(b: pd.Series) -> pd.Series:
-    return b.map(lambda v: None if v is None else struct.unpack(">d" if len(v) == 8 else ">f", v)[0])
+    out = pd.Series(np.nan, index=b.index, dtype="float64")
+    size = b.map(len, na_action="ignore")
+    for n, kind in ((8, ">f8"), (4, ">f4")):
+        out[size == n] = np.frombuffer(b"".join(b[size == n]), kind).astype("float64")
+    return out
 
 
 def float_bytes(x, double) -> Column:

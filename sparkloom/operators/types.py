@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,4 +177,8 @@ def _compare(a: str, b: str):
 
 def compare(a: str, b: str) -> Column:
     """Struct (below, lub) of two columns of types in text."""
-    return F.udf(_compare, T.StructType([T.StructField("below", T.BooleanType()), T.StructField("lub", T.StringType())]))(a, b)
+
+    def work(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_compare(x, y) for x, y in zip(a, b)], columns=["below", "lub"])
+
+    return F.pandas_udf(work, T.StructType([T.StructField("below", T.BooleanType()), T.StructField("lub", T.StringType())]))(a, b)

@@ -423,7 +423,9 @@ def structural_classes(spark, sf):
 @query("ra08_step_deltas", derived.oracle("SELECT program_id, n - min(n) OVER (PARTITION BY program_id % 10) AS delta FROM (SELECT program_id, count(*) AS n FROM ins GROUP BY program_id)"))
 def step_deltas(spark, sf):
     s = derived.instr(spark, sf).groupBy("program_id").agg(F.count(F.lit(1)).alias("n"))
-    return s.select("program_id", (F.col("n") - F.min("n").over(Window.partitionBy(F.pmod("program_id", F.lit(10))))).alias("delta"))
+    s = s.withColumn("family", F.pmod("program_id", F.lit(10)))
+    least = s.groupBy("family").agg(F.min("n").alias("least"))  # ten rows
+    return s.join(F.broadcast(least), "family").select("program_id", (F.col("n") - F.col("least")).alias("delta"))
 
 
 @query("ra09_opcode_sequences", derived.oracle("SELECT program_id, md5(string_agg(opcode, ',' ORDER BY pc)) AS sequence FROM ins WHERE opcode <> 'LABEL' GROUP BY program_id"))

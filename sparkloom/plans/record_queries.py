@@ -267,6 +267,42 @@ def alternate_key(spark, sf):
     return table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.min("c_custkey").alias("key"))
 
 
+@query("rs09_sequential_changes", """SELECT 0 AS part, o_orderkey AS nth, 'order ' || o_orderstatus AS record FROM orders
+UNION ALL SELECT 1, c_custkey, CASE WHEN c_custkey = (SELECT max(c_custkey) FROM customer) THEN 'last' ELSE 'customer' END FROM customer""")
+def sequential_changes(spark, sf):
+    """Records added at the end of a sequential file, then the last one replaced."""
+    f = table(spark, sf, "orders").select(F.lit(0).alias("part"), F.col("o_orderkey").alias("nth"), F.concat(F.lit("order "), "o_orderstatus").alias("record"))
+    ops = R.operations("SEQUENTIAL")
+    f = ops["write"](f, table(spark, sf, "customer").select(F.col("c_custkey").alias("nth"), F.lit("customer").alias("record")))
+    return ops["rewrite"](f, F.lit("last"))
+
+
+@query("rs11_relative_changes", """WITH a AS (
+  SELECT coalesce(c_custkey, p_partkey) AS slot, coalesce(c_custkey % 3 <> 0, FALSE) AS used, p_partkey IS NOT NULL AS new FROM customer FULL JOIN part ON c_custkey = p_partkey
+), b AS (SELECT slot, used OR new AS active, CASE WHEN used THEN 'old' WHEN new THEN 'new' ELSE 'old' END AS record, used, new FROM a)
+SELECT b.slot, CASE WHEN s_suppkey IS NOT NULL AND active THEN 'again' ELSE record END AS record, CASE WHEN NOT new THEN '' WHEN used THEN '22' ELSE '00' END AS written
+FROM b LEFT JOIN supplier ON s_suppkey = b.slot WHERE active AND b.slot % 5 <> 0""")
+def relative_changes(spark, sf):
+    """Slots of customers, every third empty: parts written into empty ones, suppliers' rewritten, every fifth deleted."""
+    ops = R.operations("RELATIVE")
+    k = F.col("c_custkey")
+    slots = table(spark, sf, "customer").select(k.alias("slot"), (k % 3 != 0).alias("active"), F.lit("old").alias("record"))
+    slots, told = ops["write"](slots, table(spark, sf, "part").select(F.col("p_partkey").alias("slot"), F.lit("new").alias("record")))
+    slots, _ = ops["rewrite"](slots, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("slot"), F.lit("again").alias("record")))
+    slots, _ = ops["delete"](slots, slots.where("slot % 5 = 0").select("slot"))
+    told = told.select(F.col("slot").alias("ts"), F.col("status").alias("written"))
+    return ops["read"](slots).join(told, F.col("slot") == F.col("ts"), "left").select("slot", "record", F.coalesce("written", F.lit("")).alias("written"))
+
+
+@query("rs12_alternate_reads", "SELECT rpad(c_mktsegment, 10, ' ') AS key, lpad(CAST(min(c_custkey) AS VARCHAR), 8, '0') || rpad(c_mktsegment, 10, ' ') AS record, '00' AS status FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'NOWHERE   ', NULL, '23'")
+def alternate_reads(spark, sf):
+    """Records of customers, kept by number, read by market segment."""
+    c = table(spark, sf, "customer")
+    f = c.select(F.col("c_custkey").alias("key"), F.concat(F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.rpad("c_mktsegment", 10, " ")).alias("record"))
+    asked = c.select(F.rpad("c_mktsegment", 10, " ").alias("key")).distinct().union(spark.createDataFrame([("NOWHERE   ",)], "key string"))
+    return R.read_alternate(f, 8, 10, asked)
+
+
 @query("rs14_file_status", "SELECT mode, op, CASE WHEN op IN ('READ', 'START') AND mode NOT IN ('INPUT', 'I-O') THEN '47' WHEN op = 'WRITE' AND mode NOT IN ('OUTPUT', 'EXTEND', 'I-O') THEN '48' WHEN op IN ('REWRITE', 'DELETE') AND mode <> 'I-O' THEN '49' ELSE '00' END AS status FROM (VALUES ('INPUT'), ('OUTPUT'), ('I-O'), ('EXTEND')) m(mode), (VALUES ('READ'), ('START'), ('WRITE'), ('REWRITE'), ('DELETE')) o(op)")
 def file_status(spark, sf):
     modes = spark.createDataFrame([("INPUT",), ("OUTPUT",), ("I-O",), ("EXTEND",)], "mode string")

@@ -16,8 +16,21 @@ OK, END, DUPLICATE, MISSING, NO_FILE, NOT_INPUT, NOT_OUTPUT = "00", "10", "22",
 def read_sequential(spark: SparkSession, path: str, size: int) -> DataFrame:
     """(path, nth, record) of fixed-length records; the last may be short."""
     files = spark.read.format("binaryFile").load(path).select("path", "content", "length")
-    n = F.ceil(F.col("length") / size).cast("int")
-    return files.where("length > 0").select("path", F.explode(F.sequence(F.lit(0), n - 1)).alias("nth"), "content").select("path", "nth", F.expr(f"substring(content, nth * {size} + 1, {size})").alias("record"))
+    parts = F.expr(f"transform(sequence(0, cast(ceil(length / {size}) as int) - 1), n -> substring(content, n * {size} + 1, {size}))")
+    return files.where("length > 0").select("path", F.posexplode(parts).alias("nth", "record"))
+
+
+def append(file: DataFrame, new: DataFrame) -> DataFrame:
+    """Sequential (part, nth, record) with the records of ``new`` (nth, record) after all others, as the next part."""
+    last = file.agg(F.coalesce(F.max("part") + 1, F.lit(0)).alias("part"))  # one row
+    return file.select("part", "nth", "record").union(new.crossJoin(F.broadcast(last)).select("part", "nth", "record"))
+
+
+def rewrite_last(file: DataFrame, record) -> DataFrame:
+    """The record read last, at the end of (part, nth), replaced."""
+    last = file.agg(F.max(F.struct("part", "nth")).alias("at"))
+    changed = F.when(F.struct("part", "nth") == F.col("at"), record).otherwise(F.col("record"))
+    return file.crossJoin(F.broadcast(last)).select("part", "nth", changed.alias("record"))
 
 
 def key_of(record, offset: int, size: int) -> Column:
@@ -68,6 +81,54 @@ def read_relative(slots: DataFrame) -> DataFrame:
     return slots.where("active").select("slot", "record")
 
 
+def _slots(slots: DataFrame, new: DataFrame) -> DataFrame:
+    n = new.groupBy("slot").agg(F.min("record").alias("new")).select(F.col("slot").alias("ns"), "new")
+    return slots.join(n, F.col("slot") == F.col("ns"), "full").withColumn("active", F.coalesce("active", F.lit(False)))
+
+
+def write_slots(slots: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slots, told): records of ``new`` (slot, record) go into empty slots (00); a slot in use refuses (22)."""
+    both = _slots(slots, new)
+    free = F.col("ns").isNotNull() & ~F.col("active")
+    told = both.where("ns is not null").select(F.col("ns").alias("slot"), F.when(F.col("active"), DUPLICATE).otherwise(OK).alias("status"))
+    return both.select(F.coalesce("slot", "ns").alias("slot"), (F.col("active") | free).alias("active"), F.when(free, F.col("new")).otherwise(F.col("record")).alias("record")), told
+
+
+def rewrite_slots(slots: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slots, told): records of slots in use are replaced (00); an empty slot has none (23)."""
+    both = _slots(slots, new)
+    used = F.col("ns").isNotNull() & F.col("active")
+    told = both.where("ns is not null").select(F.col("ns").alias("slot"), F.when(F.col("active"), OK).otherwise(MISSING).alias("status"))
+    return both.where("slot is not null").select("slot", "active", F.when(used, F.col("new")).otherwise(F.col("record")).alias("record")), told
+
+
+def delete_slots(slots: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slots, told): slots in use become empty (00); an empty one has no record (23)."""
+    both = _slots(slots, gone.select("slot", F.lit("").alias("record")))
+    told = both.where("ns is not null").select(F.col("ns").alias("slot"), F.when(F.col("active"), OK).otherwise(MISSING).alias("status"))
+    return both.where("slot is not null").select("slot", (F.col("active") & F.col("ns").isNull()).alias("active"), "record"), told
+
+
+def start_slot(slots: DataFrame, slot, how: str = ">=") -> DataFrame:
+    """The slot in use at which reading goes on."""
+    return start(read_relative(slots).withColumnRenamed("slot", "key"), slot, how).withColumnRenamed("key", "slot")
+
+
+def read_alternate(file: DataFrame, offset: int, size: int, requests: DataFrame) -> DataFrame:
+    """Each request (key) with the first record, in the file's own order, that has the key at ``offset``, and status 00 or 23."""
+    alt = file.select(key_of("record", offset, size).alias("alt"), "key", "record").groupBy("alt").agg(F.min_by("record", "key").alias("record"))
+    return requests.join(alt, requests.key == alt.alt, "left").select(requests.key, "record", F.when(F.col("alt").isNull(), MISSING).otherwise(OK).alias("status"))
+
+
+def operations(organization: str) -> dict:
+    """The operations by which a file of an organization is reached: indexed, relative, else sequential."""
+    kinds = {
+        "INDEXED": {"read": read_key, "start": start, "write": insert, "rewrite": rewrite, "delete": delete, "next": neighbours},
+        "RELATIVE": {"read": read_relative, "start": start_slot, "write": write_slots, "rewrite": rewrite_slots, "delete": delete_slots},
+    }
+    return kinds.get(organization.upper(), {"read": read_sequential, "write": append, "rewrite": rewrite_last})
+
+
 def access(mode: Column, op: Column) -> Column:
     """Status of an operation in a file's open mode."""
     reads, writes = op.isin("READ", "START"), op.isin("WRITE")
