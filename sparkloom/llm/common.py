@@ -61,10 +61,8 @@ def sampled_splitters(df: DataFrame, keys: dict[str, Column], buckets: int, per_
     n = df.count()
     if n == 0 or buckets <= 1:
         return []
-    rows = df.select(*[c.alias(k) for k, c in keys.items()])
-    if n > want:
-        rows = rows.sample(False, min(1.0, want / n), seed)
-    rows = sorted_rows(rows, list(keys))
+    rows = df.sample(False, min(1.0, want / n), seed) if n > want else df  # before the keys are worked out
+    rows = sorted_rows(rows.select(*[c.alias(k) for k, c in keys.items()]), list(keys))
     out: list = []
     for r in (rows[j * len(rows) // buckets] for j in range(1, buckets) if rows):
         if not out or tuple(out[-1]) != tuple(r):
@@ -73,7 +71,8 @@ def sampled_splitters(df: DataFrame, keys: dict[str, Column], buckets: int, per_
 
 
 def sorted_rows(rows: DataFrame, keys: list[str]) -> list:
-    return rows.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).collect()
+    """A bounded sample, sorted in one task: a global sort would scan the table once more to find its ranges."""
+    return rows.repartition(1).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys]).collect()
 
 
 def bucket_of(splitters: list, keys: dict[str, Column], schema: T.StructType) -> Column:

@@ -33,10 +33,10 @@ def normalised(text) -> F.Column:
 def _runs(docs: DataFrame, id_col: str, text_col: str, buckets_per_partition: int) -> DataFrame:
     """Rows (id, sha, b, run, first, start, len): run ``run`` of range ``b`` holds equal texts and starts at id ``start``."""
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("i"), normalised(F.col(text_col)).alias("t"))
-    k = F.concat(F.hex(F.substring(F.col("t").cast("binary"), 1, PREFIX)), F.lit("|"), F.sha2("t", 256))
-    splitters = sampled_splitters(src, {"k": k, "i": F.col("i")}, shuffle_partitions(spark) * buckets_per_partition)
-    rows = src.withColumn("k", k)
+    src = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("x"))
+    key = lambda t: F.concat(F.hex(F.substring(t.cast("binary"), 1, PREFIX)), F.lit("|"), F.sha2(t, 256))
+    splitters = sampled_splitters(src, {"k": key(normalised(F.col("x"))), "i": F.col("i")}, shuffle_partitions(spark) * buckets_per_partition)
+    rows = src.select("i", normalised(F.col("x")).alias("t")).withColumn("k", key(F.col("t")))
     rows = rows.withColumn("b", bucket_of(splitters, {"k": F.col("k"), "i": F.col("i")}, KEY))
     w = Window.partitionBy("b").orderBy("k", "t", F.col("i").asc_nulls_first())
     rows = rows.withColumn("first", ~F.coalesce(F.lag("t").over(w) == F.col("t"), F.lit(False)))
