@@ -94,3 +94,21 @@ def resolve_aliases(aliases: DataFrame) -> DataFrame:
         now = fixpoint.checkpointed(now.join(on, "target", "left").select("name", F.coalesce("next", "target").alias("target")))
     cyclic = names.withColumn("cyclic", F.lit(True))
     return now.join(cyclic, "target", "left").select("name", F.when(F.col("cyclic"), F.col("name")).otherwise(F.col("target")).alias("target"))
+
+
+def signatures(p: DataFrame, types: DataFrame) -> DataFrame:
+    """(program_id, func, signature) of placed programs: parameters in order and the result, with the types (program_id, name, type) that are known, else Any.
+
+    The result has a type where all its returned registers of known type agree; the null that every body ends with counts only by itself.
+    """
+    from sparkloom.operators import registry, summaries
+
+    body = summaries.bodies(p)
+    params = summaries.parameters(body).join(types.select("program_id", F.col("name").alias("param"), "type"), ["program_id", "param"], "left")
+    given = params.groupBy("program_id", "func").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(": ", "param", F.coalesce("type", F.lit("Any"))).alias("text")))).alias("p"))
+    back = summaries.accesses(body).where("opcode = 'RETURN'").select("program_id", "func", F.col("value").alias("name")).join(types, ["program_id", "name"])
+    result = back.groupBy("program_id", "func").agg(F.min("type").alias("one"), F.min(F.when(F.col("type") != "Null", F.col("type"))).alias("low"), F.max(F.when(F.col("type") != "Null", F.col("type"))).alias("high"))
+    result = result.select("program_id", "func", F.when(F.col("low") == F.col("high"), F.col("low")).when(F.col("low").isNull(), F.col("one")).alias("result"))
+    every = registry.functions(p).select("program_id", F.col("label").alias("func"), "name").join(given, ["program_id", "func"], "left").join(result, ["program_id", "func"], "left")
+    listed = F.array_join(F.transform(F.coalesce("p", F.array().cast("array<struct<pos:int,text:string>>")), lambda x: x["text"]), ", ")
+    return every.select("program_id", "func", F.concat("name", F.lit("("), listed, F.lit(") -> "), F.coalesce("result", F.lit("Any"))).alias("signature"))

@@ -7,7 +7,7 @@ from itertools import islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.plans.fixpoint import apart
+from sparkloom.plans.fixpoint import apart, per_key
 
 
 def resolve_functions(sites: DataFrame, funcs: DataFrame) -> DataFrame:
@@ -94,3 +94,32 @@ def call_trees(edges: DataFrame, roots: DataFrame) -> DataFrame:
     of = edges.groupBy("program_id").agg(F.collect_list(F.struct("src", "dst")).alias("e")).select("program_id", F.col("e.src").alias("src"), F.col("e.dst").alias("dst"))
     each = apart(roots, "program_id", "node").distinct().withColumnRenamed("node", "root").join(of, "program_id", "left")
     return each.select("program_id", "root", "src", "dst").mapInPandas(solve, "program_id bigint, root string, path string, depth int, recursive boolean")
+
+
+def taint_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(program_id, source, sink, path): one shortest path over edges (program_id, src, dst) for each pair (program_id, source, sink), the least in order of its nodes.
+
+    The source alone where both are equal, an empty path where there is none.
+    """
+
+    def solve(rows):
+        adj: dict = {}
+        for a, b, is_pair in rows:
+            if not is_pair:
+                adj.setdefault(a, set()).add(b)
+        for source, sink, is_pair in rows:
+            if is_pair:
+                paths, front = {source: [source]}, [source]
+                while front and sink not in paths:
+                    ahead = []
+                    for x in front:  # in the order of their paths
+                        for d in sorted(adj.get(x, ())):
+                            if d not in paths:
+                                paths[d] = [*paths[x], d]
+                                ahead.append(d)
+                    front = ahead
+                yield source, sink, paths.get(sink, [])
+
+    kind = edges.schema["program_id"].dataType.simpleString()
+    both = edges.select("program_id", "src", "dst", F.lit(False).alias("pair")).union(pairs.select("program_id", "source", "sink", F.lit(True)))
+    return per_key(both, "program_id", solve, f"program_id {kind}, source string, sink string, path array<string>")

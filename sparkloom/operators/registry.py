@@ -21,6 +21,16 @@ def functions(p: DataFrame) -> DataFrame:
     return f.select("program_id", "label", F.regexp_extract("label", FUNC, 1).alias("name"), F.col("pc").alias("ord"), F.when(F.col("class") != "", F.col("class")).alias("class"))
 
 
+def label_kinds(p: DataFrame) -> DataFrame:
+    """(program_id, label, kind, name, namespace): entry, function, class, end (of a function), end_class, or block."""
+    form = r"^(?:(.*)\.)?(func|class|end_class|end)_(.+)_\d+$"
+    lab = p.where("opcode = 'LABEL'").select("program_id", "label")
+    found = F.regexp_extract("label", form, 2)
+    bare = F.regexp_extract("label", r"([^.]*)$", 1)
+    kind = F.when(bare == "entry", "entry").when(found == "func", "function").when(found == "", "block").otherwise(found)
+    return lab.select("program_id", "label", kind.alias("kind"), F.when(found != "", F.regexp_extract("label", form, 3)).alias("name"), F.regexp_extract("label", r"^(.*)\.[^.]*$", 1).alias("namespace"))
+
+
 def parameters(p: DataFrame) -> DataFrame:
     """(program_id, func, pos, param): ``param:`` symbols of the blocks a function owns, in order."""
     b = cfg.blocks(p)

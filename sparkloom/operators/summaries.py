@@ -183,3 +183,16 @@ def analyze(p: DataFrame) -> dict[str, DataFrame]:
     flows = fixpoint.checkpointed(summary(p))
     raw, closed = whole_program(p, flows)
     return {"calls": registry.call_graph(p), "summary": flows, "contexts": contexts(p, flows), "raw": raw, "closed": closed, "report": report(p, flows)}
+
+
+def function_cfg(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, edges) of each function: (program_id, func, block) reached from its entry inside its body, and (program_id, func, src, dst) among them."""
+    own = bodies(p).select(*KEY, "block").distinct()
+    e = cfg.edges(cfg.blocks(p)).select("program_id", "src", "dst")
+    inner = e.join(own.withColumnRenamed("block", "src"), ["program_id", "src"]).join(own.withColumnRenamed("block", "dst"), [*KEY, "dst"])
+    key = F.concat_ws("\0", F.col("program_id").cast("string"), "func")
+    seen = fixpoint.reach_by_key(inner.select(key.alias("k"), "src", "dst"), own.where("block = func").select(key.alias("k"), F.col("block").alias("node")), "k")
+    part = F.split("k", "\0")
+    blocks = fixpoint.checkpointed(seen.select(part[0].cast("bigint").alias("program_id"), part[1].alias("func"), F.col("node").alias("block")))
+    edges = inner.join(blocks.withColumnRenamed("block", "src"), [*KEY, "src"]).join(blocks.withColumnRenamed("block", "dst"), [*KEY, "dst"])
+    return blocks, edges.select(*KEY, "src", "dst")

@@ -228,6 +228,31 @@ def components_by_key(edges: DataFrame, key: str) -> DataFrame:
     return out.union(nodes.join(mutual, [key, "node"], "left").select(key, "node", F.least("node", F.coalesce("least", "node"))))
 
 
+def cycle_by_key(edges: DataFrame, key: str) -> DataFrame:
+    """(key, cycle): a shortest cycle through the least node that lies on one, from that node back to it; no row for keys without cycles."""
+    kind = edges.schema[key].dataType.simpleString()
+
+    def solve(rows):
+        adj = {s: sorted(set(d)) for s, d in _adjacency(rows).items()}
+        for start in sorted(adj):
+            came, todo = {}, deque([start])
+            while todo and start not in came:
+                x = todo.popleft()
+                for d in adj.get(x, ()):
+                    if d not in came:
+                        came[d] = x
+                        todo.append(d)
+            if start in came:
+                path, x = [start], came[start]
+                while x != start:
+                    path.append(x)
+                    x = came[x]
+                yield ([start, *reversed(path)],)
+                return
+
+    return per_key(edges.select(key, "src", "dst"), key, solve, f"{key} {kind}, cycle array<string>")
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): dependencies (src needs dst) first; nodes on or above a cycle get the level after the last."""
     left = checkpointed(nodes.select("node").distinct())

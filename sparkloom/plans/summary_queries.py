@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import cfg, registry, summaries
+from sparkloom.operators import cfg, inference, interproc, registry, summaries
 from sparkloom.plans import fixpoint
 from sparkloom.plans.schema import INSTR, values_sql
 from sparkloom.vm import tables
@@ -170,3 +170,60 @@ def merged_flows(spark, sf):
 def typed_report(spark, sf):
     r = summaries.report(_programs(spark), _flows(spark))
     return r.select("program_id", _name("func").alias("func"), "callers", "callees", "param_to_return", "param_to_field", "other")
+
+
+_KINDS = [(2, "entry", "entry", None), (2, "func_setp_1", "function", "setp"), (2, "end_setp_2", "end", "setp"), (2, "func_getp_3", "function", "getp"), (2, "end_getp_4", "end", "getp"), (2, "func_main_5", "function", "main"), (2, "end_main_6", "end", "main"), (3, "m.entry", "entry", None), (3, "m.func_a_b_1", "function", "a_b"), (3, "m.n.class_C_2", "class", "C"), (3, "end_class_C_3", "end_class", "C"), (3, "if_end_4", "block", None)]
+
+
+@query("rp06_label_kinds", "SELECT program_id, label, kind, name, CASE label WHEN 'm.entry' THEN 'm' WHEN 'm.func_a_b_1' THEN 'm' WHEN 'm.n.class_C_2' THEN 'm.n' ELSE '' END AS namespace FROM " + values_sql(_KINDS, "program_id, label, kind, name"))
+def label_kinds(spark, sf):
+    more = "LABEL m.entry|LABEL m.func_a_b_1|LABEL m.n.class_C_2|LABEL end_class_C_3|LABEL if_end_4"
+    return registry.label_kinds(spark.createDataFrame(instructions(POINTERS, 2) + instructions(more, 3), INSTR))
+
+
+#: Program 4: a loop and a branch inside a function, a function after it, code that nothing reaches.
+BRANCHES = """
+LABEL entry|BRANCH > end_f_2
+LABEL func_f_1|%0 = SYMBOLIC param:n|DECL_VAR n %0|LABEL top|%1 = LOAD_VAR n|BRANCH_IF %1 > body done|LABEL body|BRANCH > top|LABEL done|%2 = CONST 1|RETURN %2|LABEL dead|%3 = CONST 2|RETURN %3
+LABEL end_f_2|BRANCH > end_g_4
+LABEL func_g_3|%4 = CONST 3|RETURN %4
+LABEL end_g_4
+"""
+
+
+@query("rg09_function_graphs", "SELECT * FROM " + values_sql([("f", "func_f_1", "top"), ("f", "top", "body"), ("f", "top", "done"), ("f", "body", "top")], "func, src, dst"))
+def function_graphs(spark, sf):
+    """Edges of each function's own graph: what its entry reaches inside its body."""
+    p = cfg.placed(spark.createDataFrame(instructions(BRANCHES, 4), INSTR))
+    return summaries.function_cfg(p)[1].select(_name("func").alias("func"), "src", "dst")
+
+
+_WAYS = [(1, "a", "b"), (1, "b", "d"), (1, "a", "c"), (1, "c", "d"), (1, "d", "e"), (1, "e", "b"), (2, "x", "y"), (3, "s", "s")]
+
+
+@query("ri21_taint_witnesses", "SELECT * FROM (VALUES (1, 'a', 'd', 'a > b > d'), (1, 'a', 'e', 'a > b > d > e'), (1, 'a', 'a', 'a'), (1, 'e', 'a', ''), (2, 'x', 'y', 'x > y'), (2, 'y', 'x', '')) v(program_id, source, sink, path)")
+def taint_witnesses(spark, sf):
+    """A shortest path from each source to its sink."""
+    edges = spark.createDataFrame(_WAYS, "program_id bigint, src string, dst string")
+    pairs = spark.createDataFrame([(1, "a", "d"), (1, "a", "e"), (1, "a", "a"), (1, "e", "a"), (2, "x", "y"), (2, "y", "x")], "program_id bigint, source string, sink string")
+    t = interproc.taint_path(edges, pairs)
+    return t.select("program_id", "source", "sink", F.array_join("path", " > ").alias("path"))
+
+
+@query("rg16_cycle_witnesses", "SELECT * FROM (VALUES (1, 'b > d > e > b'), (3, 's > s')) v(program_id, cycle)")
+def cycle_witnesses(spark, sf):
+    c = fixpoint.cycle_by_key(spark.createDataFrame(_WAYS, "program_id bigint, src string, dst string"), "program_id")
+    return c.select("program_id", F.array_join("cycle", " > ").alias("cycle"))
+
+
+_TYPED = "def add(a, b):\n  return a + b\ndef size(s):\n  return len(s)\ndef either(a):\n  if a:\n    return a\n  return 'x'\ndef nothing():\n  pass"
+
+
+@query("rt06_signatures", "SELECT * FROM (VALUES ('add(a: Int, b: Float) -> Float'), ('size(s: String) -> Int'), ('either(a: Int) -> Any'), ('nothing() -> Null')) v(signature)")
+def signatures(spark, sf):
+    """Functions with the types of their parameters, given, and of their results, inferred."""
+    tables.register(spark)
+    spark.createDataFrame([(5, "python", _TYPED)], "program_id bigint, language string, source string").createOrReplaceTempView("sparkloom_typed")
+    instr = spark.sql("SELECT program_id, r.* FROM sparkloom_typed s, LATERAL lower_source(s.source, s.language) r")
+    types = fixpoint.checkpointed(inference.infer(instr, {"a": "Int", "b": "Float", "s": "String"}))
+    return inference.signatures(cfg.placed(instr), types).select("signature")
