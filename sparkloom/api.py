@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.frontends import lower as _lower
-from sparkloom.operators import cfg, dataflow, inference, registry
+from sparkloom.operators import cfg, dataflow, inference, link, registry, summaries
 from sparkloom.plans import fixpoint
 from sparkloom.sources import imports
 from sparkloom.vm import tables
@@ -31,14 +31,14 @@ def lower_directory(spark: SparkSession, root: str, language: str) -> tuple[Data
 
 @dataclass
 class Analysis:
-    """All relations of a set of programs, each computed when it is asked for."""
+    """All relations of a set of programs, each computed once, when it is first asked for, and kept in the shared folder."""
 
     instr: DataFrame
     _made: dict = field(default_factory=dict)
 
     def _once(self, name: str, make):
         if name not in self._made:
-            self._made[name] = make()
+            self._made[name] = fixpoint.checkpointed(make())
         return self._made[name]
 
     @property
@@ -81,6 +81,21 @@ class Analysis:
     def call_graph(self) -> DataFrame:
         return self._once("call_graph", lambda: registry.call_graph(self.placed))
 
+    @property
+    def summary(self) -> DataFrame:
+        """Flows from parameters to results, fields and through pointers, of every function."""
+        return self._once("summary", lambda: summaries.summary(self.placed))
+
+    @property
+    def flows(self) -> DataFrame:
+        """All flows of whole programs, closed."""
+        return self._once("flows", lambda: summaries.whole_program(self.placed, self.summary)[1])
+
+    @property
+    def report(self) -> DataFrame:
+        """Callers, callees and numbers of flows of every function."""
+        return self._once("report", lambda: summaries.report(self.placed, self.summary))
+
     def types(self, seeds: dict[str, str] | None = None) -> DataFrame:
         return inference.infer(self.instr, seeds or {})
 
@@ -89,6 +104,20 @@ def analyze(sources: DataFrame) -> Analysis:
     return Analysis(lower_sources(sources))
 
 
+def link_project(sources: DataFrame) -> DataFrame:
+    """Modules (project, program_id, place, prefix, language, source), dependencies at lower places, as one instruction table a project."""
+    spark = sources.sparkSession
+    tables.register(spark)
+    sources.select("program_id", "language", "source").createOrReplaceTempView("sparkloom_project")
+    code = spark.sql("SELECT program_id, r.* FROM sparkloom_project s, LATERAL lower_code(s.source, s.language) r")
+    return link.link_modules(fixpoint.checkpointed(code), sources.select("project", "program_id", "place", "prefix"))
+
+
+def run_project(sources: DataFrame, variable: str, entry: str | None = None, most: int = 20_000) -> DataFrame:
+    """(program_id, answer, result, finished): each project linked and run, first its top levels, then ``entry``."""
+    return tables.run_table(link_project(sources), variable, entry, most)
+
+
 def run(source: str, language: str = "python", most: int = 100) -> Machine:
     return Machine(_lower(source, language)).run(most)
 

@@ -1,4 +1,4 @@
-"""Type inference to a fixpoint, one grouped job a program."""
+"""Type inference to a fixpoint, one task a program."""
 
 from __future__ import annotations
 
@@ -73,14 +73,10 @@ def solve(rows: list[tuple], seeds: dict[str, str]) -> dict[str, str]:
 def infer(instr: DataFrame, seeds: dict[str, str]) -> DataFrame:
     """(program_id, name, type) of every register and variable with a known type."""
 
-    def work(pdf):
-        import pandas as pd
+    def types(rows):
+        return solve([(o, r or "", p) for _, o, r, p in sorted(rows, key=lambda r: r[0])], seeds).items()
 
-        pdf = pdf.sort_values("pc")
-        known = solve([(o, r or "", list(p)) for o, r, p in zip(pdf["opcode"], pdf["result_reg"], pdf["operands"])], seeds)
-        return pd.DataFrame({"program_id": [pdf["program_id"].iloc[0]] * len(known), "name": list(known), "type": list(known.values())})
-
-    return instr.select("program_id", "pc", "opcode", "result_reg", "operands").groupBy("program_id").applyInPandas(work, "program_id bigint, name string, type string")
+    return fixpoint.per_key(instr.select("program_id", "pc", "opcode", "result_reg", "operands"), "program_id", types, "program_id bigint, name string, type string")
 
 
 def resolve_aliases(aliases: DataFrame) -> DataFrame:

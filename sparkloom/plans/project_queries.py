@@ -105,24 +105,22 @@ def function_blocks(spark, sf):
     inner = e.where("not dst like 'L%'").select("program_id", "src", "dst")
     seeds = b.where("label like 'L%'").select("program_id", F.col("label").alias("func"), F.col("label").alias("node"))
 
-    def solve(es, ss):
-        import pandas as pd
-
-        adj = {}
-        for s, d in zip(es["src"], es["dst"]):
-            adj.setdefault(s, []).append(d)
-        rows = []
-        for f in ss["func"]:
+    def solve(rows):
+        adj: dict = {}
+        for s, d in rows:
+            if d is not None:
+                adj.setdefault(s, []).append(d)
+        for f in [s for s, d in rows if d is None]:
             seen, todo = {f}, [f]
             while todo:
                 for d in adj.get(todo.pop(), ()):
                     if d not in seen:
                         seen.add(d)
                         todo.append(d)
-            rows += [(f, n) for n in seen]
-        return pd.DataFrame({"program_id": [ss["program_id"].iloc[0]] * len(rows) if len(ss) else [], "func": [f for f, _ in rows], "node": [n for _, n in rows]})
+            yield from ((f, n) for n in seen)
 
-    return inner.groupBy("program_id").cogroup(fixpoint.apart(seeds, "program_id", "func", "node").groupBy("program_id")).applyInPandas(solve, "program_id bigint, func string, node string")
+    both = inner.union(seeds.select("program_id", "func", F.lit(None).cast("string")))
+    return fixpoint.per_key(both, "program_id", solve, "program_id bigint, func string, node string")
 
 
 @query("rd10_analysis_bundle", derived.oracle("""SELECT c.program_id, (SELECT count(*) FROM def x WHERE x.program_id = c.program_id) AS definitions, (SELECT count(*) FROM gen x WHERE x.program_id = c.program_id) AS gen,

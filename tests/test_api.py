@@ -56,3 +56,15 @@ def test_directory(spark, tmp_path):
     (tmp_path / "c.txt").write_text("no")
     files, instr = api.lower_directory(spark, str(tmp_path), "python")
     assert files.count() == 2 and instr.where("opcode = 'IMPORT_MODULE'").count() == 1
+
+
+def test_summaries_and_projects(spark):
+    from sparkloom import api
+
+    a = api.analyze(spark.createDataFrame([(1, "python", "def f(x):\n  return x\ndef g(y):\n  z = f(y)\n  return z")], "program_id bigint, language string, source string"))
+    assert {(r.src, r.dst_kind) for r in a.summary.collect()} == {("x", "return"), ("y", "return")}
+    assert ("y", "z") in {(r.src, r.dst) for r in a.flows.collect()}
+    assert {(r.func, r.callers, r.callees, r.param_to_return) for r in a.report.collect()} == {("func_f_1", 1, 0, 1), ("func_g_3", 0, 1, 1)}
+    rows = [(7, 1, 0, "lib", "python", "def half(n):\n  return n // 2"), (7, 2, 1, "app", "python", "from lib import half\ndef main():\n  return half(half(40))\nanswer = half(9)")]
+    r = api.run_project(spark.createDataFrame(rows, "project bigint, program_id bigint, place int, prefix string, language string, source string"), "answer", "main").collect()
+    assert [tuple(x) for x in r] == [(7, "4", "10", True)]
