@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import chat, exact_dedup, jaccard_join, langid, mixing, pieces, quality_knn, spotsigs, sstable, url_filter
+from sparkloom.llm import alignment, chat, exact_dedup, jaccard_join, langid, licenses, mixing, pieces, quality_knn, spelling, spotsigs, sstable, url_filter
 
 QUERIES = {
     "op1_quality_knn": quality_knn.op1_quality_knn,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pieces": pieces.op8_pieces,
     "op9_chat": chat.op9_chat,
     "op10_mixing": mixing.op10_mixing,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_licenses": licenses.op13_licenses,
 }
 
 ORACLES = {
