@@ -81,13 +81,13 @@ def infer(instr: DataFrame, seeds: dict[str, str]) -> DataFrame:
 
 def resolve_aliases(aliases: DataFrame) -> DataFrame:
     """(name, target): what each alias (name, target) stands for at last, by pointer jumping; one on a cycle, or that leads to one, stands for itself."""
-    now = fixpoint.checkpointed(aliases.select("name", "target"))
+    now = fixpoint.settled(aliases.select("name", "target"))
     names = now.select(F.col("name").alias("target")).distinct()
     for _ in range(now.count().bit_length() + 1):
         if now.join(names, "target", "left_semi").isEmpty():
             return now
         on = now.select(F.col("name").alias("target"), F.col("target").alias("next"))
-        now = fixpoint.checkpointed(now.join(on, "target", "left").select("name", F.coalesce("next", "target").alias("target")))
+        now = fixpoint.settled(now.join(on, "target", "left").select("name", F.coalesce("next", "target").alias("target")))
     cyclic = names.withColumn("cyclic", F.lit(True))
     return now.join(cyclic, "target", "left").select("name", F.when(F.col("cyclic"), F.col("name")).otherwise(F.col("target")).alias("target"))
 

@@ -9,7 +9,9 @@ a re-read and the plan never grows.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections import deque
+from contextvars import ContextVar
 from functools import wraps
 from itertools import groupby
 from operator import itemgetter
@@ -33,26 +35,44 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_tables: dict = {}
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read from there; the files go when the driver ends.
+
+    For rounds that join a table with itself: a checkpoint keeps the size that the optimizer guessed for its plan, and the
+    guess of a join is the product of its sides, a number that doubles its digits in every such round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: The shared tables of the query that runs in this thread or task of the driver.
+_tables: ContextVar[dict | None] = ContextVar("tables", default=None)
 
 
 def once(name: str, make) -> DataFrame:
-    """The table ``make`` gives, written to the shared folder the first time a query asks for it and read from there after that."""
-    if name not in _tables:
-        _tables[name] = checkpointed(make())
-    return _tables[name]
+    """The table ``make`` gives, written to the shared folder the first time the running query asks for it and read from there after that."""
+    tables = _tables.get()
+    if tables is None:  # not inside a query
+        return checkpointed(make())
+    if name not in tables:
+        tables[name] = checkpointed(make())
+    return tables[name]
 
 
 def scoped(query):
-    """``query`` (spark, sf_dir) with its own shared tables: nothing is kept from one query to the next."""
+    """``query`` (spark, sf_dir) with its own shared tables: nothing is kept from one query to the next, and queries in other threads have theirs."""
 
     @wraps(query)
     def run(spark, sf):
-        _tables.clear()
+        token = _tables.set({})
         try:
             return query(spark, sf)
         finally:
-            _tables.clear()
+            _tables.reset(token)
 
     return run
 

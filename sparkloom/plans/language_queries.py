@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -323,8 +322,7 @@ def branches_over_rows(spark, sf):
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{fixpoint.shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(spark, sf) -> DataFrame:

@@ -90,8 +90,11 @@ def register(spark) -> None:
 
 
 def run_over(df: DataFrame, source: str, inputs: list[str], result: str, most: int = 2000) -> DataFrame:
-    """``df`` with ``answer``: the program runs once for each row, with the row's columns as its variables. Lowered once a batch."""
-    schema = df.withColumn("answer", F.lit("")).schema
+    """``df`` with ``answer`` and ``finished``: the program runs once for each row, with the row's columns as its variables. Lowered once a batch.
+
+    A run that has not ended after ``most`` steps has no answer and is not finished.
+    """
+    schema = df.withColumns({"answer": F.lit(None).cast("string"), "finished": F.lit(None).cast("boolean")}).schema
 
     def work(batches):
         from sparkloom.frontends.python_ast import lower
@@ -99,11 +102,12 @@ def run_over(df: DataFrame, source: str, inputs: list[str], result: str, most: i
 
         code = lower(source)
         for pdf in batches:
-            out = []
+            out, ended = [], []
             for values in zip(*[pdf[c].tolist() for c in inputs]):
                 m = Machine(code, dict(zip(inputs, values))).run(most)
-                out.append(json.dumps(m.plain(m.frames[0].vars.get(result))))
-            yield pdf.assign(answer=out)
+                out.append(json.dumps(m.plain(m.frames[0].vars.get(result))) if m.done else None)
+                ended.append(m.done)
+            yield pdf.assign(answer=out, finished=ended)
 
     return df.mapInPandas(work, schema)
 
