@@ -89,3 +89,28 @@ def condensation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     between = edges.join(name("src", "a"), "src").join(name("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
     ranks = levels(of.select(F.col("component").alias("node")), between).select(F.col("node").alias("component"), F.col("level").alias("rank"))
     return of.join(ranks, "component").select("node", "component", "rank")
+
+
+def order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level, cyclic, position): every node after all that it leads to (src needs dst); those on or above a circle last, marked, level null.
+
+    Positions count from 0 over all nodes, by level and within one by node, the marked ones by node; they are ranks of sampled ranges.
+    """
+    from sparkloom.operators.linking import running_totals
+
+    edges = settled(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    every = nodes.select("node").union(edges.select("src")).union(edges.select("dst")).where("node is not null").distinct()
+    of = settled(strong_components(every, edges).join(edges.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop")), "node", "left"))
+    circles = of.groupBy("component").agg((F.count(F.lit(1)) > 1).alias("many"), F.max("loop").alias("loop")).where("many or loop").select("component")
+    bad = new = settled(of.join(circles, "component").select("node"))
+    for _ in range(ROUNDS):
+        if new.isEmpty():
+            break
+        above = edges.join(new.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        new = settled(above.join(bad, "node", "left_anti"))
+        bad = settled(bad.union(new))
+    good = of.join(bad, "node", "left_anti").select("node")
+    sure = edges.join(bad.withColumnRenamed("node", "src"), "src", "left_anti")
+    ranked = levels(good, sure).select("node", F.col("level").cast("int").alias("level"), F.lit(False).alias("cyclic")).union(bad.select("node", F.lit(None).cast("int"), F.lit(True)))
+    ranked = ranked.withColumns({"all": F.lit(0), "one": F.lit(1)})
+    return running_totals(ranked, "all", ["cyclic", "level", "node"], {"position": "one"}).select("node", "level", "cyclic", F.col("position").cast("long").alias("position"))

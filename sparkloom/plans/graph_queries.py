@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import cfg, type_flow
-from sparkloom.operators.components import condensation
+from sparkloom.operators import cfg, linking, patching, type_flow
+from sparkloom.operators.components import condensation, order
 from sparkloom.operators.lineage import JumpTable
 from sparkloom.plans import derived, fixpoint
 from sparkloom.plans.record_queries import table
@@ -118,3 +118,123 @@ VARIABLE_TYPES = {"v0": "Int", "v1": "Float", "v2": "Int", "v3": "Float", "v4":
 def type_flow_of_programs(spark, sf) -> DataFrame:
     """Types and element types of every name of every program, united over all that flows to it; a plain loop is the test."""
     return type_flow.infer(array_programs(spark, sf), VARIABLE_TYPES)
+
+
+PROJECTS = 16
+_MODULES = f"""exp AS (SELECT DISTINCT i.program_id, i.var AS name FROM ins i JOIN own ON own.program_id = i.program_id AND own.label = i.block WHERE i.opcode = 'STORE_VAR' AND own.func IS NULL),
+md AS (SELECT program_id, program_id % {PROJECTS} AS project, count(*) + 1 AS size, coalesce(max(event_id) FILTER (result_reg IS NOT NULL) + 1, 0) AS regs FROM ins GROUP BY program_id),
+mb AS (SELECT *, CAST(coalesce(sum(size) OVER before, 0) AS BIGINT) AS start, CAST(coalesce(sum(regs) OVER before, 0) AS BIGINT) AS base, lead(program_id) OVER (PARTITION BY project ORDER BY program_id) AS following FROM md
+  WINDOW before AS (PARTITION BY project ORDER BY program_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sym AS (SELECT project, name, min(program_id) AS owner, count(*) AS exporters FROM exp JOIN md USING (program_id) GROUP BY project, name)"""
+
+
+def _linked(spark, sf) -> DataFrame:
+    """The programs of events as modules of projects (number mod ``PROJECTS``), linked in the order of their numbers."""
+    return fixpoint.once("linked", lambda: linking.link_table(_code(spark, sf), _modules(spark, sf), _stored(spark, sf)))
+
+
+def _code(spark, sf) -> DataFrame:
+    return fixpoint.once("code", lambda: derived.instr(spark, sf))
+
+
+def _modules(spark, sf) -> DataFrame:
+    return _code(spark, sf).select("program_id").distinct().select(F.pmod("program_id", F.lit(PROJECTS)).alias("project"), "program_id", F.col("program_id").alias("place"))
+
+
+def _stored(spark, sf) -> DataFrame:
+    """(program_id, name): variables stored outside functions, which a module exports."""
+    p = fixpoint.once("placed", lambda: cfg.placed(_code(spark, sf)))
+    top = cfg.owners(cfg.blocks(p), F.col("label").startswith("L")).where("func is null").select("program_id", F.col("label").alias("block"))
+    return p.where("opcode = 'STORE_VAR'").join(top, ["program_id", "block"], "left_semi").select("program_id", F.get("operands", F.lit(0)).alias("name")).distinct()
+
+
+@query("rl05_merged_symbols", derived.oracle("SELECT project, name, owner, exporters FROM sym", _MODULES))
+def merged_symbols(spark, sf) -> DataFrame:
+    """Which module of a project a name means where several export it."""
+    return linking.merged_symbols(_stored(spark, sf), _modules(spark, sf))
+
+
+@query("rl07_linked_instructions", derived.oracle("""
+SELECT mb.project, mb.start + i.pc + 1 AS pc, i.program_id, i.opcode, '%' || (i.event_id + mb.base) AS result_reg,
+  CASE i.opcode WHEN 'LOAD_VAR' THEN v.meant WHEN 'STORE_VAR' THEN concat_ws(' ', v.meant, '%' || (CAST(substr(p1, 2) AS BIGINT) + mb.base))
+    WHEN 'BINOP' THEN concat_ws(' ', '+', '%' || (CAST(substr(p2, 2) AS BIGINT) + mb.base), '%' || (CAST(substr(p1, 2) AS BIGINT) + mb.base)) ELSE '' END AS operands,
+  CASE WHEN i.opcode = 'LABEL' THEN 'm' || i.program_id || '.L' || i.event_id ELSE '' END AS label
+FROM (SELECT *, CASE WHEN result_reg IS NULL THEN NULL ELSE event_id END AS r FROM ins) i JOIN mb USING (program_id) LEFT JOIN nm v ON v.program_id = i.program_id AND v.name = i.var WHERE i.r IS NOT NULL
+UNION ALL SELECT mb.project, mb.start + i.pc + 1, i.program_id, i.opcode, NULL,
+  CASE i.opcode WHEN 'STORE_VAR' THEN concat_ws(' ', v.meant, '%' || (CAST(substr(p1, 2) AS BIGINT) + mb.base)) ELSE '' END,
+  CASE WHEN i.opcode = 'LABEL' THEN 'm' || i.program_id || '.L' || i.event_id ELSE '' END
+FROM ins i JOIN mb USING (program_id) LEFT JOIN nm v ON v.program_id = i.program_id AND v.name = i.var WHERE i.result_reg IS NULL
+UNION ALL SELECT project, start, program_id, 'LABEL', NULL, '', 'm' || program_id FROM mb""", _MODULES + """,
+nm AS (SELECT u.program_id, u.name, CASE WHEN exp.name IS NOT NULL THEN 'm' || u.program_id || '.' || u.name WHEN sym.owner IS NOT NULL THEN 'm' || sym.owner || '.' || u.name ELSE u.name END AS meant
+  FROM (SELECT DISTINCT program_id, var AS name FROM ins WHERE opcode IN ('LOAD_VAR', 'STORE_VAR')) u JOIN md USING (program_id)
+  LEFT JOIN exp ON exp.program_id = u.program_id AND exp.name = u.name LEFT JOIN sym ON sym.project = md.project AND sym.name = u.name)"""))
+def linked_instructions(spark, sf) -> DataFrame:
+    """Places, registers, names and labels of the linked projects."""
+    return _linked(spark, sf).select("project", "pc", "program_id", "opcode", "result_reg", F.array_join("operands", " ").alias("operands"), "label")
+
+
+@query("rl07_linked_edges", derived.oracle("""
+SELECT mb.project, a.new AS src, b.new AS dst FROM edge e JOIN mb USING (program_id) JOIN lb a ON a.program_id = e.program_id AND a.label = e.src JOIN lb b ON b.program_id = e.program_id AND b.label = e.dst
+UNION SELECT mb.project, 'm' || program_id, lb.new FROM lb JOIN mb USING (program_id) WHERE lb.block_ord = 0 AND lb.is_func
+UNION SELECT mb.project, lb.new, 'm' || mb.following FROM lb JOIN mb USING (program_id) WHERE lb.is_last AND mb.following IS NOT NULL AND lb.last_op NOT IN ('BRANCH', 'BRANCH_IF', 'RETURN')""", _MODULES + """,
+lb AS (SELECT blk.program_id, label, block_ord, is_func, last_op, block_ord = max(block_ord) OVER (PARTITION BY blk.program_id) AS is_last,
+  CASE WHEN is_func THEN 'm' || blk.program_id || '.' || label WHEN block_ord = 0 THEN 'm' || blk.program_id ELSE '__block_' || (mb.start + first_pc + 1) END AS new FROM blk JOIN mb USING (program_id))"""))
+def linked_edges(spark, sf) -> DataFrame:
+    """The control flow of the linked projects, worked out anew from their instructions."""
+    code = _linked(spark, sf).drop("program_id").withColumnRenamed("project", "program_id")
+    return cfg.edges(cfg.blocks(cfg.placed(code))).select(F.col("program_id").alias("project"), "src", "dst")
+
+
+#: From gn and ge: nodes on or above a circle, levels of the others, and places.
+_ORDERED = """
+clo AS (SELECT src, dst FROM ge UNION SELECT c.src, e.dst FROM clo c JOIN ge e ON e.src = c.dst),
+circ AS (SELECT src AS node FROM clo WHERE src = dst),
+bad AS (SELECT node FROM circ UNION SELECT clo.src FROM clo JOIN circ ON circ.node = clo.dst),
+good AS (SELECT node FROM gn WHERE node NOT IN (SELECT node FROM bad)),
+lv AS (SELECT node, 0 AS level FROM good UNION SELECT ge.src, lv.level + 1 FROM lv JOIN ge ON ge.dst = lv.node JOIN good ON good.node = ge.src),
+ranked AS (SELECT node, max(level) AS level, FALSE AS cyclic FROM lv GROUP BY node UNION ALL SELECT node, NULL, TRUE FROM bad)
+"""
+_POSITIONS = "SELECT node, level, cyclic, row_number() OVER (ORDER BY cyclic, level, node) - 1 AS position FROM ranked"
+
+
+@query("rg15_module_order", f"""WITH RECURSIVE ge AS (SELECT DISTINCT p_partkey AS src, p_partkey // d AS dst FROM part, (VALUES (2), (3)) x(d) WHERE p_partkey > 0
+UNION SELECT p_partkey // 2, p_partkey FROM part WHERE p_partkey % 250 = 140), gn AS (SELECT src AS node FROM ge UNION SELECT dst FROM ge), {_ORDERED} {_POSITIONS}""")
+def module_order(spark, sf) -> DataFrame:
+    """Parts as modules that need those of half and a third of their number, with circles planted: one order over all."""
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").select(k)
+    needs = p.where(k > 0).select(k.alias("src"), F.explode(F.array(F.floor(k / 2), F.floor(k / 3))).alias("dst"))
+    edges = needs.union(p.where(k % 250 == 140).select(F.floor(k / 2), k))
+    return order(edges.select(F.col("src").alias("node")), edges)
+
+
+@query("rg15_link_order", f"WITH RECURSIVE {_LINKS}, {_ORDERED} {_POSITIONS}")
+def link_order(spark, sf) -> DataFrame:
+    """Linked names of pages, each after the names that follow it on a page; those on or above circles last."""
+    links = page_links(spark, sf)
+    edges = links.select(F.col("name").alias("src"), F.lead("name").over(Window.partitionBy("page_id").orderBy("at")).alias("dst")).where("dst is not null")
+    return order(links.select(F.col("name").alias("node")), edges)
+
+
+_SPANS = """sp AS (
+  SELECT doc_id, k, CAST(97 * k - CASE WHEN k % 5 = 4 THEN 95 ELSE 0 END AS BIGINT) AS start, CAST(97 * k + k % 4 AS BIGINT) AS stop, '<' || k || '>' AS replacement
+  FROM (SELECT doc_id, unnest(range(0, length(text) // 97 + 2)) AS k FROM documents WHERE text IS NOT NULL)
+), ok AS (SELECT sp.*, length(text) AS size, text FROM sp JOIN documents USING (doc_id) WHERE stop <= length(text)),
+judged AS (SELECT *, coalesce(start < max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop, replacement ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS crossed FROM ok),
+kept AS (SELECT *, coalesce(lag(stop) OVER w, 0) AS before, row_number() OVER w AS nth, count(*) OVER (PARTITION BY doc_id) AS n FROM judged WHERE NOT crossed WINDOW w AS (PARTITION BY doc_id ORDER BY start, stop, replacement)),
+made AS (SELECT doc_id, string_agg(substr(text, before + 1, start - before) || replacement || CASE WHEN nth = n THEN substr(text, stop + 1) ELSE '' END, '' ORDER BY nth) AS text, count(*) AS kept FROM kept GROUP BY doc_id)"""
+
+
+def _spans(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(texts, spans): the documents, and a replacement at every 97th character; one of five reaches back over the one before, the last ones over the end."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    k = F.col("k")
+    spans = texts.where("text is not null").select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("text") / 97) + 1)).alias("k"))
+    return texts, spans.select("id", (97 * k - F.when(k % 5 == 4, 95).otherwise(0)).alias("start"), (97 * k + k % 4).alias("stop"), F.concat(F.lit("<"), k.cast("string"), F.lit(">")).alias("replacement"))
+
+
+@query("rs16_patched_texts", f"""WITH {_SPANS} SELECT doc_id, coalesce(made.kept, 0) AS kept, coalesce((SELECT count(*) FROM sp WHERE sp.doc_id = d.doc_id), 0) - coalesce(made.kept, 0) AS refused, sha256(coalesce(made.text, d.text)) AS text_sha256
+FROM documents d LEFT JOIN made USING (doc_id)""")
+def patched_texts(spark, sf) -> DataFrame:
+    """Many replacements in every document, applied at once."""
+    return patching.patched(*_spans(spark, sf)).select(F.col("id").alias("doc_id"), "kept", "refused", F.sha2("text", 256).alias("text_sha256"))

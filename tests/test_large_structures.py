@@ -178,3 +178,61 @@ def test_indexed_files(spark):
     assert len(file.runs) == 1
     plan = file._rows([2])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(block" in plan or "PartitionFilters: [block" in plan
+
+
+def test_patches(spark):
+    from sparkloom.operators import patching
+
+    random.seed(8)
+    texts = [(1, "abcdef" * 50), (2, ""), (3, None), (4, "é日本😀x" * 20), (None, "kept")]
+    spans = [(i, (a := random.randrange(-1, 110)), a + random.randrange(-1, 6), random.choice(["", "X", "long word", None])) for i in (1, 4) for _ in range(40)]
+    spans += [(1, 10, 10, "b"), (1, 10, 10, "a"), (1, 299, 300, "end"), (1, 300, 300, "!"), (2, 0, 0, "new"), (3, 0, 0, "x"), (9, 0, 0, "x"), (None, 0, 1, "x"), (1, None, 3, "x")]
+    t, s = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(spans, "id int, start int, stop int, replacement string")
+    want = {}
+    for i, text in texts:
+        out, shift, reach, kept, refused, own = text, 0, 0, 0, 0, [x for x in spans if x[0] == i and i is not None]
+        fits = [x for x in own if text is not None and None not in x and 0 <= x[1] <= x[2] <= len(text)]
+        for _, a, b, w in sorted(fits):
+            if a < reach:
+                refused += 1
+            else:
+                out = out[: a + shift] + w + out[b + shift :]
+                shift += len(w) - (b - a)
+                kept += 1
+            reach = max(reach, b)
+        want[i] = (out, kept, refused + len(own) - len(fits))
+    assert {r.id: (r.text, r.kept, r.refused) for r in patching.patched(t, s).collect()} == want
+    assert want[1][1] > 5 and want[4][2] > 5
+    told = patching.judged(t, s).where("id = 1 and status = 'kept'").collect()
+    assert all(want[1][0][r.new_start :].startswith(r.replacement) for r in told)
+
+
+def test_running_totals_of_a_hot_group(spark):
+    from sparkloom.operators.linking import running_totals
+
+    rows = [(0 if k % 3 else k % 7, None if k % 50 == 0 else k // 2, k, k % 5) for k in range(600)]
+    got = running_totals(spark.createDataFrame(rows, "g int, place int, k int, v int"), "g", ["place", "k"], {"before": "v"}).collect()
+    sums, want = {}, {}
+    for g, p, k, v in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])):
+        want[k] = sums.get(g, 0)
+        sums[g] = want[k] + v
+    assert {r.k: r.before for r in got} == want
+
+
+def test_linked_names_and_places(spark):
+    from sparkloom.operators import linking
+
+    code = [
+        (1, 0, "STORE_VAR", None, ["x", "%0"], "", []), (1, 1, "LOAD_VAR", "%3", ["y"], "", []), (1, 2, "BRANCH", None, [], "", ["__block_0"]),
+        (2, 0, "LABEL", None, [], "L", []), (2, 1, "STORE_VAR", None, ["y", "%0"], "", []), (2, 2, "STORE_VAR", None, ["x", "%0"], "", []), (2, 3, "BRANCH_IF", None, ["*%1"], "", ["L", "__block_3"]),
+        (3, 0, "LOAD_VAR", "%0", ["x"], "", []), (3, 1, "LOAD_VAR", "%1", ["z"], "", []), (4, 0, "LOAD_VAR", "%0", ["x"], "", []),
+    ]
+    c = spark.createDataFrame(code, "program_id bigint, pc int, opcode string, result_reg string, operands array<string>, label string, branch_targets array<string>")
+    modules = spark.createDataFrame([(0, 2, 1), (0, 1, 2), (0, 3, 3), (7, 4, 1), (0, 99, 0)], "project int, program_id bigint, place int")
+    exports = spark.createDataFrame([(1, "x"), (2, "y"), (2, "x"), (4, "x")], "program_id bigint, name string")
+    rows = [(r.project, r.pc, r.label or r.result_reg, " ".join(r.operands), r.branch_targets) for r in linking.link_table(c, modules, exports).orderBy("project", "pc").collect()]
+    assert rows == [
+        (0, 0, "m2", "", []), (0, 1, "m2.L", "", []), (0, 2, None, "m2.y %0", []), (0, 3, None, "m2.x %0", []), (0, 4, None, "*%1", ["m2.L", "__block_4"]),
+        (0, 5, "m1", "", []), (0, 6, None, "m1.x %0", []), (0, 7, "%3", "m2.y", []), (0, 8, None, "", ["m1"]),
+        (0, 9, "m3", "", []), (0, 10, "%4", "m2.x", []), (0, 11, "%5", "z", []), (7, 0, "m4", "", []), (7, 1, "%0", "m4.x", []),
+    ]
