@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import variable_layout
+from sparkloom.functions.variable_layout import Depending, Renames
 from sparkloom.plans.fixpoint import checkpointed, shared_dir
 from sparkloom.plans.record_queries import table
 from sparkloom.sources import sequential
@@ -91,3 +93,38 @@ def indexed_reads(spark, sf) -> DataFrame:
     """Every customer asked for by key, after the changes and a compaction."""
     keys = table(spark, sf, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("key"))
     return _customer_file(spark, sf)[0].compact().read(keys)
+
+
+#: An order with its items, each with notes, and what comes behind the notes: places depend on two counters.
+ORDER = (
+    ("orderkey", 10), ("cents", 12), ("n_items", 2),
+    Depending("items", "n_items", 99, (("partkey", 8), ("n_notes", 1), Depending("notes", "n_notes", 9, (("note", 5),)), ("quantity", 4))),
+    ("status", 1), Renames("head", "orderkey", "cents"),
+)
+
+
+@query("re10_depending_tables", """WITH i AS (
+  SELECT l_orderkey, l_partkey, l_linenumber % 3 AS nn, CAST(l_quantity AS BIGINT) AS q, row_number() OVER w AS nth, coalesce(sum(8 + 1 + 5 * (l_linenumber % 3) + 4) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 24 AS place
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)
+) SELECT o_orderkey AS orderkey, o_orderstatus AS status, lpad(CAST(o_orderkey AS VARCHAR), 10, '0') || lpad(CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR), 12, '0') AS head, CAST(nth AS INT) AS nth, CAST(place AS INT) AS place, l_partkey AS partkey, q AS quantity,
+  CASE nn WHEN 0 THEN '' WHEN 1 THEN 'n' || nth || '-1' ELSE 'n' || nth || '-1,n' || nth || '-2' END AS notes
+FROM orders JOIN i ON l_orderkey = o_orderkey""")
+def depending_tables(spark, sf) -> DataFrame:
+    """Orders and their items written as one record each, with tables in tables, and parsed back."""
+    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    i = table(spark, sf, "lineitem").withColumn("nth", F.row_number().over(line))
+    note = lambda k: F.struct(F.concat(F.lit("n"), F.col("nth").cast("string"), F.lit("-"), k.cast("string")).alias("note"))
+    notes = F.transform(F.filter(F.array(F.lit(1), F.lit(2)), lambda k: k <= F.col("l_linenumber") % 3), note)
+    i = i.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("nth", F.col("l_partkey").alias("partkey"), notes.alias("notes"), F.col("l_quantity").cast("long").alias("quantity")))).alias("items"))
+    o = table(spark, sf, "orders").join(i, F.col("l_orderkey") == F.col("o_orderkey"))
+    given = {"orderkey": F.col("o_orderkey"), "cents": F.round(F.col("o_totalprice") * 100).cast("long"), "items": F.col("items"), "status": F.col("o_orderstatus")}
+    record = variable_layout.write(ORDER, given.__getitem__, frozenset(("orderkey", "cents", "partkey", "quantity")))
+    path = f"{shared_dir(spark).rstrip('/')}/depending-{uuid.uuid4().hex}"
+    o.select(record.alias("value")).write.text(path)
+    read = spark.read.text(path).select(*[v.alias(k) for k, v in variable_layout.parse(F.col("value"), ORDER).items()])
+    read = read.select("orderkey", "status", "head", F.posexplode("items").alias("nth", "item"))
+    noted = F.array_join(F.transform("item.notes", lambda x: F.rtrim(x["note"])), ",")
+    return read.select(
+        F.col("orderkey").cast("long").alias("orderkey"), "status", "head", (F.col("nth") + 1).alias("nth"), F.col("item.items_at").alias("place"), F.col("item.partkey").cast("long").alias("partkey"),
+        F.col("item.quantity").cast("long").alias("quantity"), noted.alias("notes"),
+    )

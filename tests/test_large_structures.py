@@ -236,3 +236,16 @@ def test_linked_names_and_places(spark):
         (0, 5, "m1", "", []), (0, 6, None, "m1.x %0", []), (0, 7, "%3", "m2.y", []), (0, 8, None, "", ["m1"]),
         (0, 9, "m3", "", []), (0, 10, "%4", "m2.x", []), (0, 11, "%5", "z", []), (7, 0, "m4", "", []), (7, 1, "%0", "m4.x", []),
     ]
+
+
+def test_depending_layouts(spark):
+    from sparkloom.functions.variable_layout import Depending, Renames, parse
+
+    layout = (("a", 2), ("n", 1), Depending("t", "n", 3, (("m", 1), Depending("u", "m", 9, (("x", 2),)), ("y", 1))), ("z", 3), Renames("az", "a", "n"), Renames("tz", "t", "z"))
+    records = ["AA22x1x2Y0Wzzz", "BB0zzz", "CC", "", None, "DD?zzz", "EE92aabbq0r0szzz", "FF13aa"]
+    rows = spark.createDataFrame([(k, r) for k, r in enumerate(records)], "k int, r string").select("k", *[c.alias(n) for n, c in parse(F.col("r"), layout).items()]).orderBy("k").collect()
+    plain = [(r.a, [(t.t_at, t.m, [u.x for u in t.u], t.y) for t in r.t] if r.t is not None else None, r.z, r.az, r.tz) for r in rows]
+    assert plain == [
+        ("AA", [(3, "2", ["x1", "x2"], "Y"), (9, "0", [], "W")], "zzz", "AA2", "2x1x2Y0Wzzz"), ("BB", [], "zzz", "BB0", "zzz"), ("CC", [], "", "CC", ""), ("", [], "", "", ""), (None, None, None, None, None),
+        ("DD", [], "zzz", "DD?", "zzz"), ("EE", [(3, "2", ["aa", "bb"], "q"), (9, "0", [], "r"), (11, "0", [], "s")], "zzz", "EE9", "2aabbq0r0szzz"), ("FF", [(3, "3", ["aa", "", ""], "")], "", "FF1", "3aa"),
+    ]
