@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import cfg, linking, patching, type_flow
+from sparkloom.operators import cfg, linking, patching, trie, type_flow
 from sparkloom.operators.components import condensation, order
 from sparkloom.operators.lineage import JumpTable
 from sparkloom.plans import derived, fixpoint
@@ -238,3 +238,42 @@ FROM documents d LEFT JOIN made USING (doc_id)""")
 def patched_texts(spark, sf) -> DataFrame:
     """Many replacements in every document, applied at once."""
     return patching.patched(*_spans(spark, sf)).select(F.col("id").alias("doc_id"), "kept", "refused", F.sha2("text", 256).alias("text_sha256"))
+
+
+_PATHS = r"""pp AS (SELECT page_id, list_concat(list_reverse(string_split(regexp_extract(url, '://([^/?#]*)', 1), '.')), list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) AS path FROM pages),
+pre AS (SELECT DISTINCT path[1:k] AS path FROM (SELECT path, unnest(range(1, len(path) + 1)) AS k FROM pp)),
+mk AS (SELECT DISTINCT path[1:1 + page_id % 4] AS path FROM pp WHERE page_id % 3 = 0)"""
+_BEST = "(SELECT arg_max(array_to_string(m.path, '/'), len(m.path)) FROM mk m WHERE m.path = x.path[1:len(m.path)])"
+
+
+def _page_paths(spark, sf) -> DataFrame:
+    """(id, path): the labels of each page's host from the last to the first, then the segments of its path."""
+    host, path = (F.regexp_extract("url", p, 1) for p in (r"://([^/?#]*)", r"://[^/?#]*([^?#]*)"))
+    segments = F.concat(F.reverse(F.split(host, r"\.")), F.filter(F.split(path, "/"), lambda x: x != ""))
+    return table(spark, sf, "pages").select(F.col("page_id").alias("id"), segments.alias("path"))
+
+
+def _path_trie(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(paths, trie, marked nodes, names of nodes): beginnings of every third page's path are marked as roots."""
+    paths = fixpoint.checkpointed(_page_paths(spark, sf))
+    nodes = fixpoint.checkpointed(trie.build(paths))
+    roots = paths.where("id % 3 = 0").select(F.expr("slice(path, 1, 1 + cast(id % 4 as int))").alias("path"))
+    starts = fixpoint.checkpointed(trie.places(nodes, roots))
+    return paths, nodes, starts.select("node"), starts.select("node", F.array_join("path", "/").alias("text"))
+
+
+@query("rl12_longest_roots", f"WITH {_PATHS} SELECT page_id, {_BEST} AS root FROM pp x")
+def longest_roots(spark, sf) -> DataFrame:
+    """The longest marked beginning of each page's path."""
+    paths, nodes, marked, names = _path_trie(spark, sf)
+    best = trie.longest_prefix(nodes, marked, paths).select(F.col("id").alias("page_id"), "node")
+    return best.join(names, "node", "left").select("page_id", F.col("text").alias("root"))
+
+
+@query("rl11_namespace_tree", f"WITH {_PATHS} SELECT len(path) AS depth, path[len(path)] AS segment, {_BEST} AS root, count(*) AS n FROM pre x GROUP BY ALL")
+def namespace_tree(spark, sf) -> DataFrame:
+    """Every name of the tree of paths with the nearest marked name at or above it."""
+    _, nodes, marked, names = _path_trie(spark, sf)
+    near = trie.nearest_marked(nodes, marked).select("node", F.col("root").alias("rn"))
+    named = nodes.where("depth > 0").join(near, "node").join(names.withColumnRenamed("node", "rn"), "rn", "left")
+    return named.groupBy(F.col("depth").cast("long").alias("depth"), "segment", F.col("text").alias("root")).agg(F.count(F.lit(1)).alias("n"))

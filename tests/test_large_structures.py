@@ -249,3 +249,25 @@ def test_depending_layouts(spark):
         ("AA", [(3, "2", ["x1", "x2"], "Y"), (9, "0", [], "W")], "zzz", "AA2", "2x1x2Y0Wzzz"), ("BB", [], "zzz", "BB0", "zzz"), ("CC", [], "", "CC", ""), ("", [], "", "", ""), (None, None, None, None, None),
         ("DD", [], "zzz", "DD?", "zzz"), ("EE", [(3, "2", ["aa", "bb"], "q"), (9, "0", [], "r"), (11, "0", [], "s")], "zzz", "EE9", "2aabbq0r0szzz"), ("FF", [(3, "3", ["aa", "", ""], "")], "", "FF1", "3aa"),
     ]
+
+
+def test_tries(spark):
+    from sparkloom.operators import trie
+
+    paths = [(1, ["a", "b", "c"]), (2, ["a", "b"]), (3, ["a", "b"]), (4, []), (5, None), (6, ["b", None, "x"]), (7, ["b"]), (8, ["a", "", "c"]), (9, ["a"] * 30)]
+    p = spark.createDataFrame(paths, "id int, path array<string>")
+    nodes = fixpoint.checkpointed(trie.build(p))
+    whole = [tuple(x) for _, x in paths if x is not None]
+    every = {x[:k] for x in whole for k in range(len(x) + 1)}
+    assert nodes.count() == len(every) == nodes.select("node").distinct().count()
+    known = {tuple(r.path): r.node for r in trie.places(nodes, p).collect()}
+    assert set(known) == set(whole) and known[()] == 0
+    marked = [("a", "b"), ("b",), ("a",) * 30]
+    m = spark.createDataFrame([(known[x],) for x in marked], "node long")
+    asked = [*paths, (10, ["a", "x"]), (11, ["a", "b", "q", "r"]), (12, ["zz"]), (13, ["b", None])]
+    name = {v: k for k, v in known.items()}
+    got = {r.id: name.get(r.node) for r in trie.longest_prefix(nodes, m, spark.createDataFrame(asked, p.schema)).collect()}
+    assert got == {i: max((x for x in marked if path is not None and tuple(path[: len(x)]) == x), key=len, default=None) for i, path in asked}
+    near = {r.node: name.get(r.root) for r in trie.nearest_marked(nodes, m).collect()}
+    assert {x: near[n] for x, n in known.items()} == {x: max((y for y in marked if x[: len(y)] == y), key=len, default=None) for x in whole}
+    assert trie.build(p.limit(0)).collect() == [(0, None, 0, None)]
