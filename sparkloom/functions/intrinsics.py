@@ -358,8 +358,10 @@ def mean(*xs) -> Column:
 
 
 def median(*xs) -> Column:
-    s, n = F.array_sort(F.array(*xs)), len(xs)
-    return s[n // 2] if n % 2 else (s[n // 2 - 1] + s[n // 2]) / 2
+    """Of the values that are there; null without any."""
+    s = F.sort_array(F.array_compact(F.array(*xs)))
+    n = F.size(s)
+    return (F.get(s, F.floor((n - 1) / 2)) + F.get(s, F.floor(n / 2))) / 2
 
 
 def midrange(*xs) -> Column:
@@ -367,11 +369,20 @@ def midrange(*xs) -> Column:
 
 
 def variance(*xs) -> Column:
-    """Of a sample; one value has variance 0."""
+    """Of a sample; one value has variance 0. Nulls are left out; null with fewer than two values left.
+
+    One pass by Welford's updates, in the order of the values: the last digits are those of DuckDB's ``var_samp``, and sums of large squares do not cancel.
+    """
     if len(xs) == 1:
         return xs[0] * 0
-    m = mean(*xs)
-    return total(*[(x - m) * (x - m) for x in xs]) / (len(xs) - 1)
+
+    def add(s, x):
+        n = s["n"] + 1
+        to = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), to.alias("mean"), (s["squares"] + (x - to) * (x - s["mean"])).alias("squares"))
+
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    return F.aggregate(F.array_compact(F.array(*[_c(x).cast("double") for x in xs])), zero, add, lambda s: F.when(s["n"] > 1, s["squares"] / (s["n"] - 1)))
 
 
 def ord_max(*xs) -> Column:
