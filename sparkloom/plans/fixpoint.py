@@ -274,19 +274,31 @@ def cycle_by_key(edges: DataFrame, key: str) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level): dependencies (src needs dst) first; nodes on or above a cycle get the level after the last."""
-    left = checkpointed(nodes.select("node").distinct())
-    edges = checkpointed(edges.select("src", "dst").distinct())
-    done, level = None, 0
-    while True:
-        live = edges.join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        ready = checkpointed(left.join(live, "node", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            rest = left.withColumn("level", F.lit(level))
-            return rest if done is None else done.union(rest)
-        done = ready if done is None else done.union(ready)
-        left = checkpointed(left.join(ready.select("node"), "node", "left_anti"))
+    """(node, level): dependencies (src needs dst) first; nodes on or above a cycle get the level after the last.
+
+    A round counts the edges into the nodes of the last level for each of their users; a user whose count is whole is next. Every edge
+    is counted once, only users that still wait are carried on, and no side of a join is broadcast, however small it is guessed.
+    """
+    spark = edges.sparkSession
+    nodes = settled(nodes.select("node").distinct())
+    known = lambda c: nodes.select(F.col("node").alias(c)).hint("merge")
+    edges = settled(edges.select("src", "dst").distinct().join(known("src"), "src", "left_semi").join(known("dst"), "dst", "left_semi"))
+    need = edges.groupBy("src").agg(F.count(F.lit(1)).alias("need"))
+    ready = settled(nodes.join(need.select(F.col("src").alias("node")).hint("merge"), "node", "left_anti"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    users = checkpointed(edges.join(need.hint("merge"), "src").select("dst", F.col("src").alias("node"), "need").repartition(parts, "dst").sortWithinPartitions("dst"))
+    done, waiting, level = ready.withColumn("level", F.lit(0)), None, 0
+    while not ready.isEmpty():
         level += 1
+        got = users.join(ready.select(F.col("node").alias("dst")).hint("merge"), "dst").select("node", "need", F.lit(1).cast("long").alias("got"))
+        got = (got if waiting is None else waiting.union(got)).groupBy("node", "need").agg(F.sum("got").alias("got"))
+        counted = settled(got)
+        ready, waiting = counted.where("got = need").select("node"), counted.where("got < need")
+        done = done.union(ready.withColumn("level", F.lit(level)))
+        if level % 32 == 0:
+            done = settled(done)
+    rest = nodes.where("node is not null").join(done.select("node").hint("merge"), "node", "left_anti")
+    return done.union(rest.withColumn("level", F.lit(level)))
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:

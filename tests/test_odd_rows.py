@@ -1,8 +1,9 @@
 """Registered queries on rows that the generated tables lack (large keys, nulls, repeated keys), against their SQL."""
 
 import oracle
+import pytest
 
-from sparkloom.plans import registry
+from sparkloom.plans import fixpoint, registry
 
 
 def check(spark, tmp_path, query, name, schema, rows):
@@ -34,3 +35,30 @@ def test_statistics_of_missing_values(spark, tmp_path):
 def test_spans_without_a_beginning(spark, tmp_path):
     rows = [(None if k % 5 == 0 else 37 * k - 600, None if k % 11 == 0 else k % 4) for k in range(200)] + [(None, 9), (None, 9), (3, 10)]
     check(spark, tmp_path, "rs16_merge_spans", "events", "event_id long, user_id long", rows)
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all tables that a fixpoint writes."""
+    seen = []
+    for name in ("settled", "checkpointed"):
+
+        def noted(df, write=getattr(fixpoint, name)):
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+            return write(df)
+
+        monkeypatch.setattr(fixpoint, name, noted)
+    return seen
+
+
+def test_levels_broadcast_nothing(spark, tmp_path, plans):
+    """Half of all nodes of a graph of any size are in the last levels: they must not pass through the driver."""
+    df = check(spark, tmp_path, "rg15_topological_levels", "part", "p_partkey long", [(k,) for k in range(300)])
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 9 and not any("Broadcast" in p for p in plans)
+
+
+def test_levels_of_loops_and_foreign_edges(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("l",), ("on",), (None,)], "node string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("a", "c"), ("l", "l"), ("on", "l"), ("c", "foreign"), ("foreign", "a"), (None, "a"), ("c", None)], "src string, dst string")
+    assert sorted(map(tuple, fixpoint.levels(nodes, edges).collect()), key=str) == [("a", 2), ("b", 1), ("c", 0), ("l", 3), ("on", 3), (None, 0)]
