@@ -317,8 +317,10 @@ _COLLATZ = "n = x % 50 + 1\nk = 0\nwhile n != 1:\n  if n % 2 == 0: n = n // 2\n
 
 @query("rv18_branches_over_rows", "WITH RECURSIVE c AS (SELECT o_orderkey, o_orderkey % 50 + 1 AS n, 0 AS k FROM orders UNION ALL SELECT o_orderkey, CASE WHEN n % 2 = 0 THEN n // 2 ELSE 3 * n + 1 END, k + 1 FROM c WHERE n <> 1) SELECT o_orderkey, CAST(max(k) AS VARCHAR) AS answer FROM c GROUP BY o_orderkey")
 def branches_over_rows(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").alias("x"))
-    return tables.run_over(rows, _COLLATZ, ["x"], "answer", most=20_000).select("o_orderkey", "answer")
+    """One run for each order key, dealt to all tasks; a missing key takes no step."""
+    keys = table(spark, sf, "orders").select("o_orderkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey").distinct()
+    runs = tables.run_over(keys.where("o_orderkey is not null").withColumn("x", F.col("o_orderkey")), _COLLATZ, ["x"], "answer", most=20_000).select("o_orderkey", "answer")
+    return runs.union(keys.where("o_orderkey is null").withColumn("answer", F.lit("0")))
 
 
 def _folder(spark) -> str:

@@ -90,26 +90,40 @@ def register(spark) -> None:
 
 
 def run_over(df: DataFrame, source: str, inputs: list[str], result: str, most: int = 2000) -> DataFrame:
-    """``df`` with ``answer`` and ``finished``: the program runs once for each row, with the row's columns as its variables. Lowered once a batch.
+    """``df`` with ``answer`` and ``finished``: the program runs once for each row, with the row's columns as its variables. Lowered once a task.
 
+    A batch's rows run together as columns (``vm.columns``); rows that leave whole numbers and truth values, and null inputs, run in a machine each.
     A run that has not ended after ``most`` steps has no answer and is not finished.
     """
     schema = df.withColumns({"answer": F.lit(None).cast("string"), "finished": F.lit(None).cast("boolean")}).schema
 
     def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
         from sparkloom.frontends.python_ast import lower
+        from sparkloom.vm.columns import Columns
         from sparkloom.vm.machine import Machine
 
         code = lower(source)
-        for pdf in batches:
-            out, ended = [], []
-            for values in zip(*[pdf[c].tolist() for c in inputs]):
-                m = Machine(code, dict(zip(inputs, values))).run(most)
-                out.append(json.dumps(m.plain(m.frames[0].vars.get(result))) if m.done else None)
-                ended.append(m.done)
-            yield pdf.assign(answer=out, finished=ended)
-
-    return df.mapInPandas(work, schema)
+        for batch in batches:
+            given = {c: batch.column(c) for c in inputs}
+            whole = [pa.types.is_boolean(x.type) or pa.types.is_signed_integer(x.type) for x in given.values()]
+            out, ended, alone = [None] * batch.num_rows, [False] * batch.num_rows, np.ones(batch.num_rows, bool)
+            if all(whole):
+                there = np.ones(batch.num_rows, bool)
+                for x in given.values():
+                    there &= x.is_valid().to_numpy(zero_copy_only=False)
+                numbers = {c: x.fill_null(0 if pa.types.is_integer(x.type) else False).to_numpy(zero_copy_only=False) for c, x in given.items()}
+                runs = Columns(code, {c: x[there] for c, x in numbers.items()}, int(there.sum())).run(most)
+                for k, answer, done, left in zip(np.flatnonzero(there).tolist(), runs.answers(result), runs.finished.tolist(), runs.left.tolist()):
+                    out[k], ended[k], alone[k] = answer, done, left
+            for k in np.flatnonzero(alone).tolist():
+                m = Machine(code, {c: x[k].as_py() for c, x in given.items()}).run(most)
+                out[k], ended[k] = json.dumps(m.plain(m.frames[0].vars.get(result))) if m.done else None, m.done
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string()), pa.array(ended, pa.bool_())], names=[*batch.schema.names, "answer", "finished"])
+
+    return df.mapInArrow(work, schema)
 
 
 def run_table(code: DataFrame, variable: str, entry: str | None = None, most: int = 20_000) -> DataFrame:
