@@ -151,17 +151,20 @@ def reachable_modules(spark, sf):
 
 @query("rg18_method_resolution", f"WITH RECURSIVE {_MODULES}, r AS (SELECT DISTINCT src AS class, dst AS parent, 1 AS depth FROM e UNION SELECT r.class, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.parent) SELECT class, parent, min(depth) AS depth FROM r GROUP BY class, parent")
 def method_resolution(spark, sf):
-    """Each class's parents, nearest first."""
-    e = fixpoint.checkpointed(_module_edges(spark, sf))
-    seeds = e.select(F.col("src").alias("class"), F.col("src").alias("node")).distinct()
-    out, new, depth = None, seeds, 0
+    """Each class's parents, nearest first.
+
+    No side of a join is broadcast, however small it is guessed: a table of edges that is a few megabytes in a file fills the driver.
+    """
+    e = fixpoint.settled(_module_edges(spark, sf))
+    out, new, depth = None, e.select(F.col("src").alias("class"), F.col("dst").alias("node")), 1
     while True:
-        depth += 1
-        hop = new.join(e, F.col("node") == F.col("src")).select("class", F.col("dst").alias("node")).distinct()
-        new = fixpoint.checkpointed((hop if out is None else hop.join(out, ["class", "node"], "left_anti")).select("class", "node"))
+        new = fixpoint.settled(new)
         if new.isEmpty():
-            return out.select("class", F.col("node").alias("parent"), "depth")
-        out = new.withColumn("depth", F.lit(depth)) if out is None else out.union(new.withColumn("depth", F.lit(depth)))
+            return (new.withColumn("depth", F.lit(depth)) if out is None else out).select("class", F.col("node").alias("parent"), "depth")
+        found = new.withColumn("depth", F.lit(depth))
+        out = found if out is None else out.union(found)
+        hop = new.join(e.hint("merge"), F.col("node") == F.col("src")).select("class", F.col("dst").alias("node")).distinct()
+        new, depth = hop.join(out.select("class", "node").hint("merge"), ["class", "node"], "left_anti"), depth + 1
 
 
 _FILES = ["app/main.py", "app/util.py", "lib/core/__init__.py", "web/index.js", "web/lib/a.ts", "src/main/java/com/x/Y.java", "src/io.rs", "include/stdio_own.h", "cpy/CUSTREC.cpy", "pkg/mod.lua", "app/setup.cfg", "lib/core/pyproject.toml"]

@@ -113,3 +113,11 @@ def test_runs_over_rows_in_both_ways(spark):
     got = tables.run_over(rows, source, ["x", "b"], "answer").collect()
     assert {r["id"]: (r["x"], r["t"]) for r in got} == {k: (None if k % 5 == 0 else k, f"t{k}") for k in range(40)} and all(r["finished"] for r in got)
     assert all(r["answer"] == (str(r["x"] * 2**62) if r["x"] is not None and r["b"] else "0" if r["b"] else "1") for r in got)
+
+
+def test_method_resolution_broadcasts_nothing(spark, tmp_path, plans):
+    df = check(spark, tmp_path, "rg18_method_resolution", "part", "p_partkey long", [(k,) for k in [*range(-3, 200), 7, None]])
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+    spark.createDataFrame([(0,)], "p_partkey long").write.parquet(f"{tmp_path}/none/part.parquet")
+    assert registry.QUERIES["rg18_method_resolution"](spark, f"{tmp_path}/none").collect() == []
